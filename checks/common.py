@@ -26,7 +26,7 @@ def _order(names) -> list[str]:
 
     def visit(name: str) -> None:
         for other in FIXTURES:
-            if other != name and f"from {other} " in FIXTURES[name] + " ":
+            if other != name and re.search(rf"\b(from|join) {other}\b", FIXTURES[name]):
                 visit(other)
         if name not in seen:
             seen.append(name)

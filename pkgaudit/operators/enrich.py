@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pkgaudit import schemas
 from pkgaudit.functions.versions import pep503_name
-from pkgaudit.operators.keys import PACKAGE, explode_entries, explode_rows, package_label
+from pkgaudit.operators.keys import PACKAGE, explode_rows, package_label
 
 DAY_MILLIS = 86_400_000
 
@@ -22,55 +22,68 @@ def answered(docs: DataFrame, ecosystem: str | None = None, *kinds: str) -> Data
     return rows.filter(F.col("kind").isin(*kinds)) if kinds else rows
 
 
-def _body(docs: DataFrame, schema: str) -> DataFrame:
-    return docs.select("ecosystem", "name", "version", F.from_json("body", schema).alias("b"))
-
-
 def comparable_version(ecosystem: Column, version: Column) -> Column:
     """Version text under which documents and packages meet: Go drops the leading v."""
     return F.when(ecosystem == "go", F.regexp_replace(version, "^v", "")).otherwise(version)
 
 
+_DATE = "struct<version:string,published_at:string,preference:int>"
+
+
+def _dates_in(body: Column, version: Column) -> dict[tuple[str, ...], Column]:
+    """Publish times a document holds, by ecosystem and document kinds."""
+
+    def date(v: Column, time: Column, preference: int = 0) -> Column:
+        return F.struct(v.alias("version"), time.alias("published_at"), F.lit(preference).alias("preference"))
+
+    npm = F.from_json(body, "time map<string,string>")["time"]
+    pypi = F.from_json(body, schemas.PYPI_BODY)
+    crate = F.from_json(body, schemas.CRATE_BODY)
+    go = F.from_json(body, schemas.GO_INFO_BODY)
+    gem = F.from_json(body, schemas.GEM_BODY)
+    upload = F.array_min(
+        F.transform(pypi["urls"], lambda f: F.coalesce(f["upload_time_iso_8601"], f["upload_time"]))
+    )
+    single = date(F.coalesce(crate["version"]["num"], version), crate["version"]["created_at"], 1)
+    return {
+        ("npm", "package"): F.transform(F.map_entries(npm), lambda e: date(e["key"], e["value"])),
+        ("pypi", "version", "latest"): F.array(date(F.coalesce(pypi["info"]["version"], version), upload)),
+        ("cargo", "package", "version", "latest"): F.concat(
+            F.coalesce(
+                F.transform(crate["versions"], lambda v: date(v["num"], v["created_at"])),
+                F.array().cast(f"array<{_DATE}>"),
+            ),
+            F.array(single).cast(f"array<{_DATE}>"),
+        ),
+        ("go", "version", "latest"): F.array(date(F.coalesce(go["Version"], version), go["Time"])),
+        ("ruby", "version", "latest"): F.array(
+            date(F.coalesce(gem["version"], gem["number"], version), F.coalesce(gem["created_at"], gem["built_at"]))
+        ),
+        ("ruby", "versions"): F.transform(
+            F.from_json(body, schemas.GEM_VERSIONS_BODY),
+            lambda v: date(v["number"], F.coalesce(v["created_at"], v["built_at"]), 1),
+        ),
+    }
+
+
+def by_document(docs: DataFrame, choices: dict[tuple[str, ...], Column], element: str) -> DataFrame:
+    """Rows (ecosystem, name, version, _x) of the array each kind of document yields, in one scan."""
+    value = reduce(
+        lambda acc, item: acc.when(
+            (F.col("ecosystem") == item[0][0]) & F.col("kind").isin(*item[0][1:]), item[1].cast(f"array<{element}>")
+        ),
+        choices.items(), F,
+    )
+    known = reduce(
+        lambda a, b: a | b,
+        [(F.col("ecosystem") == k[0]) & F.col("kind").isin(*k[1:]) for k in choices],
+    )
+    return explode_rows(answered(docs).filter(known).select("ecosystem", "name", "version", value.alias("_a")), "_a", "_x")
+
+
 def version_dates(docs: DataFrame) -> DataFrame:
     """(ecosystem, name, version, published_at): when each version in the snapshot was published."""
-    times = answered(docs, "npm", "package").select(
-        "ecosystem", "name", F.from_json("body", "time map<string,string>")["time"].alias("time")
-    )
-    npm = explode_entries(times, F.col("time"), "version", "published_at").select(
-        *PACKAGE, "published_at", F.lit(0).alias("preference")
-    )
-    upload = F.array_min(
-        F.transform(F.col("b.urls"), lambda f: F.coalesce(f["upload_time_iso_8601"], f["upload_time"]))
-    )
-    pypi = _body(answered(docs, "pypi", "version", "latest"), schemas.PYPI_BODY).select(
-        "ecosystem", "name", F.coalesce(F.col("b.info.version"), F.col("version")).alias("version"),
-        upload.alias("published_at"), F.lit(0).alias("preference"),
-    )
-    crates = _body(answered(docs, "cargo", "package", "version", "latest"), schemas.CRATE_BODY)
-    crate_lists = explode_rows(crates, F.col("b.versions"), "v").select(
-        "ecosystem", "name", F.col("v.num").alias("version"), F.col("v.created_at").alias("published_at"),
-        F.lit(0).alias("preference"),
-    )
-    crate_single = crates.filter(F.col("b.version").isNotNull()).select(
-        "ecosystem", "name", F.coalesce(F.col("b.version.num"), F.col("version")).alias("version"),
-        F.col("b.version.created_at").alias("published_at"), F.lit(1).alias("preference"),
-    )
-    go = _body(answered(docs, "go", "version", "latest"), schemas.GO_INFO_BODY).select(
-        "ecosystem", "name", F.coalesce(F.col("b.Version"), F.col("version")).alias("version"),
-        F.col("b.Time").alias("published_at"), F.lit(0).alias("preference"),
-    )
-    gems = _body(answered(docs, "ruby", "version", "latest"), schemas.GEM_BODY).select(
-        "ecosystem", "name", F.coalesce(F.col("b.version"), F.col("b.number"), F.col("version")).alias("version"),
-        F.coalesce(F.col("b.created_at"), F.col("b.built_at")).alias("published_at"), F.lit(0).alias("preference"),
-    )
-    gem_lists = explode_rows(
-        _body(answered(docs, "ruby", "versions"), schemas.GEM_VERSIONS_BODY), F.col("b"), "v"
-    ).select(
-        "ecosystem", "name", F.col("v.number").alias("version"),
-        F.coalesce(F.col("v.created_at"), F.col("v.built_at")).alias("published_at"),
-        F.lit(1).alias("preference"),
-    )
-    rows = reduce(DataFrame.unionByName, [npm, pypi, crate_lists, crate_single, go, gems, gem_lists])
+    rows = by_document(docs, _dates_in(F.col("body"), F.col("version")), _DATE).select("ecosystem", "name", "_x.*")
     return (
         rows.filter(F.coalesce(F.col("published_at"), F.lit("")) != "")
         .withColumn("version", comparable_version(F.col("ecosystem"), F.col("version")))
