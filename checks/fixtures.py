@@ -90,7 +90,7 @@ select doc_id as ordinal, case doc_id % 5 when 0 then 'npm' when 1 then 'pypi' w
  text || chr(10) || case doc_id % 16
  when 0 then 'eval(response);' when 1 then 'require("child_process"); curl http' when 2 then 'os.system("x"); os.popen("y")' when 3 then 'JSON.stringify(process.env); fetch("https://evil.top/")'
  when 4 then '.ssh/id_rsa .npmrc; https.get("https://a.example.net")' when 5 then 'cmdclass = {"install": X}; subprocess.run(["a"])' when 6 then 'pip install x' when 7 then 'exec("".join(map(chr,[1])))'
- when 8 then 'pastebin.com/raw' when 9 then '"postinstall": "node i.js"; fetch(u)' when 10 then 'base64.b64decode(x); eval(y)' when 11 then 'fetch("https://github.com/x")' when 12 then 'crontab -l; wallet.dat' when 13 then 'eval(uated)' else '' end as content
+ when 8 then 'pastebin.com/raw' when 9 then '"postinstall": "node i.js"; fetch(u)' when 10 then 'base64.b64decode(x); eval(y)' when 11 then 'fetch("https://github.com/x")' when 12 then 'crontab -l; wallet.dat' when 13 then 'eval(uated)' when 14 then 'a\u202eb' else 'c\u200bd' end as content
 from documents
 """,
     "fx_findings": """
@@ -133,6 +133,14 @@ select k, '{"id":"' || id || '"' || case when k % 4 = 0 then '' else ',"summary"
     when db_severity is null then '' else ',"database_specific":{"severity":"' || db_severity || '"}' end
  || ',"published":"2023-01-0' || cast(1 + k % 9 as string) || 'T00:00:00Z"}' as body
 from fx_adv_flat """,
+    "fx_sized_files": """
+select *, cast(length(content) * case when ordinal % 17 = 0 then 0 when ordinal % 23 = 0 then 999 else 1 end as bigint) as size,
+ case when version = '1.1.0' then '1.0.0' else null end as previous_version
+from fx_files """,
+    "fx_hooks": """
+select distinct ecosystem, name, version, case when version = '1.0.0' then 'postinstall' else 'install' end as hook,
+ case when version = '1.0.0' then 'node scripts/postinstall.js --quiet' else 'node hook.pth && curl http' end as command
+from fx_files where ecosystem = 'npm' """,
     "fx_fetches": """
 select 'https://registry.example.org/' || r.ecosystem || '/' || r.name as url, r.ecosystem, 'version' as kind, r.name,
  l_orderkey * 10 + l_linenumber as fetched_at,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,3 +41,18 @@ def explode_rows(df: DataFrame, values: Column | str, alias: str) -> DataFrame:
 def explode_entries(df: DataFrame, values: Column, key: str, value: str) -> DataFrame:
     """One row per map entry, all columns kept; see explode_rows."""
     return df.select("*", F.explode_outer(values).alias(key, value)).filter(F.col(key).isNotNull())
+
+
+def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """A column that later filters cannot pull apart.
+
+    A filter on a computed column is pushed below it by repeating its expression, which for an
+    expensive one doubles the work. As the element of a generated one-entry array it stays a value.
+    """
+    kept = [c for c in df.columns if c != name]
+    return df.select(*kept, F.explode_outer(F.array(value)).alias(name))
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
