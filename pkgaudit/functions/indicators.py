@@ -2,13 +2,13 @@
 
 Each indicator is a regular expression with a weight. Running 68 expressions over every file is the
 most expensive work of the audit, so each one is guarded by literals that any match must contain:
-a file without them skips the expression. The guards never decide a match, so counts are exact.
+one pass finds the literals of a text, and an expression without its literals is skipped. The guards
+never decide a match, so counts are exact.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -25,6 +25,7 @@ class Indicator(NamedTuple):
     needs: tuple
 
 
+NON_ASCII = "non-ascii"
 HTTP = ("http://", "https://")
 ENV = ("process.env", "os.environ")
 TLDS = (".xyz", ".top", ".tk", ".ml", ".ga", ".cf", ".gq", ".pw", ".ru", ".su")
@@ -211,8 +212,8 @@ INDICATORS = (
               r"""os\.name\s*==\s*['"](nt|posix)['"][\s\S]{0,300}subprocess""",
               ("process.platform", "os.platform()", "os.name")),
     Indicator("unicode-bidi", "trojan-source", 4,
-              r"[‪‫‬‭‮⁦⁧⁨⁩‏؜]", ("non-ascii",)),
-    Indicator("zero-width-chars", "trojan-source", 4, r"[​‌‍﻿⁠]", ("non-ascii",)),
+              r"[‪‫‬‭‮⁦⁧⁨⁩‏؜]", (NON_ASCII,)),
+    Indicator("zero-width-chars", "trojan-source", 4, r"[​‌‍﻿⁠]", (NON_ASCII,)),
     Indicator("eval-on-response", "loader", 4,
               r"(?i)eval\s*\(\s*(response|data|payload|result|body|text|res|chunk)\b", ("eval",)),
     Indicator("write-then-exec", "loader", 4,
@@ -249,32 +250,82 @@ def jvm_pattern(pattern: str) -> str:
     return re.sub(r"\\\\|\[\\s\\S\]|\[\^\\s|\\s", widen, pattern)
 
 
-def _guard(needs: tuple, lowered: Column, content: Column) -> Column:
-    def one(need) -> Column:
+def _literals(needs: tuple) -> set[str]:
+    found: set[str] = set()
+    for need in needs:
         if isinstance(need, tuple):
-            return reduce(lambda a, b: a & b, [one(n) for n in need])
-        if need == "non-ascii":
-            return F.octet_length(content) != F.char_length(content)
-        if need.startswith("re:"):
-            return lowered.rlike(jvm_pattern(need[3:]))
-        return lowered.contains(F.lit(need))
+            found |= _literals(need)
+        elif need != NON_ASCII and not need.startswith("re:"):
+            found.add(need)
+    return found
 
-    return reduce(lambda a, b: a | b, [one(n) for n in needs])
 
+GROUP = 6
+LITERALS = sorted(set().union(*[_literals(i.needs) for i in INDICATORS]))
 
-COUNTS = "array<struct<name:string,category:string,weight:int,count:int>>"
 
+def literal_pattern(literals: list[str]) -> str:
+    """An expression that, at every position of a text, captures the longest literal starting there.
 
-def match_counts(content: Column, lowered: Column) -> Column:
-    """Indicators that match a text, in catalogue order, each with its number of matches."""
-    found = [
-        F.when(
-            _guard(i.needs, lowered, content),
-            F.struct(
-                F.lit(i.name).alias("name"), F.lit(i.category).alias("category"), F.lit(i.weight).alias("weight"),
-                F.regexp_count(content, F.lit(jvm_pattern(i.pattern))).alias("count"),
-            ),
-        )
+    Shared beginnings are factored out and long lists of branches are grouped by their first character,
+    so a position that starts no literal fails after a few tests.
+    """
+    tree: dict = {}
+    for word in literals:
+        node = tree
+        for char in word:
+            node = node.setdefault(char, {})
+        node[""] = {}
+
+    def text(node: dict) -> str:
+        chars = sorted(c for c in node if c)
+        if not chars:
+            return ""
+        parts = [re.escape(c) + text(node[c]) for c in chars]
+        if len(parts) > GROUP:
+            parts = [
+                f"(?=[{re.escape(''.join(chars[i:i + GROUP]))}])(?:{'|'.join(parts[i:i + GROUP])})"
+                for i in range(0, len(parts), GROUP)
+            ]
+        body = parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+        return f"(?:{body})?" if "" in node else body
+
+    return f"(?=[{re.escape(''.join(sorted(tree)))}])(?=({text(tree)}))"
+
+
+def literals_in(lowered: Column) -> Column:
+    """The guard literals a lower-cased text contains, from one pass over it."""
+    return F.array_distinct(F.regexp_extract_all(lowered, F.lit(literal_pattern(LITERALS)), F.lit(1)))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _guard(needs: tuple, content: str, lowered: str, found: str) -> str:
+    """SQL condition for what a match needs. A literal counts as found with any longer one it begins."""
+    plain = [n for n in needs if isinstance(n, str) and n != NON_ASCII and not n.startswith("re:")]
+    longer = sorted({w for n in plain for w in LITERALS if w.startswith(n)})
+    parts = [f"arrays_overlap({found}, array({', '.join(map(_quoted, longer))}))"] if plain else []
+    for need in needs:
+        if isinstance(need, tuple):
+            parts.append("(" + " and ".join(_guard((n,), content, lowered, found) for n in need) + ")")
+        elif need == NON_ASCII:
+            parts.append(f"octet_length({content}) <> char_length({content})")
+        elif need.startswith("re:"):
+            parts.append(f"{lowered} rlike {_quoted(jvm_pattern(need[3:]))}")
+    return "(" + " or ".join(parts) + ")"
+
+
+def match_counts(content: str, lowered: str, found: str) -> Column:
+    """Indicators that match a text, in catalogue order, each with its number of matches.
+
+    Takes the names of the text, lower-cased text and found literals columns.
+    """
+    entries = [
+        f"case when {_guard(i.needs, content, lowered, found)} then named_struct('name', {_quoted(i.name)}, "
+        f"'category', {_quoted(i.category)}, 'weight', {i.weight}, "
+        f"'count', regexp_count({content}, {_quoted(jvm_pattern(i.pattern))})) end"
         for i in INDICATORS
     ]
-    return F.filter(F.array(*found), lambda x: x["count"] > 0)
+    return F.expr(f"filter(array({', '.join(entries)}), x -> x.count > 0)")

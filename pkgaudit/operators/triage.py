@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from pkgaudit.functions import paths
-from pkgaudit.functions.indicators import match_counts
+from pkgaudit.functions.indicators import literals_in, match_counts
 from pkgaudit.functions.labels import half_up
 from pkgaudit.operators.keys import PACKAGE, bind, compute_once
 
@@ -28,8 +28,9 @@ MAX_FILES = 10
 
 def indicator_counts(files: DataFrame) -> DataFrame:
     """Files with column 'counts': the indicators found, with numbers of matches. Whole texts, one pass per row."""
-    lowered = compute_once(files, "_lower", F.lower("content"))
-    return compute_once(lowered, "counts", match_counts(F.col("content"), F.col("_lower"))).drop("_lower")
+    lowered = files.withColumn("_lower", F.lower("content"))
+    marked = lowered.withColumn("_found", literals_in(F.col("_lower")))
+    return compute_once(marked, "counts", match_counts("content", "_lower", "_found")).drop("_lower", "_found")
 
 
 def base_scores(counted: DataFrame) -> DataFrame:
