@@ -36,15 +36,24 @@ def _order(names) -> list[str]:
     return seen
 
 
-def with_views(*names: str) -> str:
+DOC_KINDS = "'version', 'latest', 'package', 'dependencies', 'mod', 'list', 'versions', 'downloads', 'archive'"
+# The document kinds of each library, one row each: the one place where the two dialects differ.
+KINDS = {
+    "duckdb": f", (select unnest([{DOC_KINDS}]) as kind) kinds",
+    "spark": f"lateral view explode(array({DOC_KINDS})) kinds as kind",
+}
+
+
+def with_views(*names: str, dialect: str = "duckdb") -> str:
     """The WITH clause that defines the named views."""
-    return "with " + ",\n".join(f"{n} as ({FIXTURES[n].strip()})" for n in _order(names)) + "\n"
+    views = ",\n".join(f"{n} as ({FIXTURES[n].strip()})" for n in _order(names))
+    return "with " + views.replace("KINDS", KINDS[dialect]) + "\n"
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the derived views as a DataFrame over the tables of a folder."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    statement = with_views(name) + f"select * from {name}"
+    statement = with_views(name, dialect="spark") + f"select * from {name}"
     for source in TABLES:
         if re.search(rf"\b(from|join) {source}\b", statement):
             table(spark, sf_dir, source).createOrReplaceTempView(source)

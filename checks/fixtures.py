@@ -156,33 +156,39 @@ select s_suppkey as n, s_nationkey as k, cast(s_suppkey as string) as sn, cast(s
  case when s_suppkey % 19 = 0 then 404 when s_suppkey % 23 = 0 then 503 else 200 end as status
 from supplier """,
     "fx_docs": """
-select ecosystem, kind, name, version, 'https://registry.example.org/' || ecosystem || '/' || kind || '/' || name || '/' || coalesce(version, '') as url, status, body from (
-select ecosystem, 'version' as kind, name, case ecosystem when 'cargo' then '1.2.0' when 'go' then 'v' || version else version end as version, status,
- case ecosystem
+select ecosystem, kind, name, doc_version as version, 'https://registry.example.org/' || ecosystem || '/' || kind || '/' || name || '/' || coalesce(doc_version, '') as url, doc_status as status, body from (
+select ecosystem, kind, name,
+ case kind when 'version' then case ecosystem when 'cargo' then '1.2.0' when 'go' then 'v' || version else version end
+  when 'dependencies' then '1.2.0' when 'mod' then version when 'archive' then version else null end as doc_version,
+ case kind when 'version' then status when 'latest' then case when n % 31 = 0 then 404 else 200 end
+  when 'package' then case when n % 29 = 0 then 404 else 200 end
+  when 'archive' then case n % 7 when 0 then 404 when 1 then 500 else 200 end else 200 end as doc_status,
+ case kind
+ when 'version' then case ecosystem
  when 'npm' then '{"version":"' || version || '","dependencies":{"' || next1 || '":"^1.0.0","' || next2 || '":"*"},"dist":{"tarball":"t","attestations":' || case when n % 2 = 0 then '{"url":"u' || sn || '","provenance":{"predicateType":"https://slsa.dev/provenance/v1"}}' else 'null' end || '},"scripts":{"postinstall":"node i.js","prepare":"node ./x/build.js now","test":"t"}}'
  when 'pypi' then '{"info":{"version":"' || version || '","requires_dist":["' || next1 || ' (>=1.0)","extra9; extra == ''x''","' || next2 || '>=2.0"]},"urls":[{"upload_time_iso_8601":"2023-05-02T00:00:00Z"},{"upload_time":"2023-05-01T0' || cast(k % 10 as string) || ':00:00"' || case when k % 2 = 0 then ',"attestations":{"provenance":{"url":"p' || sn || '"}}' else '' end || '}]}'
  when 'cargo' then '{"version":{"num":"1.2.0","created_at":"2024-01-3' || cast(k % 2 as string) || 'T00:00:00Z"}}'
  when 'go' then '{"Version":"v' || version || '","Time":"2021-06-0' || cast(1 + k % 9 as string) || 'T00:00:00Z"}'
- else '{"version":"' || version || '","created_at":"2020-02-0' || cast(1 + k % 9 as string) || 'T00:00:00Z","dependencies":{"runtime":[{"name":"' || next1 || '","requirements":">= 1.0, < 9"},{"name":"' || next2 || '","requirements":"~> 3.1"}]}}' end as body
-from fx_libs
-union all select ecosystem, 'latest', name, null, case when n % 31 = 0 then 404 else 200 end,
- case ecosystem
+ else '{"version":"' || version || '","created_at":"2020-02-0' || cast(1 + k % 9 as string) || 'T00:00:00Z","dependencies":{"runtime":[{"name":"' || next1 || '","requirements":">= 1.0, < 9"},{"name":"' || next2 || '","requirements":"~> 3.1"}]}}' end
+ when 'latest' then case ecosystem
  when 'npm' then '{"version":"1.10.0","dependencies":{"' || next1 || '":"~1.0"},"dist":{}}'
  when 'pypi' then '{"info":{"version":"2.0","author":"a' || sk || '","maintainer":"' || case when k % 3 = 0 then 'a' || sk else 'm' || sk end || '","summary":"s","license":"MIT","home_page":"h","project_urls":{' || case when k % 2 = 0 then '"Repository":"r' || sn || '"' else '"Other":"o"' end || '},"requires_dist":["' || next1 || '"]},"releases":{"1.0":[{"filename":"a.' || case when k % 4 = 0 then 'tar.gz' else 'whl' end || '","upload_time_iso_8601":"2019-03-0' || cast(1 + k % 9 as string) || 'T00:00:00Z"}],"2.0":[{"filename":"b.whl","upload_time":"2024-01-' || cast(10 + k % 20 as string) || 'T00:00:00","metadata_version":"2.' || cast(k % 5 as string) || '"}]},"urls":[{"upload_time":"2024-01-10T00:00:00"}]}'
  when 'go' then '{"Version":"v1.4.0","Time":"2021-06-01T00:00:00Z"}'
  when 'ruby' then '{"version":"3.1","authors":"A' || sk || ', B ,","downloads":' || sn || ',"info":"i","licenses":["MIT","X"],"version_created_at":"2020-02-0' || cast(1 + k % 9 as string) || 'T00:00:00Z","homepage_uri":"h' || sn || '","dependencies":{"runtime":[{"name":"' || next1 || '","requirements":">= 1.0"}]}}'
  else '{}' end
-from fx_libs where ecosystem <> 'cargo'
-union all select ecosystem, 'package', name, null, case when n % 29 = 0 then 404 else 200 end,
- case ecosystem when 'npm' then '{"dist-tags":{"latest":"1.10.0"},"versions":{"1.10.0":{"scripts":{' || case when k % 2 = 0 then '"postinstall":"node i.js","install":"",' else '' end || '"test":"t"},"dist":{"attestations":' || case when k % 3 = 0 then '{"url":"u"}' else 'null' end || '}},"1.2.0":{"maintainers":[{"name":"old"}]},"1.9.0":{"maintainers":[{"name":"m' || cast(k % 7 as string) || '"}]}},"time":{"created":"2015-01-0' || cast(1 + n % 9 as string) || 'T00:00:00Z","modified":"2024-01-' || cast(10 + k % 20 as string) || 'T00:00:00Z","1.10.0":"2023-12-01T00:00:00Z","' || version || '":"2022-0' || cast(1 + k % 9 as string) || '-01T00:00:00.000Z"},"maintainers":[{"name":"m' || cast(k % 5 as string) || '"},{"email":"e@x"}],"repository":{"url":"git+' || sn || '"},"description":"d","license":"ISC"}'
+ when 'package' then case ecosystem when 'npm' then '{"dist-tags":{"latest":"1.10.0"},"versions":{"1.10.0":{"scripts":{' || case when k % 2 = 0 then '"postinstall":"node i.js","install":"",' else '' end || '"test":"t"},"dist":{"attestations":' || case when k % 3 = 0 then '{"url":"u"}' else 'null' end || '}},"1.2.0":{"maintainers":[{"name":"old"}]},"1.9.0":{"maintainers":[{"name":"m' || cast(k % 7 as string) || '"}]}},"time":{"created":"2015-01-0' || cast(1 + n % 9 as string) || 'T00:00:00Z","modified":"2024-01-' || cast(10 + k % 20 as string) || 'T00:00:00Z","1.10.0":"2023-12-01T00:00:00Z","' || version || '":"2022-0' || cast(1 + k % 9 as string) || '-01T00:00:00.000Z"},"maintainers":[{"name":"m' || cast(k % 5 as string) || '"},{"email":"e@x"}],"repository":{"url":"git+' || sn || '"},"description":"d","license":"ISC"}'
  else '{"crate":{"newest_version":"1.2.0","max_version":"1.2.0","created_at":"2019-01-0' || cast(1 + k % 9 as string) || 'T00:00:00Z","updated_at":"2024-01-' || cast(10 + k % 20 as string) || 'T00:00:00Z","downloads":' || sn || ',"repository":"r"},"versions":[{"num":"1.2.0","created_at":"2024-01-31T00:00:00Z"},{"num":"1.1.0","created_at":"2022-01-01T00:00:00Z"}],"keywords":[{"id":"k' || sk || '"},{"keyword":"w"}]}' end
-from fx_libs where ecosystem in ('npm', 'cargo')
-union all select ecosystem, 'dependencies', name, '1.2.0', 200, '{"dependencies":[{"crate_id":"' || next1 || '","req":"^1","optional":false,"kind":"normal"},{"crate_id":"' || next2 || '","req":"","optional":false,"kind":"build"},{"crate_id":"devonly","req":"1","kind":"dev"},{"crate_id":"opt","req":"1","optional":true,"kind":"normal"}]}' from fx_libs where ecosystem = 'cargo'
-union all select ecosystem, 'mod', name, version, 200, 'module m' || chr(10) || 'require ' || next1 || ' v1.4.0' || chr(10) || 'require (' || chr(10) || ' ' || next2 || ' v1.' || cast(n % 4 as string) || '.0' || chr(10) || ' other v0.1.0 // indirect' || chr(10) || ')' from fx_libs where ecosystem = 'go'
-union all select ecosystem, 'list', name, null, 200, 'v1.2.0' || chr(10) || 'v1.' || cast(k % 4 as string) || '.9' || chr(10) || 'v1.4.0' || chr(10) from fx_libs where ecosystem = 'go'
-union all select ecosystem, 'versions', name, null, 200, '[{"number":"3.1","created_at":"2020-02-02T00:00:00Z"},{"number":"' || version || '","built_at":"2018-01-0' || cast(1 + k % 9 as string) || 'T00:00:00Z"}]' from fx_libs where ecosystem = 'ruby'
-union all select ecosystem, 'downloads', name, null, 200, case ecosystem when 'npm' then '{"downloads":' || cast(n * 1000 as string) || '}' else '{"data":{"last_week":' || cast(n * 7 as string) || '}}' end from fx_libs where ecosystem in ('npm', 'pypi')
-union all select ecosystem, 'archive', name, version, case n % 7 when 0 then 404 when 1 then 500 else 200 end, null from fx_libs where n % 11 <> 3
+ when 'dependencies' then '{"dependencies":[{"crate_id":"' || next1 || '","req":"^1","optional":false,"kind":"normal"},{"crate_id":"' || next2 || '","req":"","optional":false,"kind":"build"},{"crate_id":"devonly","req":"1","kind":"dev"},{"crate_id":"opt","req":"1","optional":true,"kind":"normal"}]}'
+ when 'mod' then 'module m' || chr(10) || 'require ' || next1 || ' v1.4.0' || chr(10) || 'require (' || chr(10) || ' ' || next2 || ' v1.' || cast(n % 4 as string) || '.0' || chr(10) || ' other v0.1.0 // indirect' || chr(10) || ')'
+ when 'list' then 'v1.2.0' || chr(10) || 'v1.' || cast(k % 4 as string) || '.9' || chr(10) || 'v1.4.0' || chr(10)
+ when 'versions' then '[{"number":"3.1","created_at":"2020-02-02T00:00:00Z"},{"number":"' || version || '","built_at":"2018-01-0' || cast(1 + k % 9 as string) || 'T00:00:00Z"}]'
+ when 'downloads' then case ecosystem when 'npm' then '{"downloads":' || cast(n * 1000 as string) || '}' else '{"data":{"last_week":' || cast(n * 7 as string) || '}}' end
+ else null end as body
+from fx_libs KINDS
+where kind = 'version' or (kind = 'latest' and ecosystem <> 'cargo') or (kind = 'package' and ecosystem in ('npm', 'cargo'))
+ or (kind = 'dependencies' and ecosystem = 'cargo') or (kind in ('mod', 'list') and ecosystem = 'go')
+ or (kind = 'versions' and ecosystem = 'ruby') or (kind = 'downloads' and ecosystem in ('npm', 'pypi'))
+ or (kind = 'archive' and n % 11 <> 3)
 ) d """,
     "fx_lib_deps": """
 select l_orderkey * 8 + l_linenumber as ordinal, 'repo' || cast(l_orderkey % 20 as string) as repo,
@@ -199,4 +205,22 @@ from nation """,
 select l_orderkey * 8 + l_linenumber as ordinal, 'V' || cast(l_orderkey % 40 as string) as id, ecosystem, name as package_name,
  case l_partkey % 3 when 0 then '9.9.9' when 1 then '1.2.0' else version end as package_version
 from lineitem join fx_libs on n = l_suppkey where l_orderkey % 9 = 0 """,
+    "fx_findings_full": """
+select ordinal, package_name, package_version, ecosystem, case when ordinal % 7 = 0 then '' else '/scan/root/' || category || '.js' end as file_path,
+ category, severity, confidence, title, 'd' || cast(ordinal as string) as description,
+ case when ordinal % 3 = 0 then null else 'e' end as evidence, 'fix' as remediation, false as deep_investigated, verdict
+from fx_findings """,
+    "fx_verdicts": """
+select ordinal, verdict, case when verdict = 'DOWNGRADED' then 'low' when ordinal % 2 = 0 then 'none' else null end as adjusted_severity,
+ case when ordinal % 3 = 0 then cast(1.5 as double) when ordinal % 3 = 1 then cast(0.25 as double) else null end as adjusted_confidence,
+ case when ordinal % 4 = 0 then 'step' else null end as attack_chain, case when ordinal % 8 = 0 then 'keys' else null end as data_at_risk,
+ case when ordinal % 5 = 0 then 'upgrade' else null end as remediation
+from fx_findings where verdict is not null """,
+    "fx_vulns_full": """
+select ordinal, id, ecosystem, package_name, package_version, severity, 'repo' || cast(ordinal % 20 as string) as repo,
+ case when ordinal % 5 = 0 then id when ordinal % 5 = 1 then 'No description available' else title end as title,
+ case when ordinal % 3 = 0 then 'No description available' when ordinal % 3 = 1 then ' ' else title end as description,
+ cvss, case when ordinal % 2 = 0 then null else reference end as link, case when ordinal % 6 = 0 then '>=1 <2' else 'Unknown' end as affected_versions,
+ case when ordinal % 10 = 0 then '2.0' else null end as fixed_versions, 'OSV' as source
+from fx_vulns """,
 }

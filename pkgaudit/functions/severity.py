@@ -76,7 +76,7 @@ def severity_rank(severity: Column) -> Column:
 
 
 def severity_of_rank(rank: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), rank + 1)
+    return F.get(F.array(*[F.lit(s) for s in SEVERITIES]), rank)
 
 
 def normalize_severity(value: Column, default: str | None) -> Column:
