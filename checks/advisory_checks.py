@@ -12,6 +12,7 @@ from pkgaudit.functions.severity import (
     severity_bucket,
 )
 from pkgaudit.operators import advisories as adv
+from pkgaudit.plans import scan
 
 
 def _advisories(spark, sf_dir):
@@ -74,6 +75,10 @@ def to_vulnerability(spark, sf_dir):
     return _flat_vulns(adv.to_vulnerability(_hits(spark, sf_dir), _advisories(spark, sf_dir)))
 
 
+def vulnerable_packages(spark, sf_dir):
+    return scan.vulnerable_packages(view(spark, sf_dir, "fx_star_deps"), view(spark, sf_dir, "fx_adv_docs"))
+
+
 def union_sources(spark, sf_dir):
     first = view(spark, sf_dir, "fx_vulns")
     second = first.filter(F.col("ordinal") % 3 == 0).withColumn("title", F.lit("second source")).drop("cvss")
@@ -192,7 +197,7 @@ QUERIES = {
     for f in (
         advisory_queries, match_advisories, backfill_advisory_details, cvss3, severity_buckets,
         advisory_severity, severity_from_text, advisory_cvss, fixed_versions, affected_versions,
-        to_vulnerability, union_sources, dedup_vulnerabilities, order_by_severity, severity_summary,
+        to_vulnerability, vulnerable_packages, union_sources, dedup_vulnerabilities, order_by_severity, severity_summary,
         normalized_severities,
     )
 }
@@ -210,6 +215,11 @@ ORACLES = {
     "fixed_versions": FACTS_SQL + "select id, fixed_versions from facts",
     "affected_versions": FACTS_SQL + "select id, affected_versions from facts",
     "to_vulnerability": FACTS_SQL + VULNS_SQL,
+    "vulnerable_packages": FACTS_SQL + f""", vulns as ({VULNS_SQL})
+select ecosystem, package_name, package_version, case min(case severity when 'CRITICAL' then 0 when 'HIGH' then 1
+  when 'MEDIUM' then 2 when 'LOW' then 3 else 4 end) when 0 then 'CRITICAL' when 1 then 'HIGH' when 2 then 'MEDIUM'
+  when 3 then 'LOW' else 'UNKNOWN' end as highest_severity, count(*) as static_count, 0 as supply_chain_count
+from vulns group by 1, 2, 3""",
     "union_sources": with_views("fx_vulns") + """select ordinal, id, ecosystem, package_name, package_version, severity,
  title, cvss, reference, 0 as source_rank from fx_vulns
 union all select ordinal, id, ecosystem, package_name, package_version, severity, 'second source', null, reference, 1
