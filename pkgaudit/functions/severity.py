@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pkgaudit.functions.binding import bind
+
 # Severity names from worst to mildest.
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW", "UNKNOWN")
 
@@ -91,51 +93,73 @@ def severity_floor(severity: Column) -> Column:
 
 def severity_bucket(score: Column) -> Column:
     """CRITICAL from 9, HIGH from 7, MEDIUM from 4, else LOW; null stays null."""
-    return (
-        F.when(score >= 9.0, F.lit("CRITICAL"))
-        .when(score >= 7.0, F.lit("HIGH"))
-        .when(score >= 4.0, F.lit("MEDIUM"))
-        .when(score.isNotNull(), F.lit("LOW"))
+    return bind(
+        score,
+        lambda s: F.when(s >= 9.0, F.lit("CRITICAL"))
+        .when(s >= 7.0, F.lit("HIGH"))
+        .when(s >= 4.0, F.lit("MEDIUM"))
+        .when(s.isNotNull(), F.lit("LOW")),
     )
 
 
-def cvss3_score(value: Column) -> Column:
-    """Base score of a CVSS 3.x vector; other text gives its leading number or null."""
+def _weight(metric: Column, table: dict[str, float]) -> Column:
+    pairs = [F.lit(x) for kv in table.items() for x in kv]
+    return F.coalesce(F.create_map(*pairs)[metric], F.lit(0.0))
 
-    def metric(key: str) -> Column:
-        return F.regexp_extract(value, f"^.*/{key}:([^/:]*)", 1)
 
-    weight = {key: _lookup(metric(key), table, 0.0) for key, table in CVSS_WEIGHTS.items()}
-    unchanged = metric("S").isin("", "U")
-    privilege = F.when(unchanged, _lookup(metric("PR"), PRIVILEGE_UNCHANGED, 0.0)).otherwise(
-        _lookup(metric("PR"), PRIVILEGE_CHANGED, 0.0)
+def _vector_score(m: Column) -> Column:
+    """Base score from the metric letters of a vector."""
+    unchanged = m["S"].isin("", "U")
+    privilege = F.when(unchanged, _weight(m["PR"], PRIVILEGE_UNCHANGED)).otherwise(
+        _weight(m["PR"], PRIVILEGE_CHANGED)
     )
-    loss = 1.0 - (1.0 - weight["C"]) * (1.0 - weight["I"]) * (1.0 - weight["A"])
-    exploitability = 8.22 * weight["AV"] * weight["AC"] * privilege * weight["UI"]
-    impact = F.when(unchanged, 6.42 * loss).otherwise(
-        7.52 * (loss - 0.029) - 3.25 * F.pow(loss - 0.02, F.lit(15.0))
+    kept = [1.0 - _weight(m[k], CVSS_WEIGHTS[k]) for k in ("C", "I", "A")]
+    parts = F.struct(
+        unchanged.alias("unchanged"),
+        (1.0 - kept[0] * kept[1] * kept[2]).alias("loss"),
+        (
+            8.22 * _weight(m["AV"], CVSS_WEIGHTS["AV"]) * _weight(m["AC"], CVSS_WEIGHTS["AC"]) * privilege
+            * _weight(m["UI"], CVSS_WEIGHTS["UI"])
+        ).alias("ease"),
     )
-    total = F.when(unchanged, impact + exploitability).otherwise(1.08 * (impact + exploitability))
-    base = F.when(impact <= 0, F.lit(0.0)).otherwise(F.least(total, F.lit(10.0)))
-    vector_score = F.ceil(base * 10).cast("double") / 10.0
+
+    def total(p: Column) -> Column:
+        impact = F.when(p["unchanged"], 6.42 * p["loss"]).otherwise(
+            7.52 * (p["loss"] - 0.029) - 3.25 * F.pow(p["loss"] - 0.02, F.lit(15.0))
+        )
+        return bind(impact, lambda i: F.when(i <= 0, F.lit(0.0)).otherwise(
+            F.least(F.when(p["unchanged"], i + p["ease"]).otherwise(1.08 * (i + p["ease"])), F.lit(10.0))
+        ))
+
+    return F.ceil(bind(parts, total) * 10).cast("double") / 10.0
+
+
+def cvss3_score(value: Column) -> Column:
+    """Base score of a CVSS 3.x vector; other text gives its leading number or null."""
+    letters = F.struct(*[
+        F.regexp_extract(value, f"^.*/{k}:([^/:]*)", 1).alias(k) for k in ("AV", "AC", "PR", "UI", "S", "C", "I", "A")
+    ])
     number = F.regexp_extract(
         F.split_part(value, F.lit("/"), F.lit(1)), r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1
     )
-    plain_score = F.when(number != "", number.try_cast("double"))
-    return F.when(value.startswith("CVSS:3."), vector_score).otherwise(plain_score)
+    return F.when(value.startswith("CVSS:3."), bind(letters, _vector_score)).otherwise(
+        F.nullif(number, F.lit("")).try_cast("double")
+    )
 
 
 def infer_severity_from_text(id_col: Column, summary: Column, details: Column) -> Column:
     """Severity of an advisory that carries no score, from its id and wording."""
     text = F.lower(F.concat(F.coalesce(summary, F.lit("")), F.lit("\n"), F.coalesce(details, F.lit(""))))
 
-    def mentions(words) -> Column:
-        return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+    def grade(t: Column) -> Column:
+        def mentions(words) -> Column:
+            return reduce(lambda a, b: a | b, [t.contains(w) for w in words])
 
-    return (
-        F.when(F.upper(id_col).startswith("MAL-"), F.lit("CRITICAL"))
-        .when(mentions(CRITICAL_WORDS), F.lit("CRITICAL"))
-        .when(mentions(HIGH_WORDS), F.lit("HIGH"))
-        .when(mentions(MEDIUM_WORDS), F.lit("MEDIUM"))
-        .otherwise(F.lit("UNKNOWN"))
-    )
+        return (
+            F.when(mentions(CRITICAL_WORDS), F.lit("CRITICAL"))
+            .when(mentions(HIGH_WORDS), F.lit("HIGH"))
+            .when(mentions(MEDIUM_WORDS), F.lit("MEDIUM"))
+            .otherwise(F.lit("UNKNOWN"))
+        )
+
+    return F.when(F.upper(id_col).startswith("MAL-"), F.lit("CRITICAL")).otherwise(bind(text, grade))

@@ -50,73 +50,81 @@ def _match_name(ecosystem: Column, name: Column) -> Column:
     return F.when(ecosystem == "PyPI", pep503_name(name)).otherwise(name)
 
 
-def advisory_packages(advisories: DataFrame) -> DataFrame:
-    """One row per advisory, affected package and version interval or listed version.
+def _spans(package: Column) -> Column:
+    """Version intervals and listed versions of one affected entry.
 
     Each 'introduced' event runs to the next 'fixed' one of its range; commit ranges are left out.
     """
-    affected = explode_rows(advisories.select("id", "affected"), "affected", "_p")
-    eco, name = F.col("_p.package.ecosystem"), F.col("_p.package.name")
     empty = F.lit(None).cast("string")
 
     def opened(r: Column) -> Column:
         def interval(e: Column, i: Column) -> Column:
             later = F.filter(F.slice(r["events"], i + 2, F.size(r["events"])), lambda f: f["fixed"].isNotNull())
             return F.struct(
-                e["introduced"].alias("from_version"), F.get(later, F.lit(0))["fixed"].alias("to_version"),
-                empty.alias("listed_version"),
+                empty.alias("listed"), e["introduced"].alias("from"), F.get(later, F.lit(0))["fixed"].alias("to")
             )
 
-        return F.filter(F.transform(r["events"], interval), lambda x: F.coalesce(x["from_version"], F.lit("")) != "")
+        return F.filter(F.transform(r["events"], interval), lambda x: F.coalesce(x["from"], F.lit("")) != "")
 
-    ranges = F.filter(F.col("_p.ranges"), lambda r: F.coalesce(r["type"], F.lit("")) != "GIT")
-    spans = F.flatten(F.transform(ranges, opened))
+    ranges = F.filter(package["ranges"], lambda r: F.coalesce(r["type"], F.lit("")) != "GIT")
     listed = F.transform(
-        F.col("_p.versions"),
-        lambda v: F.struct(empty.alias("from_version"), empty.alias("to_version"), v.alias("listed_version")),
+        package["versions"], lambda v: F.struct(v.alias("listed"), empty.alias("from"), empty.alias("to"))
     )
-    none = F.array().cast("array<struct<from_version:string,to_version:string,listed_version:string>>")
-    rows = affected.select(
-        "id", eco.alias("osv_ecosystem"), _match_name(eco, name).alias("match_name"),
-        F.concat(F.coalesce(spans, none), F.coalesce(listed, none)).alias("_spans"),
+    none = F.array().cast("array<struct<listed:string,from:string,to:string>>")
+    return F.concat(F.coalesce(F.flatten(F.transform(ranges, opened)), none), F.coalesce(listed, none))
+
+
+def advisory_packages(advisories: DataFrame) -> DataFrame:
+    """One row per advisory and affected package: id, osv_ecosystem, match_name and all its spans.
+
+    Entries of an advisory for the same package are put together within the advisory's own row.
+    """
+    entries = F.transform(
+        F.col("affected"),
+        lambda p: F.struct(
+            F.struct(
+                p["package"]["ecosystem"].alias("osv_ecosystem"),
+                _match_name(p["package"]["ecosystem"], p["package"]["name"]).alias("match_name"),
+            ).alias("key"),
+            _spans(p).alias("spans"),
+        ),
     )
-    return explode_rows(rows, "_spans", "_s").select("id", "osv_ecosystem", "match_name", "_s.*")
+    rows = advisories.select("id", entries.alias("_entries"))
+    rows = explode_rows(rows, F.array_distinct(F.col("_entries.key")), "_key")
+    same = F.filter("_entries", lambda e: e["key"] == F.col("_key"))
+    return rows.select("id", "_key.*", F.flatten(F.transform(same, lambda e: e["spans"])).alias("spans"))
 
 
 def match_advisories(deps: DataFrame, advisories: DataFrame) -> DataFrame:
     """(ecosystem, name, version, id) of every package version an advisory affects.
 
     The dependencies are reduced to distinct package versions first, so the join grows with the
-    number of published versions in use and not with how often they are used. It is an equi join
-    on ecosystem and name; only ids and version keys travel through it.
+    number of published versions in use and not with how often they are used. It is one equi join
+    on ecosystem and name; only ids and version keys travel through it, and as an advisory has one
+    row per package, a hit comes out once and needs no second shuffle.
     """
     wanted = advisory_queries(deps).select(
         *PACKAGE, "osv_ecosystem", "query_version",
         _match_name(F.col("osv_ecosystem"), F.col("name")).alias("match_name"),
         version_key(F.col("query_version")).alias("at_key"),
     )
-    spans = advisory_packages(advisories).select(
-        "id", "osv_ecosystem", "match_name", "listed_version", "from_version", "to_version",
-        version_key(F.col("from_version")).alias("from_key"), version_key(F.col("to_version")).alias("to_key"),
-    )
-    inside = (
-        F.col("from_version").isNotNull()
-        & (F.col("from_key") <= F.col("at_key"))
-        & (F.col("to_version").isNull() | (F.col("at_key") < F.col("to_key")))
+    keyed = F.transform(
+        "spans",
+        lambda s: F.struct(
+            s["listed"].alias("listed"), F.when(s["from"].isNotNull(), version_key(s["from"])).alias("from_key"),
+            F.when(s["to"].isNotNull(), version_key(s["to"])).alias("to_key"),
+        ),
     )
-    affected = (
-        F.col("query_version").isNull() | (F.col("listed_version") == F.col("query_version")) | inside
+    packages = advisory_packages(advisories).select("id", "osv_ecosystem", "match_name", keyed.alias("spans"))
+    inside = F.exists(
+        "spans",
+        lambda s: (s["listed"] == F.col("query_version"))
+        | ((s["from_key"] <= F.col("at_key")) & (s["to_key"].isNull() | (F.col("at_key") < s["to_key"]))),
     )
     return (
-        wanted.alias("w")
-        .join(
-            spans.alias("s"),
-            (F.col("w.osv_ecosystem") == F.col("s.osv_ecosystem"))
-            & (F.col("w.match_name") == F.col("s.match_name"))
-            & affected,
-        )
-        .select(*[F.col(f"w.{c}") for c in PACKAGE], F.col("s.id"))
-        .distinct()
+        wanted.join(packages, ["osv_ecosystem", "match_name"])
+        .filter(F.col("query_version").isNull() | F.coalesce(inside, F.lit(False)))
+        .select(*PACKAGE, "id")
     )
 
 

@@ -11,7 +11,7 @@ from pkgaudit import schemas
 from pkgaudit.functions import signals
 from pkgaudit.functions.versions import is_dependency_confusion, natural_key
 from pkgaudit.operators.enrich import age_days, answered
-from pkgaudit.operators.keys import explode_entries, first_per_key, package_label
+from pkgaudit.operators.keys import compute_once, explode_entries, first_per_key, package_label
 
 # Registry names in fetch messages.
 REGISTRY_LABELS = {"npm": "npm", "pypi": "PyPI", "cargo": "crates.io", "go": "Go proxy", "ruby": "RubyGems"}
@@ -222,13 +222,10 @@ def package_metadata(docs: DataFrame, as_of: str) -> DataFrame:
 
 def typosquat_candidates(pkgs: DataFrame) -> DataFrame:
     """Distinct package names that resemble a well-known one, with that one."""
-    return (
-        pkgs.select("ecosystem", "name")
-        .filter(F.col("ecosystem").isin(*signals.KNOWN_NAMES))
-        .distinct()
-        .withColumn("candidate", signals.typosquat_candidate(F.col("ecosystem"), F.col("name")))
-        .filter(F.col("candidate").isNotNull())
-    )
+    names = pkgs.select("ecosystem", "name").filter(F.col("ecosystem").isin(*signals.KNOWN_NAMES)).distinct()
+    # Kept whole, so that the null test is not moved in front of the distinct with all its comparisons.
+    candidate = signals.typosquat_candidate(F.col("ecosystem"), F.col("name"))
+    return compute_once(names, "candidate", candidate).filter(F.col("candidate").isNotNull())
 
 
 def previous_version(versions: DataFrame) -> DataFrame:

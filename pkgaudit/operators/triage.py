@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from pkgaudit.functions import paths
+from pkgaudit.functions.binding import bind
 from pkgaudit.functions.indicators import literals_in, match_counts
 from pkgaudit.functions.labels import half_up
-from pkgaudit.operators.keys import PACKAGE, bind, compute_once
+from pkgaudit.operators.keys import PACKAGE, compute_once
 
 # Indicators that count as network or execution activity in combinations.
 NETWORK_NAMES = (
