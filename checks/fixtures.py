@@ -191,7 +191,7 @@ where kind = 'version' or (kind = 'latest' and ecosystem <> 'cargo') or (kind =
  or (kind = 'archive' and n % 11 <> 3)
 ) d """,
     "fx_lib_deps": """
-select l_orderkey * 8 + l_linenumber as ordinal, 'repo' || cast(l_orderkey % 20 as string) as repo,
+select (l_orderkey * 8 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey % 10000 as ordinal, 'repo' || cast(l_orderkey % 20 as string) as repo,
  'repo' || cast(l_orderkey % 20 as string) || '/m' || cast(l_partkey % 3 as string) as file, ecosystem, name,
  case l_partkey % 4 when 0 then '9.9.9' when 1 then '*' when 2 then '^' || version else version end as version,
  case l_partkey % 7 when 0 then '^' || version when 1 then '*' when 2 then '==9.9.9' when 3 then '>=1.0, <3' when 4 then 'v' || version when 5 then '~' || version else version end as version_spec,
@@ -202,7 +202,7 @@ select distinct 'repo' || cast(n_regionkey as string) as repo, 'repo' || cast(n_
  'npm' as ecosystem, 'p' || cast(case when n_nationkey = 0 then 0 else n_nationkey * 3 end as string) as name, '*' as version_spec, n_nationkey % 4 = 1 as is_dev
 from nation """,
     "fx_vulns_libs": """
-select l_orderkey * 8 + l_linenumber as ordinal, 'V' || cast(l_orderkey % 40 as string) as id, ecosystem, name as package_name,
+select (l_orderkey * 8 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey % 10000 as ordinal, 'V' || cast(l_orderkey % 40 as string) as id, ecosystem, name as package_name,
  case l_partkey % 3 when 0 then '9.9.9' when 1 then '1.2.0' else version end as package_version
 from lineitem join fx_libs on n = l_suppkey where l_orderkey % 9 = 0 """,
     "fx_findings_full": """

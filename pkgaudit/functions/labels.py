@@ -90,13 +90,3 @@ def truncate(text: Column, length: int) -> Column:
     return F.when(
         F.char_length(text) > length, F.concat(F.substring(text, 1, length), F.lit("\n... [truncated]"))
     ).otherwise(text)
-
-
-def extract_json(text: Column) -> Column:
-    """The widest bracketed part that parses as JSON, else the widest braced part; null if neither does."""
-
-    def parsed(pattern: str) -> Column:
-        part = F.regexp_extract(text, pattern, 0)
-        return F.when(F.try_parse_json(F.nullif(part, F.lit(""))).isNotNull(), part)
-
-    return F.coalesce(parsed(r"(?s)\[.*\]"), parsed(r"(?s)\{.*\}"))

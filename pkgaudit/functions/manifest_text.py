@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pkgaudit.functions.json_text import is_json
 from pkgaudit.functions.versions import clean_version
 
 ENTRY = "struct<name:string,version:string,version_spec:string,is_dev:boolean,is_pinned:boolean>"
@@ -49,10 +50,6 @@ def group(line: Column, pattern: str, index: int) -> Column:
     return F.regexp_extract(line, pattern, index)
 
 
-def is_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
-
-
 def package_json(text: Column) -> Column:
     doc = F.from_json(text, "dependencies map<string,string>, devDependencies map<string,string>")
 

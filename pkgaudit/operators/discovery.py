@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from pkgaudit.operators.keys import first_per_key
+from pkgaudit.functions.json_text import is_json
+from pkgaudit.operators.keys import compute_once, first_per_key
 from pkgaudit.schemas import TEXT_DOC_KINDS
 
 # File names that are dependency manifests.
@@ -116,12 +117,12 @@ def language_stats(files: DataFrame, exclude: list[str] | None = None, by: tuple
 def dedup_responses(fetches: DataFrame) -> DataFrame:
     """One answer per address: the first; a failed or unreadable one counts as 404 without a body."""
     first = first_per_key(fetches, ["url"], F.struct("fetched_at", "status", "body"))
-    readable = F.col("body").isNotNull()
+    readable = is_json(F.col("body"))
     if "kind" in fetches.columns:
-        readable = readable & (F.col("kind").isin(*TEXT_DOC_KINDS) | F.try_parse_json("body").isNotNull())
-    else:
-        readable = readable & F.try_parse_json("body").isNotNull()
-    good = F.coalesce(F.col("status").between(200, 299) & readable, F.lit(False))
-    return first.withColumn("body", F.when(good, F.col("body"))).withColumn(
-        "status", F.when(good, F.col("status")).otherwise(F.lit(404))
-    )
+        readable = F.col("kind").isin(*TEXT_DOC_KINDS) | readable
+    good = F.coalesce(F.col("status").between(200, 299) & F.col("body").isNotNull() & readable, F.lit(False))
+    marked = compute_once(first, "_good", good)
+    return marked.withColumns({
+        "body": F.when(F.col("_good"), F.col("body")),
+        "status": F.when(F.col("_good"), F.col("status")).otherwise(F.lit(404)),
+    }).select(*fetches.columns)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from pkgaudit import schemas
-from pkgaudit.functions.labels import extract_json, truncate
+from pkgaudit.functions.json_text import extract_json
+from pkgaudit.functions.labels import truncate
 from pkgaudit.functions.paths import without_package_prefix
 from pkgaudit.functions.severity import SEVERITIES, normalize_severity, severity_rank
 from pkgaudit.operators.keys import PACKAGE, first_per_key, package_label

@@ -35,14 +35,15 @@ def read_manifests(
 
     The name filter works on the file listing, so no other file is opened.
     """
-    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
+    # The listing gives percent-encoded addresses; a plus sign in them stands for itself.
+    address = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    path = F.regexp_replace(address, "^file:/*", "/")
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
+        spark.read.option("recursiveFileLookup", True)
         .option("ignoreMissingFiles", True)
         .option("ignoreCorruptFiles", True)
         .option("pathGlobFilter", "{" + ",".join(MANIFEST_NAMES) + "}")
-        .text(root)
+        .text(root, wholetext=True)
         .select(F.lit(repo).alias("repo"), path.alias("path"), F.col("value").alias("content"))
         .withColumn("relative_path", relative_path(F.col("path"), root.rstrip("/")))
     )
