@@ -18,7 +18,7 @@ from pkgaudit.functions.severity import (
     severity_rank,
 )
 from pkgaudit.functions.versions import pep503_name, version_key
-from pkgaudit.operators.keys import PACKAGE, explode_rows, first_per_key
+from pkgaudit.operators.keys import PACKAGE, compute_once, explode_rows, first_per_key
 
 # Ecosystem names in the advisory database.
 OSV_ECOSYSTEMS = {"npm": "npm", "pypi": "PyPI", "cargo": "crates.io", "go": "Go", "ruby": "RubyGems"}
@@ -27,8 +27,9 @@ NO_DESCRIPTION = "No description available"
 
 
 def parse_advisories(documents: DataFrame) -> DataFrame:
-    """Advisory records from JSON text in column 'body'."""
-    return documents.select(F.from_json("body", schemas.ADVISORY_BODY).alias("_a")).select("_a.*")
+    """Advisory records from JSON text in column 'body', each parsed once."""
+    parsed = compute_once(documents.select("body"), "_a", F.from_json("body", schemas.ADVISORY_BODY))
+    return parsed.select("_a.*")
 
 
 def osv_ecosystem(ecosystem: Column) -> Column:
