@@ -9,6 +9,7 @@ from checks.common import AS_OF, view, with_views
 from pkgaudit.operators import findings as fnd
 from pkgaudit.operators import package_files, registry, triage
 from pkgaudit.operators.keys import PACKAGE
+from pkgaudit.session import cut_lineage
 
 
 def _findings(spark, sf_dir):
@@ -31,7 +32,7 @@ def gate_blocked(spark, sf_dir):
 
 def file_prompts(spark, sf_dir):
     files = triage_checks._files(spark, sf_dir)
-    plan = triage.investigation_plan(triage.triage(files, keep=("content",)))
+    plan = triage.investigation_plan(cut_lineage(triage.triage(files, keep=("content",)).filter("score >= 8")))
     current = files.withColumn("previous_version", F.when(F.col("version") == "1.1.0", F.lit("1.0.0")))
     return fnd.file_prompts(plan, package_files.new_files_in_version(current, files))
 

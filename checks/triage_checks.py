@@ -9,7 +9,7 @@ from pkgaudit.functions import paths
 from pkgaudit.functions.indicators import ADDRESS, INDICATORS, KNOWN_HOSTS
 from pkgaudit.operators import explore, package_files, triage
 from pkgaudit.operators.keys import PACKAGE
-from pkgaudit.session import spread
+from pkgaudit.session import cut_lineage, spread
 
 
 def _files(spark, sf_dir):
@@ -92,11 +92,11 @@ def triage_files(spark, sf_dir):
 
 def triage_report(spark, sf_dir):
     files = _files(spark, sf_dir)
-    return triage.triage_report(triage.triage(files), files, 5)
+    return triage.triage_report(cut_lineage(triage.triage(files)), files, 5)
 
 
 def investigation_plan(spark, sf_dir):
-    return _text(triage.investigation_plan(triage.triage(_files(spark, sf_dir))))
+    return _text(triage.investigation_plan(cut_lineage(triage.triage(_files(spark, sf_dir)))))
 
 
 def list_files(spark, sf_dir):

@@ -120,7 +120,7 @@ INDICATORS = (
                "database_url")),
     Indicator("dynamic-exec", "exec", 3,
               r"(?i)new\s+Function\s*\(|eval\s*\((?!uate)|exec\s*\([^)]*(?:\.toString|base64|decode|atob|compile)",
-              ("eval", "exec", r"re:new\s+function")),
+              ("eval", "exec", ("function", r"re:new\s+function"))),
     Indicator("subprocess-launch", "exec", 2,
               r"(?i)subprocess\.(?:Popen|run|call|check_output|check_call)\s*\(|os\.(?:system|popen)\s*\(",
               ("subprocess.", "os.system", "os.popen")),
@@ -190,10 +190,10 @@ INDICATORS = (
               r"(?i)crontab|launchctl\s+load|systemctl\s+enable|systemd.*service|\.pth|Library/LaunchAgents|"
               r"HKEY_(?:LOCAL_MACHINE|CURRENT_USER)|reg(?:\.exe)?\s+add",
               ("crontab", "launchctl", "systemctl", "systemd", ".pth", "library/launchagents", "hkey_",
-               r"re:reg(?:\.exe)?\s+add")),
+               ("add", r"re:reg(?:\.exe)?\s+add"))),
     Indicator("archive-encrypt", "data-pkg", 3,
               r"(?i)tar\s+[a-z]*c[a-z]*f|openssl\s+enc|gpg\s+--encrypt|zip\s+-[er]",
-              ("openssl", "--encrypt", r"re:tar\s+[a-z]*c[a-z]*f", r"re:zip\s+-[er]")),
+              ("openssl", "--encrypt", r"re:tar\s+[a-z]*c[a-z]*f", ("zip", r"re:zip\s+-[er]"))),
     Indicator("known-artifacts", "data-pkg", 4,
               r"(?i)tpcp\.tar\.gz|payload\.enc|\.tar\.gz.*/tmp|/tmp.*\.tar\.gz", (".tar.gz", "payload.enc")),
     Indicator("monkey-patch", "hook", 4,
@@ -212,8 +212,8 @@ INDICATORS = (
               r"""os\.name\s*==\s*['"](nt|posix)['"][\s\S]{0,300}subprocess""",
               ("process.platform", "os.platform()", "os.name")),
     Indicator("unicode-bidi", "trojan-source", 4,
-              r"[‪‫‬‭‮⁦⁧⁨⁩‏؜]", (NON_ASCII,)),
-    Indicator("zero-width-chars", "trojan-source", 4, r"[​‌‍﻿⁠]", (NON_ASCII,)),
+              r"[\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069\u200f\u061c]", (NON_ASCII,)),
+    Indicator("zero-width-chars", "trojan-source", 4, r"[\u200b\u200c\u200d\ufeff\u2060]", (NON_ASCII,)),
     Indicator("eval-on-response", "loader", 4,
               r"(?i)eval\s*\(\s*(response|data|payload|result|body|text|res|chunk)\b", ("eval",)),
     Indicator("write-then-exec", "loader", 4,
@@ -230,7 +230,7 @@ INDICATORS = (
 )
 
 # White space as the catalogue means it: more than the regular expressions of the JVM take \s for.
-SPACES = r"\s   -     　﻿"
+SPACES = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def jvm_pattern(pattern: str) -> str:
@@ -260,7 +260,7 @@ def _literals(needs: tuple) -> set[str]:
     return found
 
 
-GROUP = 6
+GROUP = 8
 LITERALS = sorted(set().union(*[_literals(i.needs) for i in INDICATORS]))
 
 

@@ -152,7 +152,8 @@ def investigation_plan(triaged: DataFrame, threshold: int = MIN_SCORE, cap: int
     files and the best of the others up to cap.
 
     The others are ranked with a constant bound, which limits a package's rows before they are moved;
-    only those few meet the package counts. Columns of the input are kept.
+    only those few meet the package counts. Columns of the input are kept. The input is read three
+    times: give it a written or checkpointed table, not a triage yet to be run.
     """
     above = triaged.filter(F.col("score") >= threshold).withColumn(
         "_trigger", F.col("path").rlike(paths.INSTALL_TRIGGER)

@@ -58,9 +58,9 @@ def scan(
 ) -> dict[str, DataFrame]:
     """The tables of a scan: dependencies, edges, paths, unresolved, vulnerabilities and summaries."""
     trees = dependency_trees(manifest_files, registry_docs)
-    nodes = graph.limit_package_depth(graph.merge_manifest_trees(trees["nodes"]), package_depth)
+    nodes = cut_lineage(graph.limit_package_depth(graph.merge_manifest_trees(trees["nodes"]), package_depth))
     deps = enrich.apply_provenance(nodes, enrich.verify_provenance(nodes, registry_docs))
-    vulns = audit_dependencies(deps, advisory_docs)
+    vulns = cut_lineage(audit_dependencies(nodes, advisory_docs))
     ages = enrich.package_ages(vulns, registry_docs, as_of)
     return {
         **trees,
@@ -75,18 +75,22 @@ def review_plan(
 ) -> dict[str, DataFrame]:
     """What to look into after a scan: eligible packages, their signals, scored files and prompts.
 
-    Packages with known vulnerabilities are taken out before any text is read.
+    The texts are scored in one narrow pass, and only the rows with indicators are kept, with their
+    text where the score calls for a look. Known vulnerable packages are taken out of those rows:
+    doing it before would move every text of the file table through a join.
     """
     eligible, blocked = findings.gate_candidates(deps, vulns)
     wanted = eligible.select(*PACKAGE).distinct()
-    ours = files.join(wanted, PACKAGE, "left_semi")
-    scored = triage.triage(ours, keep=("content",))
-    plan = triage.investigation_plan(scored)
+    scored = triage.triage(files, keep=("content",)).withColumn(
+        "content", F.when(F.col("score") >= triage.MIN_SCORE, F.col("content"))
+    )
+    kept = cut_lineage(scored.join(wanted, PACKAGE, "left_semi"))
+    plan = triage.investigation_plan(kept)
     return {
         "eligible": eligible,
         "blocked": blocked,
         "metadata": registry.package_metadata(registry_docs, as_of),
-        "triage": scored.drop("content"),
+        "triage": kept.drop("content"),
         "plan": plan.drop("content"),
         "prompts": findings.file_prompts(plan),
     }

@@ -14,7 +14,10 @@ def build_session(app_name: str = "pkgaudit", master: str | None = None) -> Spar
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.adaptive.optimizer.excludedRules", "")
+        .config("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "128m")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        # Plans are built from many small expressions; recording where each was written takes longer than planning.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
