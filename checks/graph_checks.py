@@ -81,26 +81,21 @@ def limit_package_depth(spark, sf_dir):
     return graph.limit_package_depth(view(spark, sf_dir, "fx_deps"), 2).select("ordinal", "depth")
 
 
-def _nodes(spark, sf_dir, file=None):
+def _graph_view(spark, sf_dir, file=None):
     deps = view(spark, sf_dir, "fx_lib_deps").withColumn("depth", (F.col("ordinal") % 3).cast("int"))
     vulns = view(spark, sf_dir, "fx_vulns_libs").filter("ordinal % 5 = 0")
-    return graph.graph_nodes(deps, vulns, file)
+    edges = view(spark, sf_dir, "fx_libs").select(
+        F.concat_ws("@", "name", "version").alias("source"), F.concat("next1", F.lit("@9.9.9")).alias("target")
+    )
+    return graph.graph_view(deps, edges, vulns, file)
 
 
 def graph_nodes(spark, sf_dir):
-    return _nodes(spark, sf_dir)
-
-
-def _label_edges(spark, sf_dir):
-    libs = view(spark, sf_dir, "fx_libs")
-    return libs.select(
-        F.concat_ws("@", "name", "version").alias("source"), F.concat("next1", F.lit("@9.9.9")).alias("target")
-    )
+    return _graph_view(spark, sf_dir)[0]
 
 
 def graph_edges(spark, sf_dir):
-    nodes = _nodes(spark, sf_dir, "repo1/m1")
-    return graph.graph_edges(_label_edges(spark, sf_dir), nodes)
+    return _graph_view(spark, sf_dir, "repo1/m1")[1]
 
 
 def dependencies_per_file(spark, sf_dir):

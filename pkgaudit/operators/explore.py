@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from pkgaudit.functions.paths import glob_pattern
-from pkgaudit.operators.keys import PACKAGE, first_per_key
+from pkgaudit.operators.keys import PACKAGE, compute_once, first_per_key
 
 LIST_LIMIT = 200
 MATCHES_PER_FILE = 5
@@ -62,11 +62,10 @@ def grep_files(files: DataFrame, pattern: str, file_glob: str | None = None, con
         rows = rows.filter(F.col("path").rlike("(?i)" + file_glob.replace("*", ".*")))
     expression = "(?i)" + pattern
     lines = F.split("content", "\n")
-    split = rows.withColumn("_lines", lines)
     numbers = F.filter(
-        F.transform("_lines", lambda line, i: F.when(line.rlike(expression), i + 1)), lambda n: n.isNotNull()
+        F.transform(lines, lambda line, i: F.when(line.rlike(expression), i + 1)), lambda n: n.isNotNull()
     )
-    hits = split.withColumn("_hits", F.slice(numbers, 1, MATCHES_PER_FILE)).filter(F.size("_hits") > 0)
+    hits = compute_once(rows, "_hits", F.slice(numbers, 1, MATCHES_PER_FILE)).filter(F.size("_hits") > 0)
     order = Window.partitionBy(*PACKAGE).orderBy("ordinal", "path")
     shown = hits.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= FILES_PER_PACKAGE)
     start = F.greatest(F.col("line") - context, F.lit(1))
@@ -77,6 +76,7 @@ def grep_files(files: DataFrame, pattern: str, file_glob: str | None = None, con
             (start + i).cast("string"), F.lit(": "), text,
         ),
     )
-    return shown.select(*PACKAGE, "path", "ordinal", "_lines", F.explode("_hits").alias("line")).select(
+    found = shown.withColumn("_lines", lines)
+    return found.select(*PACKAGE, "path", "ordinal", "_lines", F.explode("_hits").alias("line")).select(
         *PACKAGE, "path", "ordinal", "line", F.array_join(snippet, "\n").alias("snippet")
     )

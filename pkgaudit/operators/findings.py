@@ -13,7 +13,7 @@ from pkgaudit.functions.json_text import extract_json
 from pkgaudit.functions.labels import truncate
 from pkgaudit.functions.paths import without_package_prefix
 from pkgaudit.functions.severity import SEVERITIES, normalize_severity, severity_rank
-from pkgaudit.operators.keys import PACKAGE, first_per_key, package_label
+from pkgaudit.operators.keys import PACKAGE, compute_once, first_per_key, package_label
 from pkgaudit.operators.package_files import entry_points, suspicious_files
 from pkgaudit.operators.triage import indicators_by_count
 
@@ -158,7 +158,7 @@ def package_context(findings: DataFrame, files: DataFrame, scripts: DataFrame) -
 
 def json_in(responses: DataFrame, column: str = "response") -> DataFrame:
     """Responses with the JSON part of their text in column 'json'."""
-    return responses.withColumn("json", extract_json(F.col(column)))
+    return compute_once(responses, "json", extract_json(F.col(column)))
 
 
 def normalize_findings(responses: DataFrame) -> DataFrame:

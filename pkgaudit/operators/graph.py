@@ -275,5 +275,13 @@ def graph_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def graph_view(
+    deps: DataFrame, edges: DataFrame, vulns: DataFrame, file: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the graph of all manifests or of one."""
+    nodes = graph_nodes(deps, vulns, file)
+    return nodes, graph_edges(edges, nodes)
+
+
 def dependencies_per_file(deps: DataFrame) -> DataFrame:
     return deps.groupBy("file").agg(F.count(F.lit(1)).alias("dependency_count")).orderBy("file")
