@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pkgaudit.functions.binding import bind
+
 NUMBER_WIDTH = 20
 
 
@@ -24,23 +26,31 @@ def natural_key(text: Column) -> Column:
 
 
 def version_key(version: Column) -> Column:
-    """Orderable key: numeric core without trailing zeros, then stage (pre, final, post), then the tail."""
+    """Text that sorts as versions do: numeric core without trailing zeros, then stage (pre, final, post), then the tail.
+
+    Every number is led by its count of digits, so numbers of any size compare as text; the mark
+    between core and stage sorts before digits, so a shorter core comes first.
+    """
     bare = F.regexp_replace(F.trim(version), r"^[vV]", "")
     core = F.regexp_extract(bare, r"^\d+(?:\.\d+)*", 0)
     tail = F.regexp_replace(bare, r"^\d+(?:\.\d+)*", "")
     numbers = F.transform(
-        F.split(F.regexp_replace(core, r"(\.0+)+$", ""), r"\."), lambda p: p.try_cast("decimal(38,0)")
-    )
-    stage = (
-        F.when((tail == "") | tail.startswith("+"), 1)
-        .when(F.lower(tail).rlike(r"^[.-]?post"), 2)
-        .otherwise(0)
-    )
-    return F.struct(
-        numbers.alias("core"), stage.alias("stage"),
-        F.when(stage == 1, F.lit("")).otherwise(natural_key(tail)).alias("tail"),
+        F.split(F.regexp_replace(core, r"(\.0+)+$", ""), r"\."),
+        lambda p: bind(
+            F.regexp_replace(p, r"^0+(?=\d)", ""),
+            lambda digits: F.concat(F.lpad(F.length(digits).cast("string"), 2, "0"), digits),
+        ),
     )
 
+    def ending(rest: Column) -> Column:
+        return (
+            F.when((rest == "") | rest.startswith("+"), F.lit("!1"))
+            .when(F.lower(rest).rlike(r"^[.-]?post"), F.concat(F.lit("!2"), natural_key(rest)))
+            .otherwise(F.concat(F.lit("!0"), natural_key(rest)))
+        )
+
+    return F.concat(F.array_join(numbers, ""), bind(tail, ending))
+
 
 def strip_operators(spec: Column) -> Column:
     return F.regexp_replace(spec, r"^[>=<~!^]+", "")
