@@ -121,29 +121,27 @@ def package_context(findings: DataFrame, files: DataFrame, scripts: DataFrame) -
     """(package, section, label, text) rows of the code behind the findings to look at again.
 
     Rows, not one text per package: a large package gives many rows and no large value. scripts holds
-    (package, hook, content). The listing is the first 200 paths.
+    (package, hook, content). The listing is the first 200 paths. Files are picked by their paths
+    before they meet the packages, so only the texts that can be shown are moved.
     """
     wanted = needs_deep(findings).select(
         "ecosystem", F.col("package_name").alias("name"), F.col("package_version").alias("version")
     ).distinct()
-    ours = files.join(wanted, PACKAGE, "left_semi")
     script_rows = scripts.join(wanted, PACKAGE, "left_semi").select(
         *PACKAGE, F.lit("install script").alias("section"), F.col("hook").alias("label"), F.col("content").alias("text")
     )
-    suspicious = suspicious_files(ours).select(
+    suspicious = suspicious_files(files).join(wanted, PACKAGE, "left_semi").select(
         *PACKAGE, F.lit("suspicious file").alias("section"), F.col("path").alias("label"),
         truncate(F.col("content"), CONTEXT_TEXT_LENGTH).alias("text"),
     )
-    entry_rows = first_per_key(
-        ours.join(entry_points(ours), [*PACKAGE, "path"], "left_semi").select(*PACKAGE, "path", "ordinal", "content"),
-        PACKAGE, F.col("ordinal"),
-    ).select(
+    entry_rows = entry_points(files, keep=("content",)).join(wanted, PACKAGE, "left_semi").select(
         *PACKAGE, F.lit("entry point").alias("section"), F.col("path").alias("label"),
         truncate(F.col("content"), ENTRY_TEXT_LENGTH).alias("text"),
     )
     order = Window.partitionBy(*PACKAGE).orderBy("ordinal", "path")
     listed = (
-        ours.select(*PACKAGE, "path", "ordinal")
+        files.select(*PACKAGE, "path", "ordinal")
+        .join(wanted, PACKAGE, "left_semi")
         .withColumn("_n", F.row_number().over(order))
         .filter(F.col("_n") <= LISTED_PATHS)
         .groupBy(*PACKAGE)

@@ -17,10 +17,13 @@ def select_text_files(files: DataFrame) -> DataFrame:
     )
 
 
-def entry_points(files: DataFrame, mains: DataFrame | None = None) -> DataFrame:
-    """Path of each package's entry file; mains gives (ecosystem, name, version, main) where declared."""
+def entry_points(files: DataFrame, mains: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Path of each package's entry file; mains gives (ecosystem, name, version, main) where declared.
+
+    Only files that can be one are moved; keep names further columns to carry.
+    """
     path, eco, name = F.col("path"), F.col("ecosystem"), F.col("name")
-    columns = [*PACKAGE, "path", "ordinal"]
+    columns = [*PACKAGE, "path", "ordinal", *keep]
     rows = files.select(*columns)
     if mains is not None:
         rows = rows.join(mains.select(*PACKAGE, "main"), PACKAGE, "left")
@@ -37,7 +40,8 @@ def entry_points(files: DataFrame, mains: DataFrame | None = None) -> DataFrame:
         "ruby": path.endswith(F.concat(F.lit("/lib/"), F.replace(name, F.lit("-"), F.lit("_")), F.lit(".rb")))
         | path.endswith(F.concat(F.lit("/lib/"), name, F.lit(".rb"))) | path.endswith("/lib.rb"),
     })
-    return rows.filter(matches).groupBy(*PACKAGE).agg(F.min_by("path", "ordinal").alias("path"))
+    first = F.min_by(F.struct("path", *keep), F.col("ordinal"))
+    return rows.filter(matches).groupBy(*PACKAGE).agg(first.alias("_f")).select(*PACKAGE, "_f.*")
 
 
 def suspicious_files(files: DataFrame) -> DataFrame:
