@@ -29,13 +29,14 @@ def version_key(version: Column) -> Column:
     """Text that sorts as versions do: numeric core without trailing zeros, then stage (pre, final, post), then the tail.
 
     Every number is led by its count of digits, so numbers of any size compare as text; the mark
-    between core and stage sorts before digits, so a shorter core comes first.
+    between core and stage sorts before digits, so a shorter core comes first. Repeated groups are
+    possessive: the JVM recurses on others, and a version text may be arbitrarily long.
     """
     bare = F.regexp_replace(F.trim(version), r"^[vV]", "")
-    core = F.regexp_extract(bare, r"^\d+(?:\.\d+)*", 0)
-    tail = F.regexp_replace(bare, r"^\d+(?:\.\d+)*", "")
+    core = F.regexp_extract(bare, r"^\d+(?:\.\d+)*+", 0)
+    tail = F.regexp_replace(bare, r"^\d+(?:\.\d+)*+", "")
     numbers = F.transform(
-        F.split(F.regexp_replace(core, r"(\.0+)+$", ""), r"\."),
+        F.split(F.regexp_replace(core, r"(?:\.0+)++$", ""), r"\."),
         lambda p: bind(
             F.regexp_replace(p, r"^0+(?=\d)", ""),
             lambda digits: F.concat(F.lpad(F.length(digits).cast("string"), 2, "0"), digits),

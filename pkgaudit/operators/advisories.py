@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pkgaudit import schemas
 from pkgaudit.functions.severity import (
     SEVERITIES,
-    SEVERITY_FLOORS,
     cvss3_score,
     infer_severity_from_text,
     severity_bucket,

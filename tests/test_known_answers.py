@@ -63,6 +63,9 @@ def test_version_order(spark):
     equal = spark.createDataFrame([("1.0", "1.0.0"), ("v1.2", "1.2.0"), ("2.0.0+build", "2.0")], "a string, b string")
     same = equal.select((versions.version_key(F.col("a")) == versions.version_key(F.col("b"))).alias("s"))
     assert all(r[0] for r in same.collect())
+    long = spark.createDataFrame([("1" + ".2" * 100_000,), ("1" + ".0" * 100_000,), ("9" * 60,)], "v string")
+    keys = [r[0] for r in long.select(versions.version_key(F.col("v"))).collect()]
+    assert keys[1] == "011!1" and keys[2] > keys[0] > keys[1]
 
 
 CASES = [

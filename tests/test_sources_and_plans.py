@@ -154,3 +154,41 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     folder = ensure_checkpoint_dir(spark)
     assert folder and ensure_checkpoint_dir(spark) == folder
     assert os.sep in folder
+
+
+def test_review_plan_and_report(spark):
+    docs = spark.createDataFrame(DOCS, "ecosystem string, kind string, name string, version string, status int, body string")
+    docs = docs.withColumn("url", F.concat_ws("/", "kind", "name", "version"))
+    deps = spark.createDataFrame([("npm", n, "1.0.0") for n in ("a", "b", "c")], "ecosystem string, name string, version string")
+    vulns = spark.createDataFrame(
+        [(1, "V", "npm", "b", "1.0.0", "HIGH", "t"), (2, "W", "npm", "c", "1.0.0", "LOW", "t")],
+        "ordinal long, id string, ecosystem string, package_name string, package_version string, severity string, title string")
+    files = spark.createDataFrame([
+        (i, "npm", name, "1.0.0", path, text) for i, (name, path, text) in enumerate([
+            ("a", "lib/x.js", "eval(response)"), ("a", "lib/y.js", "fetch(u)"), ("b", "lib/z.js", "eval(response)"),
+            ("c", "lib/plain.js", "add(1, 2)"),
+        ])
+    ], "ordinal long, ecosystem string, name string, version string, path string, content string")
+    out = scan.review_plan(deps, vulns, files, docs, "2024-02-01 00:00:00")
+    assert sorted(r.name for r in out["eligible"].collect()) == ["a", "c"]
+    assert [r.name for r in out["blocked"].collect()] == ["b"]
+    assert sorted((r.path, r.score) for r in out["triage"].collect()) == [("lib/x.js", 13), ("lib/y.js", 1)]
+    assert [r.path for r in out["plan"].collect()] == ["lib/x.js"]
+    prompt = out["prompts"].first().prompt
+    assert "eval(response)" in prompt and "dynamic-exec (1 matches)" in prompt
+    found = spark.createDataFrame(
+        [(1, "a", "1.0.0", "npm", "persistence", "HIGH", 0.9, "t", "d", "r", False),
+         (2, "a", "1.0.0", "npm", "persistence", "HIGH", 0.9, "t", "d", "r", False)],
+        "ordinal long, package_name string, package_version string, ecosystem string, category string, severity string, "
+        "confidence double, title string, description string, remediation string, deep_investigated boolean")
+    verdicts = spark.createDataFrame(
+        [(1, "CONFIRMED", "critical", 2.0, "steps", None, None)],
+        "ordinal long, verdict string, adjusted_severity string, adjusted_confidence double, attack_chain string, "
+        "data_at_risk string, remediation string")
+    report = scan.review_report(found, verdicts, vulns)
+    row = report["findings"].collect()
+    assert [(r.severity, r.confidence, r.deep_investigated) for r in row] == [("CRITICAL", 1.0, True)]
+    assert row[0].description == "d\n\nAttack chain: steps\nData at risk: Unknown"
+    packages = [(r.package_name, r.highest_severity) for r in report["packages"].collect()]
+    assert packages == [("a", "CRITICAL"), ("b", "HIGH"), ("c", "LOW")]
+    assert report["packages_summary"].first().total_packages == 3

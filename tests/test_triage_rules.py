@@ -135,3 +135,15 @@ def test_a_filter_on_the_score_does_not_repeat_the_scan(files):
     filters = [line for line in plan.splitlines() if "Filter" in line]
     assert plan.count("Generate explode") == 2
     assert filters and not any("arrays_overlap" in line or "regexp" in line for line in filters)
+
+
+def test_long_repeats_do_not_exhaust_the_stack(spark):
+    texts = ["\\x41" * 120_000, "String.fromCharCode(" + ",1" * 120_000 + ")", "a" * 400_000 + " eval(x)",
+             "require(" * 5_000]
+    rows = [(i, "npm", "p", "1", f"f{i}.js", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(
+        rows, "ordinal long, ecosystem string, name string, version string, path string, content string")
+    got = {r.path: dict(r.indicators) for r in triage.triage(df).collect()}
+    assert got["f0.js"]["hex-base64-blob"] == 1 and got["f2.js"]["hex-base64-blob"] == 1
+    # Each match takes the first letter of the next word with it.
+    assert got["f3.js"]["dynamic-import"] == 2_500
