@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pkgaudit.llm import sharding
+from pkgaudit.llm import exact_dedup, mixing, sharding
 
-MODULES = (sharding,)
+MODULES = (mixing, exact_dedup, sharding)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
