@@ -19,6 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pkgaudit.llm.common import need, ship, table
 
@@ -271,7 +272,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(ids, pa.list_(pa.int32()))], [*part.schema.names, "input_ids"])
 
-    schema = docs.schema.add("input_ids", "array<int>")
+    schema = T.StructType([*docs.schema.fields, T.StructField("input_ids", T.ArrayType(T.IntegerType()))])
     return docs.mapInArrow(run, schema)
 
 
@@ -291,7 +292,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None, pattern: str |
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(batch.schema.get_field_index(n)) for n in kept), pa.array(texts)], [*kept, "decoded"])
 
-    schema = encoded.drop("input_ids").schema.add("decoded", "string")
+    schema = T.StructType([*encoded.drop("input_ids").schema.fields, T.StructField("decoded", T.StringType())])
     return encoded.mapInArrow(run, schema)
 
 
