@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pkgaudit.llm import byte_bpe, exact_dedup, mixing, sharding
+from pkgaudit.llm import byte_bpe, exact_dedup, mixing, quality_rules, sharding
 
-MODULES = (mixing, exact_dedup, byte_bpe, sharding)
+MODULES = (mixing, quality_rules, exact_dedup, byte_bpe, sharding)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
