@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pkgaudit.llm import byte_bpe, exact_dedup, mixing, pii, quality_rules, sharding
+from pkgaudit.llm import byte_bpe, exact_dedup, mixing, near_dedup, pii, quality_rules, sharding
 
-MODULES = (mixing, quality_rules, exact_dedup, byte_bpe, sharding, pii)
+MODULES = (mixing, quality_rules, near_dedup, exact_dedup, byte_bpe, sharding, pii)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
