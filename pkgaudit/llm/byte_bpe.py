@@ -13,8 +13,11 @@ from __future__ import annotations
 import base64
 import codecs
 import gc
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +28,9 @@ from pkgaudit.llm.common import need, ship, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # States and pieces a worker keeps; beyond that it forgets all and goes on.
-KEPT_STATES = 300_000
+KEPT_STATES = 250_000
 NEVER = 1 << 60
-KEPT_PAIRS = 1_000_000
+KEPT_PAIRS = 500_000
 KEPT_PIECES = 150_000
 KEPT_PIECE_CHARS = 32
 
@@ -49,13 +52,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-class State:
-    """The token in front, the bytes pending and their last tokens; what to emit at the end; the known transitions."""
+class State(dict):
+    """byte -> (next state, tokens settled), made when first asked for.
 
-    __slots__ = ("key", "rest", "after")
+    Its key: the token in front, the bytes pending and their last tokens.
+    """
+
+    __slots__ = ("key", "of")
+
+    def __init__(self, key: tuple, of: Transducer):
+        self.key, self.of = key, of
 
-    def __init__(self, key: tuple, rest: tuple[int, ...]):
-        self.key, self.rest, self.after = key, rest, {}
+    def __missing__(self, byte: int) -> tuple[State, tuple]:
+        after = self[byte] = self.of.step(self, byte)
+        return after
 
 
 class Transducer:
@@ -181,7 +191,7 @@ class Transducer:
     def _state(self, key: tuple) -> State:
         state = self.states.get(key)
         if state is None:
-            state = self.states[key] = State(key, tuple(self._chain(key[2], len(key[1]))))
+            state = self.states[key] = State(key, self)
         return state
 
     def encode(self, data: bytes) -> tuple[int, ...]:
@@ -193,13 +203,11 @@ class Transducer:
         out: list[int] = []
         state = self.start
         for byte in data:
-            known = state.after.get(byte)
-            if known is None:
-                known = state.after[byte] = self.step(state, byte)
-            state, settled = known
+            state, settled = state[byte]
             if settled:
                 out += settled
-        return (*out, *state.rest)
+        _, pending, last = state.key
+        return (*out, *self._chain(last, len(pending)))
 
 
 class Codec:
@@ -208,23 +216,23 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         self.transducer = Transducer(read_ranks(path))
         self.pieces = regex.compile(pattern).findall
-        # Pieces met lately, and those met before: a piece met again moves to the first.
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        get, extend = self.known.get, ids.extend
-        for piece in self.pieces(text):
-            tokens = get(piece)
-            if tokens is None:
-                tokens = self.older.get(piece) or self.transducer.encode(piece.encode())
+        # Pieces met lately, and those met before, with their ids as packed integers: a piece met again moves to the first.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text, as 32-bit integers."""
+        pieces = self.pieces(text)
+        parts = list(map(self.known.get, pieces))
+        for i, packed in enumerate(parts):
+            if packed is None:
+                piece = pieces[i]
+                parts[i] = self.older.get(piece) or array("i", self.transducer.encode(piece.encode())).tobytes()
                 if len(piece) <= KEPT_PIECE_CHARS:
-                    self.known[piece] = tokens
-            extend(tokens)
+                    self.known[piece] = parts[i]
         if len(self.known) >= KEPT_PIECES:
             self.known, self.older = {}, self.known
-        return ids
+        return np.frombuffer(b"".join(parts), np.int32)
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.transducer.tokens.__getitem__, ids))
@@ -232,13 +240,10 @@ class Codec:
     def decode_stream(self, ids: Iterable[int], at_a_time: int = 4096) -> Iterator[str]:
         """Text as ids come in: an incremental UTF-8 machine keeps the bytes of a character still open."""
         machine = codecs.getincrementaldecoder("utf-8")(errors="replace")
-        held: list[int] = []
-        for token in ids:
-            held.append(token)
-            if len(held) == at_a_time:
-                yield machine.decode(self.decode_bytes(held))
-                held.clear()
-        yield machine.decode(self.decode_bytes(held), final=True)
+        coming = iter(ids)
+        while held := list(islice(coming, at_a_time)):
+            yield machine.decode(self.decode_bytes(held))
+        yield machine.decode(b"", final=True)
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -269,8 +274,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids = [coder.encode(t.as_py() or "") for t in part.column(place)]
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(ids, pa.list_(pa.int32()))], [*part.schema.names, "input_ids"])
+                    [*part.columns, pa.ListArray.from_arrays(ends, np.concatenate(ids))],
+                    [*part.schema.names, "input_ids"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("input_ids", T.ArrayType(T.IntegerType()))])
     return docs.mapInArrow(run, schema)
@@ -287,7 +294,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None, pattern: str |
         coder = codec(path, pattern)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("input_ids"))
-            texts = ["".join(coder.decode_stream(i.as_py() or ())) for i in ids]
+            texts = ["".join(coder.decode_stream(i.values.to_numpy().tolist() if i.is_valid else ())) for i in ids]
             kept = [n for n in batch.schema.names if n != "input_ids"]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(batch.schema.get_field_index(n)) for n in kept), pa.array(texts)], [*kept, "decoded"])
