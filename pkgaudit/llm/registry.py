@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
-from pkgaudit.llm import byte_bpe, chat, exact_dedup, mixing, near_dedup, pii, quality_rules, sharding
+from pkgaudit.llm import (
+    byte_bpe,
+    chat,
+    exact_dedup,
+    mixing,
+    near_dedup,
+    pii,
+    quality_classifier,
+    quality_rules,
+    secrets,
+    sharding,
+)
 
-MODULES = (mixing, chat, quality_rules, near_dedup, exact_dedup, byte_bpe, sharding, pii)
+MODULES = (
+    mixing, chat, quality_rules, near_dedup, exact_dedup, quality_classifier, secrets, byte_bpe, sharding, pii,
+)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
