@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pkgaudit.llm.common import need, ship, stored, table
+from pkgaudit.llm.common import need, release, ship, stored, table
 
 SKETCH = 64
 LISTED = 32
@@ -104,14 +104,19 @@ def signatures(docs: DataFrame, size: int = 2) -> DataFrame:
     ).mapInArrow(run, "doc_id long, row long, text_hash long, n long, k1 long, k2 long, sketch array<long>")
 
 
-def inverted_index(reps: DataFrame) -> DataFrame:
-    """row, n, values (those other sets have too, rare ones first), p: how many of them are listed."""
+def inverted_index(marks: DataFrame, reps: DataFrame) -> DataFrame:
+    """row, n, values (those other rows have too, rare ones first), p: how many of them are listed.
+
+    Any one order of values will do, so they are counted over all rows, copies too.
+    """
     # Sets of under 4 shingles have no partner at 0.8 but themselves.
-    entries = reps.filter("n >= 4").select("row", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
-    frequency = entries.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    def entries(of: DataFrame) -> DataFrame:
+        return of.filter("n >= 4").select("row", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
+
+    frequency = entries(marks).groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     must_share = F.least(F.lit(SHARED), F.ceil(F.col("n") * THRESHOLD / 100))
     return (
-        entries.join(frequency, "v").groupBy("row", "n")
+        entries(reps).join(frequency, "v").groupBy("row", "n")
         .agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("ordered"))
         .select("row", "n", F.transform("ordered", lambda x: x["v"]).alias("values"),
                 (F.size("ordered") - must_share + 1).cast("int").alias("p"))
@@ -124,6 +129,8 @@ def _near_in_size(a: Column, b: Column) -> Column:
 
 def estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs whose union sketch says they may be similar."""
+    # Written first: where the pairs are few, Spark then sends them to the sketches instead of dealing all out.
+    pairs = stored(pairs)
     both = pairs.join(sketches.select(F.col("row").alias("a"), F.col("sketch").alias("sa")), "a").join(
         sketches.select(F.col("row").alias("b"), F.col("sketch").alias("sb")), "b")
     union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, SKETCH)
@@ -248,17 +255,20 @@ def near_classes(docs: DataFrame, size: int = 2) -> DataFrame:
     are not read.
     """
     need(docs, "doc_id", "text")
+    spark = docs.sparkSession
     marks = stored(signatures(docs, size))
     classes = stored(marks.filter("n > 0").groupBy("n", "k1", "k2").agg(
         F.min("doc_id").alias("class_id"), F.min("row").alias("rep")))
     reps = marks.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
-    sketches = marks.select("row", "sketch")
-    index = stored(inverted_index(reps))
+    index = stored(inverted_index(marks, reps))
+    release(spark)
+    sketches = stored(marks.select("row", "sketch").join(index.select("row"), "row"))
     members = stored(index.select("row", "n", F.posexplode(F.slice("values", 1, F.col("p"))).alias("pos", "key")))
     wanted = index.select("row").join(marks.select("row", "doc_id", "text_hash"), "row")
     source = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
     texts = stored(source.join(wanted, source["_id"].eqNullSafe(wanted["doc_id"]) & (
         source["_hash"] == wanted["text_hash"])).select("row", "text"))
+    release(spark)
 
     labels, links = None, None
     for turn in range(ROUNDS):
@@ -266,8 +276,10 @@ def near_classes(docs: DataFrame, size: int = 2) -> DataFrame:
         new = verified(estimated(pairs, sketches), texts, size)
         links = stored(new if links is None else links.unionByName(new))
         labels = components(links)
+        release(spark)
     for pairs in _met_all(stored(_with_components(members, labels)), index):
         links = links.unionByName(stored(verified(estimated(pairs, sketches), texts, size)))
+        release(spark)
     labels = components(links)
 
     named = classes.join(labels.withColumnRenamed("row", "rep"), "rep", "left").withColumn(
