@@ -82,3 +82,16 @@ def need(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"columns missing: {', '.join(missing)}")
+
+
+def row_key(doc_id: Column, text_hash: Column) -> Column:
+    """One value for a row's id and text."""
+    return F.concat_ws("/", F.coalesce(doc_id.cast("string"), F.lit("null")), text_hash.cast("string"))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents whose id and text `kept` (doc_id, text_hash) names, one row for each."""
+    keys = kept.select(row_key(F.col("doc_id"), F.col("text_hash")).alias("_key")).distinct()
+    return (
+        docs.withColumn("_key", row_key(F.col("doc_id"), F.xxhash64("text"))).join(keys, "_key", "left_semi")
+        .dropDuplicates(["_key"]).drop("_key"))

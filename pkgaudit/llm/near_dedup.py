@@ -246,7 +246,7 @@ def _met_all(members: DataFrame, index: DataFrame) -> list[DataFrame]:
 
 
 def near_classes(docs: DataFrame, size: int = 2) -> DataFrame:
-    """doc_id, row, n_shingles, component_id of every row.
+    """doc_id, row, text_hash, n_shingles, component_id of every row.
 
     Rows are linked if their sets of distinct `size`-word shingles have a Jaccard of 0.8 or more, and
     component_id is the least doc_id reachable. A text of fewer words is one shingle; a null or blank
@@ -286,8 +286,8 @@ def near_classes(docs: DataFrame, size: int = 2) -> DataFrame:
         "comp", F.coalesce("comp", "rep"))
     least = named.groupBy("comp").agg(F.min("class_id").alias("component_id"))
     by_class = named.join(least, "comp").select("n", "k1", "k2", "component_id")
-    return marks.select("doc_id", "row", "n", "k1", "k2").join(by_class, ["n", "k1", "k2"], "left").select(
-        "doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return marks.select("doc_id", "row", "text_hash", "n", "k1", "k2").join(by_class, ["n", "k1", "k2"], "left").select(
+        "doc_id", "row", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
