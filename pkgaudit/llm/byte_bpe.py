@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import codecs
 import gc
+import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
 from itertools import islice
@@ -21,17 +22,16 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pkgaudit.llm.common import need, ship, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # States and pieces a worker keeps; beyond that it forgets all and goes on.
-KEPT_STATES = 250_000
+KEPT_STATES = 200_000
 NEVER = 1 << 60
-KEPT_PAIRS = 500_000
-KEPT_PIECES = 150_000
+KEPT_PAIRS = 400_000
+KEPT_PIECES = 120_000
 KEPT_PIECE_CHARS = 32
 
 
@@ -210,11 +210,32 @@ class Transducer:
         return (*out, *self._chain(last, len(pending)))
 
 
-class Codec:
+class Decoder:
+    """Ids to text, from the vocabulary alone."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.tokens = {rank: token for token, rank in ranks.items()}
+        self.names = {rank: str(rank) for rank in self.tokens}
+
+    def decode_bytes(self, ids: Iterable[int]) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
+
+    def decode_stream(self, ids: Iterable[int], at_a_time: int = 4096) -> Iterator[str]:
+        """Text as ids come in: an incremental UTF-8 machine keeps the bytes of a character still open."""
+        machine = codecs.getincrementaldecoder("utf-8")(errors="replace")
+        coming = iter(ids)
+        while held := list(islice(coming, at_a_time)):
+            yield machine.decode(self.decode_bytes(held))
+        yield machine.decode(b"", final=True)
+
+
+class Codec(Decoder):
     """Whole texts to ids and back."""
 
     def __init__(self, path: str, pattern: str):
-        self.transducer = Transducer(read_ranks(path))
+        ranks = read_ranks(path)
+        super().__init__(ranks)
+        self.transducer = Transducer(ranks)
         self.pieces = regex.compile(pattern).findall
         # Pieces met lately, and those met before, with their ids as packed integers: a piece met again moves to the first.
         self.known: dict[str, bytes] = {}
@@ -234,17 +255,6 @@ class Codec:
             self.known, self.older = {}, self.known
         return np.frombuffer(b"".join(parts), np.int32)
 
-    def decode_bytes(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.transducer.tokens.__getitem__, ids))
-
-    def decode_stream(self, ids: Iterable[int], at_a_time: int = 4096) -> Iterator[str]:
-        """Text as ids come in: an incremental UTF-8 machine keeps the bytes of a character still open."""
-        machine = codecs.getincrementaldecoder("utf-8")(errors="replace")
-        coming = iter(ids)
-        while held := list(islice(coming, at_a_time)):
-            yield machine.decode(self.decode_bytes(held))
-        yield machine.decode(b"", final=True)
-
 
 _CODECS: dict[tuple[str, str], Codec] = {}
 
@@ -283,15 +293,15 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     return docs.mapInArrow(run, schema)
 
 
-def decode_documents(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """All columns but input_ids, and decoded: the text the ids stand for. Null ids give an empty text."""
     need(encoded, "input_ids")
     ship(encoded.sparkSession)
-    path, pattern = path or vocabulary_path(), pattern or split_pattern()
+    path = path or vocabulary_path()
     encoded = encoded.drop("decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(path, pattern)
+        coder = Decoder(read_ranks(path))
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("input_ids"))
             texts = ["".join(coder.decode_stream(i.values.to_numpy().tolist() if i.is_valid else ())) for i in ids]
@@ -304,13 +314,30 @@ def decode_documents(encoded: DataFrame, path: str | None = None, pattern: str |
 
 
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: every text encoded, its ids decoded again."""
-    encoded = encode_documents(docs.select("doc_id", "text"), path, pattern).drop("text")
-    decoded = decode_documents(
-        encoded.select("doc_id", F.size("input_ids").cast("long").alias("n_tokens"), "input_ids",
-                       F.sha2(F.array_join(F.col("input_ids").cast("array<string>"), " "), 256).alias("ids_sha256")),
-        path, pattern)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: every text encoded and its ids decoded again, in one pass."""
+    need(docs, "doc_id", "text")
+    ship(docs.sparkSession)
+    path, pattern = path or vocabulary_path(), pattern or split_pattern()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = codec(path, pattern)
+        for batch in batches:
+            rows = []
+            for text in batch.column("text"):
+                ids = coder.encode(text.as_py() or "").tolist()
+                decoded = hashlib.sha256()
+                for piece in coder.decode_stream(ids):
+                    decoded.update(piece.encode())
+                named = " ".join(map(coder.names.__getitem__, ids))
+                rows.append((len(ids), hashlib.sha256(named.encode()).hexdigest(), decoded.hexdigest()))
+            n, ids_digests, text_digests = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_digests, pa.string()),
+                 pa.array(text_digests, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
