@@ -118,17 +118,16 @@ def remove_lines(docs: DataFrame, host: str = "source", limit: int = LIMIT) -> D
     For each row the hashes of its frequent lines are found first, so what joins the texts is one
     short list for the rows that have any.
     """
-    frequent = stored(frequent_lines(stored(profile(docs, host)), limit))
-    marked = docs.withColumn("_lines", F.split("text", "\n")).withColumn(
-        "_hashes", F.array_distinct(F.transform("_lines", lambda x: F.xxhash64(normalised_line(x)))))
-    by_host = marked.withColumn("_row", F.monotonically_increasing_id())
-    by_host = stored(by_host)
+    frequent = stored(frequent_lines(stored(profile(docs, host)), limit).select(
+        F.col("host").alias("_host"), F.col("h").alias("_h")))
+    marked = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+    hashes = F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(normalised_line(x))))
     hits = (
-        by_host.select("_row", F.col(host).alias("host"), F.explode("_hashes").alias("h"))
-        .join(frequent.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host")) & (
-            F.col("h") == frequent["h"])).groupBy("_row").agg(F.collect_set(frequent["h"]).alias("_drop")))
-    kept = F.filter("_lines", lambda x: ~F.array_contains(F.col("_drop"), F.xxhash64(normalised_line(x))))
-    return by_host.join(hits, "_row", "left").withColumn(
+        marked.select("_row", F.col(host).alias("_of"), F.explode(hashes).alias("_line"))
+        .join(frequent, F.col("_of").eqNullSafe(F.col("_host")) & (F.col("_line") == F.col("_h")))
+        .groupBy("_row").agg(F.collect_set("_h").alias("_drop")))
+    kept = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("_drop"), F.xxhash64(normalised_line(x))))
+    return marked.join(hits, "_row", "left").withColumn(
         "text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
 
 
