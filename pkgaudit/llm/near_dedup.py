@@ -1,15 +1,14 @@
 """Near-duplicate classes by bottom-k sketches of one hash function.
 
-A row's set holds the 64-bit hashes of its distinct word shingles; its sketch, the least values of
-the set. Rows with the same set are one class and go on as one. Of each sketch the first `listed`
-values go into inverted lists. Two sets with a Jaccard of 0.8 or more share at least `shared` of
-these (see `SHARED`), so, with values put in order from rare to frequent, they share one among the
-first (listed - shared + 1): only those are listed, which keeps common values out.
+A row's set holds the 64-bit hashes of its distinct word shingles; its sketch, the 64 least values of
+the set. Rows with the same set are one class and go on as one. Inverted lists are kept of runs of
+three neighbouring retained values: two sets with a Jaccard of 0.8 or more share such a run (see
+`RUN`), while common values, met one by one, say little.
 
 Lists are not expanded into all pairs. In some rounds each member meets one chosen member of the
 list, which joins large groups at once; then only members of a list that are still in different
-components meet. A list too long for that is split by its members' next values. Pairs pass a filter
-on the sketch of the union and are confirmed on full sets read from the texts.
+components meet, in a long list by the rarest values they share within it. Pairs pass a filter on
+the sketch of the union and are confirmed on full sets read from the texts.
 """
 
 from __future__ import annotations
@@ -25,16 +24,19 @@ from pyspark.sql import functions as F
 from pkgaudit.llm.common import need, release, ship, stored, table
 
 SKETCH = 64
-LISTED = 32
-# Of the 32 least values of a union, each lies in both sets with probability 0.8 or more: fewer than
-# 8 do for one link in 4e11 at a Jaccard of just 0.8, and for far fewer above.
-SHARED = 8
+# Each of the 64 least values of a union lies in both sets with probability 0.8 or more, and such values
+# that follow each other in the union do so in both sketches. No three in a row: 1 link in 1e10 at a
+# Jaccard of just 0.8, far fewer above. In a union of 6 to 64 values there are always three in a row,
+# in one of 5 two.
+RUN = 3
+SHORT = 5
+# Two sketches share 28 values or more but for 1 link in 3e10; small ones, which are whole sets, 0.8 of theirs.
+SHARED = 28
 # Of 64 values at Jaccard 0.8, under 29 are shared for about one pair in 1e10.
 LEAST_ESTIMATE = 0.45
 THRESHOLD = 80
 ROUNDS = 2
 LIST_ROWS = 64
-LEVELS = 3
 SALT_ROWS = 256
 KEPT_WORDS = 300_000
 
@@ -104,23 +106,22 @@ def signatures(docs: DataFrame, size: int = 2) -> DataFrame:
     ).mapInArrow(run, "doc_id long, row long, text_hash long, n long, k1 long, k2 long, sketch array<long>")
 
 
-def inverted_index(marks: DataFrame, reps: DataFrame) -> DataFrame:
-    """row, n, values (those other rows have too, rare ones first), p: how many of them are listed.
-
-    Any one order of values will do, so they are counted over all rows, copies too.
-    """
+def runs(marks: DataFrame) -> DataFrame:
+    """row, n, key: the inverted lists that a row is in, one for each run of its sketch."""
     # Sets of under 4 shingles have no partner at 0.8 but themselves.
-    def entries(of: DataFrame) -> DataFrame:
-        return of.filter("n >= 4").select("row", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
+    def of_length(length: int) -> Column:
+        return F.transform(
+            F.slice("sketch", F.lit(1), F.greatest(F.size("sketch") - (length - 1), F.lit(0))),
+            lambda v, i: F.xxhash64(v, *[F.get("sketch", i + k) for k in range(1, length)]))
+
+    keys = F.when(F.col("n") <= SHORT, F.concat(of_length(RUN), of_length(RUN - 1))).otherwise(of_length(RUN))
+    return marks.filter("n >= 4").select("row", "n", F.explode(keys).alias("key"))
 
-    frequency = entries(marks).groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    must_share = F.least(F.lit(SHARED), F.ceil(F.col("n") * THRESHOLD / 100))
-    return (
-        entries(reps).join(frequency, "v").groupBy("row", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("ordered"))
-        .select("row", "n", F.transform("ordered", lambda x: x["v"]).alias("values"),
-                (F.size("ordered") - must_share + 1).cast("int").alias("p"))
-        .filter("p > 0"))
+
+def inverted_lists(marks: DataFrame, reps: DataFrame) -> DataFrame:
+    """row, n, key of the lists that more than one row is in (copies count here, but only classes are listed)."""
+    shared = runs(marks).groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
+    return runs(reps).join(shared, "key", "left_semi")
 
 
 def _near_in_size(a: Column, b: Column) -> Column:
@@ -223,26 +224,44 @@ def _met_one(members: DataFrame, turn: int) -> DataFrame:
         .select("a", F.col("row").alias("b")).distinct())
 
 
-def _met_all(members: DataFrame, index: DataFrame) -> list[DataFrame]:
-    """Pairs of members of a list in different components, long lists split by further values first."""
-    found = []
-    for level in range(1, LEVELS + 1):
-        open_lists = members.groupBy("key").agg(
-            F.count(F.lit(1)).alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
-        members = stored(members.join(open_lists.select("key", "m"), "key"))
-        whole = members if level == LEVELS else members.filter(F.col("m") <= LIST_ROWS)
-        left = whole.select("key", F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
-        found.append(
-            whole.join(left, "key").filter("a < row and comp <> comp_a")
-            .filter(_near_in_size(F.col("n"), F.col("n_a"))).select("a", F.col("row").alias("b")).distinct())
-        if level < LEVELS:
-            # Similar sets share SHARED values: the next shared one lies within the listed ones and `level` more.
-            longer = members.filter(F.col("m") > LIST_ROWS).join(index.select("row", "values", "p"), "row")
-            members = longer.select(
-                "row", "n", "comp", F.col("key").alias("before"), F.col("pos").alias("from"),
-                F.posexplode(F.slice("values", 1, F.col("p") + level)).alias("pos", "v"),
-            ).filter("pos > from").select("row", "n", "comp", F.xxhash64("before", "v").alias("key"), "pos")
-    return found
+def _apart(left: DataFrame, right: DataFrame, on: list[str], also: str = "true") -> DataFrame:
+    """Pairs of two rows of a list in different components, each once.
+
+    One of the two is outside the list's least component, `low`: only such rows are looked up.
+    """
+    loose = left.filter("comp <> low").select(
+        *on, F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"),
+        *[F.col(c).alias(f"{c}_a") for c in ("first",) if c in left.columns])
+    return (
+        loose.join(right, on).filter("comp <> comp_a and (comp = low or a < row)")
+        .filter(_near_in_size(F.col("n"), F.col("n_a"))).filter(also).select("a", F.col("row").alias("b")).distinct())
+
+
+def _met_all(members: DataFrame, sketches: DataFrame) -> list[DataFrame]:
+    """Pairs of members of a list in different components.
+
+    In a long list they are those that share one of the rarest values of their sketches: with values in
+    order from rare to frequent within the list, one of the first (64 - SHARED + 1) is shared.
+    """
+    open_lists = members.groupBy("key").agg(
+        F.count(F.lit(1)).alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
+    members = stored(members.join(open_lists.select("key", "m", "low"), "key"))
+    short = members.filter(F.col("m") <= LIST_ROWS)
+    values = stored(
+        members.filter(F.col("m") > LIST_ROWS).join(sketches, "row")
+        .select("key", "row", "n", "comp", "low", F.explode("sketch").alias("v")))
+    frequency = values.groupBy("key", "v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    must_share = F.least(F.lit(SHARED), F.ceil(F.col("n") * THRESHOLD / 100))
+    ordered = (
+        values.join(frequency, ["key", "v"]).groupBy("key", "row", "n", "comp", "low")
+        .agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("ordered"))
+        .withColumn("first", F.slice(F.transform("ordered", lambda x: x["v"]), F.lit(1), F.greatest(
+            F.size("ordered") - must_share + 1, F.lit(0)).cast("int")))
+        .select("key", "row", "n", "comp", "low", "first", F.explode("first").alias("v")))
+    ordered = stored(ordered)
+    # A pair comes out under the first value that both have.
+    return [_apart(short, short, ["key"]),
+            _apart(ordered, ordered, ["key", "v"], "get(array_intersect(first_a, first), 0) = v")]
 
 
 def near_classes(docs: DataFrame, size: int = 2) -> DataFrame:
@@ -260,11 +279,11 @@ def near_classes(docs: DataFrame, size: int = 2) -> DataFrame:
     classes = stored(marks.filter("n > 0").groupBy("n", "k1", "k2").agg(
         F.min("doc_id").alias("class_id"), F.min("row").alias("rep")))
     reps = marks.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
-    index = stored(inverted_index(marks, reps))
+    members = stored(inverted_lists(marks, reps))
     release(spark)
-    sketches = stored(marks.select("row", "sketch").join(index.select("row"), "row"))
-    members = stored(index.select("row", "n", F.posexplode(F.slice("values", 1, F.col("p"))).alias("pos", "key")))
-    wanted = index.select("row").join(marks.select("row", "doc_id", "text_hash"), "row")
+    listed = stored(members.select("row").distinct())
+    sketches = stored(marks.select("row", "sketch").join(listed, "row"))
+    wanted = listed.join(marks.select("row", "doc_id", "text_hash"), "row")
     source = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
     texts = stored(source.join(wanted, source["_id"].eqNullSafe(wanted["doc_id"]) & (
         source["_hash"] == wanted["text_hash"])).select("row", "text"))
@@ -277,7 +296,7 @@ def near_classes(docs: DataFrame, size: int = 2) -> DataFrame:
         links = stored(new if links is None else links.unionByName(new))
         labels = components(links)
         release(spark)
-    for pairs in _met_all(stored(_with_components(members, labels)), index):
+    for pairs in _met_all(stored(_with_components(members, labels)), sketches):
         links = links.unionByName(stored(verified(estimated(pairs, sketches), texts, size)))
         release(spark)
     labels = components(links)

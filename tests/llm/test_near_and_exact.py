@@ -76,7 +76,7 @@ def test_near_classes(odd):
 
 
 def test_long_lists_are_split(spark, monkeypatch):
-    """Lists above the bound go through all levels; chains of links are followed."""
+    """Lists above the bound are split by the values their members share; chains of links are followed."""
     monkeypatch.setattr(N, "LIST_ROWS", 2)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(60)]
