@@ -143,6 +143,12 @@ def key_sql(v: str) -> str:
             "lambda x: cast(x as bigint))")
 
 
+def stopped(stop: str, start: str = "") -> str:
+    """The version asked for lies before a stop, or the stop before the start of the interval."""
+    behind = f" or {key_sql(stop)} <= {key_sql(start)}" if start else ""
+    return f"({stop} is null or {key_sql('query_version')} < {key_sql(stop)}{behind})"
+
+
 TEXT_SQL = (
     "case when upper(id) like 'MAL-%' then 'CRITICAL' when lower(summary) like '%backdoor%' then 'CRITICAL' "
     "when lower(summary) like '%remote code execution%' then 'HIGH' "
@@ -183,9 +189,8 @@ hits as (
   select distinct w.ecosystem, w.name, w.version, f.id
   from wanted w join facts f on f.osv_ecosystem = w.osv_ecosystem and f.name = w.name
   where query_version is null or query_version in (listed, '9.9.9')  and listed is not null
-   or ({key_sql('introduced')} <= {key_sql('query_version')}
-       and (fixed is null or {key_sql('query_version')} < {key_sql('fixed')}))
-   or (early_fixed is not null and {key_sql('query_version')} < {key_sql('early_fixed')}))
+   or ({key_sql('introduced')} <= {key_sql('query_version')} and {stopped('fixed', 'introduced')} and {stopped('early_fixed', 'introduced')})
+   or (early_fixed is not null and {stopped('fixed')} and {stopped('early_fixed')}))
 """
 
 VULNS_SQL = """select h.id, h.name as package_name, h.version as package_version, h.ecosystem, severity, title,

@@ -48,9 +48,11 @@ def apply_provenance(spark, sf_dir):
 
 
 def provenance_summary(spark, sf_dir):
-    return enrich.provenance_summary(view(spark, sf_dir, "fx_deps")).withColumn(
-        "first_missing", F.array_join("first_missing", "; ")
-    )
+    return enrich.provenance_summary(view(spark, sf_dir, "fx_deps"))
+
+
+def missing_provenance(spark, sf_dir):
+    return enrich.missing_provenance(view(spark, sf_dir, "fx_deps"))
 
 
 def _meta_query(operator):
@@ -121,7 +123,7 @@ def install_scripts(spark, sf_dir):
 
 
 def analysis_candidates(spark, sf_dir):
-    return registry.analysis_candidates(view(spark, sf_dir, "fx_deps"), 100).select("ordinal", "ecosystem", "name")
+    return registry.analysis_candidates(view(spark, sf_dir, "fx_deps")).select("ordinal", "ecosystem", "name")
 
 
 def fetch_errors(spark, sf_dir):
@@ -137,6 +139,7 @@ def registry_keys(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     published_at, package_ages, apply_package_ages, verify_provenance, apply_provenance, provenance_summary,
+    missing_provenance,
     package_metadata, time_signals, typosquat_candidates, dependency_confusion, maintainer_changes,
     previous_version, registry_risk_score, install_scripts, analysis_candidates, fetch_errors, registry_keys,
 )}
@@ -224,12 +227,9 @@ from fx_vulns_libs v left join aged a on a.ecosystem = v.ecosystem and a.name =
     "verify_provenance": PROV + "select * from prov",
     "apply_provenance": PROV + """select d.ordinal, d.ecosystem, d.name, d.version, has_provenance as provenance
 from fx_lib_deps d left join prov p on p.ecosystem = d.ecosystem and p.package_name = d.name and p.version = d.version""",
-    "provenance_summary": with_views("fx_deps") + """, missing as (select name || '@' || version as label, ordinal,
-  row_number() over (order by ordinal) as rn from fx_deps where not provenance)
-select count(*) filter (provenance) as with_provenance, count(*) filter (not provenance) as without_provenance,
- count(*) filter (provenance is null) as unknown_provenance,
- (select string_agg(label, '; ' order by ordinal) from missing where rn <= 5) as first_missing,
- greatest(count(*) filter (not provenance) - 5, 0) as more_missing from fx_deps""",
+    "missing_provenance": with_views("fx_deps") + "select ordinal, name || '@' || version as label from fx_deps where not provenance",
+    "provenance_summary": with_views("fx_deps") + """select count(*) filter (provenance) as with_provenance, count(*) filter (not provenance) as without_provenance,
+ count(*) filter (provenance is null) as unknown_provenance from fx_deps""",
     "package_metadata": LIBS + ", meta as (" + " union all ".join(META_SQL.values()) + f""")
 , sig as (select *, new_maintainers <> '' as maintainer_changed, {DAYS.format(t='created_at')} as package_age_days,
  {DAYS.format(t='updated_at')} as published_days_ago from meta)
@@ -265,7 +265,7 @@ from v group by all""",
  (values ('postinstall', 'node i.js'), ('prepare', 'node ./x/build.js now')) h(hook, command)
 where ecosystem = 'npm' and status = 200""",
     "analysis_candidates": with_views("fx_deps") + """select min(ordinal) as ordinal, ecosystem, name from fx_deps
-group by ecosystem, name order by 1 limit 100""",
+group by ecosystem, name""",
     "fetch_errors": with_views("fx_lib_deps", "fx_libs") + """, first as (select ecosystem, name, arg_min(version, ordinal) as version
   from fx_lib_deps group by all),
 j as (select f.*, n, l.version as lib_version, case when f.ecosystem in ('npm', 'cargo') then case when n % 29 = 0 then 404 else 200 end

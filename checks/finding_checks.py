@@ -118,7 +118,6 @@ GATE = with_views("fx_lib_deps", "fx_vulns_libs") + """, known as (select distin
  package_version as version from fx_vulns_libs where ordinal % 3 = 0)
 select ordinal, ecosystem, name, version from fx_lib_deps d where {} exists (select 1 from known k
  where k.ecosystem = d.ecosystem and k.name = d.name and k.version = d.version)"""
-CUT = "case when length(content) > {n} then substr(content, 1, {n}) || chr(10) || '... [truncated]' else content end"
 META = " union all ".join(
     v.replace("from fx_libs", ", n, k, version from fx_libs")
     for v in __import__("checks.enrich_checks", fromlist=["META_SQL"]).META_SQL.values()
@@ -127,18 +126,17 @@ DAYS = "cast(floor(date_diff('second', try_cast({t} as timestamp), timestamp '20
 ORACLES = {
     "gate_candidates": GATE.format("not"),
     "gate_blocked": GATE.format(""),
-    "file_prompts": triage_checks.FINAL + f""", above as (select *, regexp_matches(path, {triage_checks.quoted(triage_checks.paths.INSTALL_TRIGGER)}) as trig from final where final >= 8),
-sized as (select *, count(*) over w as c, sum(case when trig then 1 else 0 end) over w as n_trig from above window w as (partition by ecosystem, name, version)),
-ranked as (select *, row_number() over (partition by ecosystem, name, version, trig order by final desc, ordinal) as rn from sized),
+    "file_prompts": triage_checks.FINAL + """,
 wide as (select ordinal, string_agg(name || ' (' || n || ' matches)', ', ' order by n desc, idx) as shown2 from counts group by ordinal)
-select ordinal, ecosystem, name, version, path, 'Review one file of package "' || name || '" for supply chain threats.'
+select ordinal, ecosystem, name, version, path, part, parts, 'Review one file of package "' || name || '" for supply chain threats.'
  || case when version = '1.1.0' and not exists (select 1 from f p where p.ecosystem = r.ecosystem and p.name = r.name
    and p.version = '1.0.0' and p.path = r.path) then chr(10) || 'NEW FILE: it was not part of the previous version (1.0.0). Added files are a common way in.' || chr(10) else '' end
  || chr(10) || chr(10) || 'File: ' || path || chr(10) || 'Triage score: ' || cast(final as bigint) || chr(10)
  || 'Categories: ' || replace(categories, '+', ', ') || chr(10) || 'Indicators: ' || shown2 || chr(10) || chr(10)
- || 'Content:' || chr(10) || {CUT.format(n=12000)} || chr(10) || chr(10)
+ || 'Content, part ' || part || ' of ' || parts || ':' || chr(10) || substr(content, (part - 1) * 12000 + 1, 12000) || chr(10) || chr(10)
  || 'Report every malicious behaviour found; report an empty list if the file is legitimate.' as prompt
-from ranked r join wide using (ordinal) where c <= 10 or trig or rn <= 10 - n_trig""",
+from (select *, unnest(range(1, parts + 1)) as part from (select *, greatest(1, cast(ceil(length(content) / 12000.0) as int)) as parts from final where final >= 8) x) r
+join wide using (ordinal)""",
     "package_prompts": with_views("fx_docs", "fx_libs") + f", meta as ({META})" + f""",
 sig as (select *, new_maintainers <> '' as changed, {DAYS.format(t='created_at')} as age, {DAYS.format(t='updated_at')} as published from meta),
 risky as (select *, case when changed then 3 else 0 end + case when age < 30 then 2 else 0 end + case when published < 3 then 1 else 0 end
@@ -165,19 +163,22 @@ from fx_findings_full where {DEEP}""",
     "package_context": with_views("fx_sized_files", "fx_hooks") + f""", ours as (select * from fx_files where ecosystem in ('npm', 'pypi')),
 entries as (select *, row_number() over (partition by ecosystem, name, version order by ordinal) as rn from ours
   where (ecosystem = 'npm' and path = 'package/index.js') or path like '%/__init__.py'),
-listed as (select *, row_number() over (partition by ecosystem, name, version order by ordinal, path) as rn from ours)
-select ecosystem, name, version, 'install script' as section, hook as label, command as text from fx_hooks
-union all select ecosystem, name, version, 'suspicious file', path, {CUT.format(n=4000)} from ours
- where (ecosystem = 'npm' and path = 'package/scripts/postinstall.js') or (ecosystem = 'pypi' and path = 'package/setup.py')
-union all select ecosystem, name, version, 'entry point', path, {CUT.format(n=6000)} from entries where rn = 1
-union all select ecosystem, name, version, 'listing', '', string_agg(path, chr(10) order by rn) from listed where rn <= 200 group by all""",
+texts as (
+ select ecosystem, name, version, 'install script' as section, hook as label, command as text from fx_hooks
+ union all select ecosystem, name, version, 'suspicious file', path, content from ours
+  where (ecosystem = 'npm' and path = 'package/scripts/postinstall.js') or (ecosystem = 'pypi' and path = 'package/setup.py')
+ union all select ecosystem, name, version, 'entry point', path, content from entries where rn = 1
+ union all select ecosystem, name, version, 'listing', path, '' from ours)
+select ecosystem, name, version, section, label, part, parts, substr(text, (part - 1) * 12000 + 1, 12000) as text
+from (select *, unnest(range(1, parts + 1)) as part from (select *, greatest(1, cast(ceil(length(text) / 12000.0) as int)) as parts from texts) x) y""",
     "extract_json": with_views("fx_llm") + """select ordinal, case when response like 'Here%' then regexp_extract(response, '\\[.*\\]')
  when response like 'verdict%' then regexp_extract(response, '\\{.*\\}') end as json from fx_llm""",
     "normalize_findings": with_views("fx_llm") + """, j as (select ordinal, cast(regexp_extract(response, '\\[.*\\]') as json) as j
   from fx_llm where response like 'Here%')
-select ordinal, 0 as position, j->0->>'category' as category, upper(j->0->>'severity') as severity,
- greatest(0, least(1, cast(j->0->>'confidence' as double))) as confidence, j->0->>'title' as title, '' as description,
- '' as evidence, 'Review the package source code manually.' as remediation, false as deep_investigated from j""",
+select ordinal, position, x->>'category' as category, upper(x->>'severity') as severity,
+ greatest(0, least(1, cast(x->>'confidence' as double))) as confidence, x->>'title' as title, '' as description,
+ '' as evidence, 'Review the package source code manually.' as remediation, false as deep_investigated
+from (select ordinal, i as position, j->i as x from j, (select unnest(range(3)) as i) r) y""",
     "verdicts_in": with_views("fx_llm") + """select ordinal, 'CONFIRMED' as verdict, 'LOW' as adjusted_severity
 from fx_llm where response like 'verdict%'""",
     "needs_deep": FULL + f"select ordinal, severity, confidence from fx_findings_full where {DEEP}",

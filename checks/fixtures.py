@@ -11,7 +11,7 @@ select o_orderkey as ordinal, 'repo' || cast(o_custkey % 20 as string) as repo,
  'repo' || cast(o_custkey % 20 as string) || '/' || case o_orderkey % 5 when 0 then 'package.json' when 1 then 'requirements.txt' when 2 then 'Cargo.toml' when 3 then 'go.mod' else 'Gemfile.lock' end as file,
  o_orderstatus = 'F' as is_dev, o_orderkey % 6 = 3 as is_pinned, cast(o_orderkey % 4 as int) as depth,
  case o_orderkey % 3 when 0 then true when 1 then false else null end as provenance
-from orders join part on p_partkey = o_custkey % 200
+from (select *, o_custkey % (select count(*) from part) as part_number from orders) o join part on p_partkey = part_number
 """,
     "fx_adv": """
 select case when p_partkey % 17 = 0 then 'MAL-' else 'ADV-' end || cast(p_partkey as string) as id,
@@ -103,7 +103,7 @@ select conv_id * 100 + turn as ordinal, 'pkg' || cast(conv_id % 30 as string) as
 from conversations
 """,
     "fx_llm": """
-select conv_id * 100 + turn as ordinal, case turn % 3 when 0 then 'Here: [{"category":"exec","severity":"high","confidence":' || cast(conv_id % 3 as string) || ',"title":"t' || cast(turn as string) || '"}] done'
+select conv_id * 100 + turn as ordinal, case turn % 3 when 0 then 'Here: [{"category":"exec","severity":"high","confidence":' || cast(conv_id % 3 as string) || ',"title":"t' || cast(turn as string) || '"},{"category":"time-bomb","severity":"critical","confidence":0.5,"title":"u"},{"category":"exec","severity":"low","confidence":-1,"title":"v' || cast(conv_id as string) || '"}] done'
  when 1 then 'verdict {"verdict":"CONFIRMED","adjustedSeverity":"LOW"} end' else 'no json here [' end as response
 from conversations
 """,
@@ -204,7 +204,7 @@ from nation """,
     "fx_vulns_libs": """
 select (l_orderkey * 8 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey % 10000 as ordinal, 'V' || cast(l_orderkey % 40 as string) as id, ecosystem, name as package_name,
  case l_partkey % 3 when 0 then '9.9.9' when 1 then '1.2.0' else version end as package_version
-from lineitem join fx_libs on n = l_suppkey where l_orderkey % 9 = 0 """,
+from lineitem join fx_libs on n = l_suppkey """,
     "fx_findings_full": """
 select ordinal, package_name, package_version, ecosystem, case when ordinal % 7 = 0 then '' else '/scan/root/' || category || '.js' end as file_path,
  category, severity, confidence, title, 'd' || cast(ordinal as string) as description,

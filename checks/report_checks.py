@@ -26,7 +26,7 @@ def _aggregated(spark, sf_dir):
 
 
 def _named_vulns(spark, sf_dir):
-    return view(spark, sf_dir, "fx_adv_flat").filter("k % 40 = 1").select(
+    return view(spark, sf_dir, "fx_adv_flat").select(
         F.col("name").alias("package_name"),
         F.when(F.col("k") % 80 == 1, F.lit("HIGH")).otherwise(F.lit("LOW")).alias("severity"),
     )
@@ -58,7 +58,7 @@ def hidden_count(spark, sf_dir):
 
 
 def fail_on(spark, sf_dir):
-    return reports.repo_summary(_vulns(spark, sf_dir).filter("ordinal % 700 < 9"), "high")
+    return reports.repo_summary(_vulns(spark, sf_dir), "high")
 
 
 def overview_totals(spark, sf_dir):
@@ -71,7 +71,7 @@ def unpinned_dependencies(spark, sf_dir):
 
 
 def vulnerable_split(spark, sf_dir):
-    hit = view(spark, sf_dir, "fx_vulns_libs").filter("ordinal % 7 = 0")
+    hit = view(spark, sf_dir, "fx_vulns_libs")
     return reports.vulnerable_split(view(spark, sf_dir, "fx_lib_deps"), hit)
 
 
@@ -107,7 +107,7 @@ def unresolved_table(spark, sf_dir):
 
 def scan_totals(spark, sf_dir):
     return reports.scan_totals(
-        view(spark, sf_dir, "fx_manifests"), view(spark, sf_dir, "fx_deps"), _vulns(spark, sf_dir).filter("ordinal % 3 = 0"))
+        view(spark, sf_dir, "fx_manifests"), view(spark, sf_dir, "fx_deps"), _vulns(spark, sf_dir))
 
 
 def repo_name(spark, sf_dir):
@@ -145,7 +145,7 @@ KEEP = """(severity <> 'UNKNOWN' or (trim(description) <> '' and description <>
  or cvss is not null or fixed_versions is not null or affected_versions <> 'Unknown')"""
 COUNTERS = """count(*) as total, count(*) filter (severity = 'CRITICAL') as critical, count(*) filter (severity = 'HIGH') as high,
  count(*) filter (severity = 'MEDIUM') as medium, count(*) filter (severity = 'LOW') as low, count(*) filter (severity = 'UNKNOWN') as unknown"""
-NAMED = BASE + """, named as (select name, min(case when k % 80 = 1 then 1 else 3 end) as rank from fx_adv_flat where k % 40 = 1 group by 1)
+NAMED = BASE + """, named as (select name, min(case when k % 80 = 1 then 1 else 3 end) as rank from fx_adv_flat group by 1)
 """
 TABLE = """select ordinal, ecosystem, d.name, version, file, is_dev, rank is not null as is_vulnerable,
  case rank when 1 then 'HIGH' when 3 then 'LOW' else 'N/A' end as max_severity,
@@ -165,12 +165,12 @@ union all select ecosystem, package_name, package_version, 'supply chain', categ
     "filter_uninformative": BASE + f"select ordinal, severity from fx_vulns_full where {KEEP}",
     "hidden_count": BASE + f"select count(*) filter (not {KEEP}) as hidden from fx_vulns_full",
     "fail_on": BASE + f"""select repo, {COUNTERS}, count(*) filter (severity in ('CRITICAL', 'HIGH')) > 0 as failed
-from fx_vulns_full where ordinal % 700 < 9 group by repo""",
+from fx_vulns_full group by repo""",
     "overview_totals": BASE + f"""select {COUNTERS} from (select severity from fx_vulns_full union all select severity from fx_findings_full) x""",
     "unpinned_dependencies": BASE + """select ordinal, ecosystem, version_spec from fx_deps where
  (ecosystem = 'npm' and (version_spec like '^%' or version_spec like '~%' or version_spec like '%*%'))
  or (ecosystem = 'pypi' and version_spec not like '==%')""",
-    "vulnerable_split": BASE + """, hit as (select distinct ecosystem, package_name, package_version from fx_vulns_libs where ordinal % 7 = 0)
+    "vulnerable_split": BASE + """, hit as (select distinct ecosystem, package_name, package_version from fx_vulns_libs)
 select count(*) filter (h.package_name is not null) as vulnerable, count(*) filter (h.package_name is null) as safe
 from fx_lib_deps d left join hit h on h.ecosystem = d.ecosystem and h.package_name = d.name and h.package_version = d.version""",
     "dependency_table": NAMED + TABLE,
@@ -185,13 +185,13 @@ from fx_deps d where d.name in (select name from named)""",
 select ordinal, case when days is null or days < 0 then 'Unknown' when days < 1 then 'today' when days < 30 then days || 'd'
  when days < 365 then (days // 30) || 'mo' when days < 3650 then printf('%.1f', days / 365.0::double) || 'y' else (days // 365) || 'y' end as label from a""",
     "reference_label": with_views("fx_vulns") + """select ordinal, case ordinal % 3 when 0 then 'NVD · CVE-2020-' || ordinal
- when 1 then 'GitHub · ' || substr('GHSA-' || ordinal, 1, 12) else 'Link · example.com' end as label from fx_vulns""",
+ when 1 then 'GitHub · ' || 'GHSA-' || ordinal else 'Link · example.com' end as label from fx_vulns""",
     "unresolved_table": BASE + """select ordinal, case ordinal % 4 when 0 then 'not_found' when 1 then 'no_access' when 2 then 'invalid_spec' else 'registry_unavailable' end as reason,
  case ordinal % 4 when 0 then 'Package not found in registry' when 1 then 'No access to private registry'
   when 2 then 'Invalid version specification' else 'Registry service unavailable' end as reason_text from fx_deps""",
     "scan_totals": BASE + """, parts as (select repo, 1 as files, 0 as packages, 0 as vulnerabilities, 0 as severe from fx_manifests
  union all select repo, 0, 1, 0, 0 from fx_deps
- union all select repo, 0, 0, 1, case when severity in ('CRITICAL', 'HIGH') then 1 else 0 end from fx_vulns_full where ordinal % 3 = 0)
+ union all select repo, 0, 0, 1, case when severity in ('CRITICAL', 'HIGH') then 1 else 0 end from fx_vulns_full)
 select repo, sum(files) as files, sum(packages) as packages, sum(vulnerabilities) as vulnerabilities, sum(severe) as severe,
  case when sum(vulnerabilities) = 0 then 'clear' when sum(severe) > 0 then 'needs attention' else 'review recommended' end as verdict
 from parts group by repo""",

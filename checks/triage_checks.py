@@ -87,12 +87,12 @@ def path_adjustments(spark, sf_dir):
 
 
 def triage_files(spark, sf_dir):
-    return _text(triage.rank_triage(triage.triage(_files(spark, sf_dir))))
+    return _text(triage.triage(_files(spark, sf_dir)))
 
 
 def triage_report(spark, sf_dir):
     files = _files(spark, sf_dir)
-    return triage.triage_report(cut_lineage(triage.triage(files)), files, 5)
+    return triage.triage_report(cut_lineage(triage.triage(files)), files)
 
 
 def investigation_plan(spark, sf_dir):
@@ -100,9 +100,11 @@ def investigation_plan(spark, sf_dir):
 
 
 def list_files(spark, sf_dir):
-    files = _sized(spark, sf_dir).withColumn("name", F.when(F.col("ordinal") % 2 == 0, F.lit("big")).otherwise(F.col("name")))
-    files = files.withColumn("version", F.lit("1")).withColumn("ecosystem", F.lit("npm"))
-    return explore.list_files(files)
+    return explore.list_files(_sized(spark, sf_dir))
+
+
+def folder_counts(spark, sf_dir):
+    return explore.folder_counts(_sized(spark, sf_dir))
 
 
 def list_files_glob(spark, sf_dir):
@@ -120,7 +122,7 @@ def grep_files(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     select_text_files, entry_points, suspicious_files, hook_scripts, install_script_files, new_files_in_version,
     content_map, indicator_counts, base_scores, compound_multiplier, combo_bonuses, path_adjustments, triage_report,
-    investigation_plan, list_files, list_files_glob, read_file, grep_files,
+    investigation_plan, list_files, folder_counts, list_files_glob, read_file, grep_files,
 )}
 QUERIES["triage"] = triage_files
 
@@ -190,7 +192,7 @@ FILES = with_views("fx_sized_files", "fx_hooks")
 TEXT_CASE = " ".join(f"when '{e}' then regexp_matches(path, '{p}')" for e, p in paths.TEXT_FILES.items())
 PICK = "row_number() over (partition by ecosystem, name, version order by ordinal)"
 ORACLES = {
-    "select_text_files": FILES + f"select ordinal, path, size from fx_sized_files where size between 1 and 499999 and (case ecosystem {TEXT_CASE} end)",
+    "select_text_files": FILES + f"select ordinal, path, size from fx_sized_files where size > 0 and (case ecosystem {TEXT_CASE} end)",
     "entry_points": FILES + f"""select ecosystem, name, version, path from (select *, {PICK} as rn from fx_files where
  (ecosystem = 'npm' and path = 'package/lib/index.js') or (ecosystem = 'pypi' and path like '%/__init__.py')
  or (ecosystem = 'cargo' and (path like '%/src/lib.rs' or path like '%/src/main.rs'))
@@ -215,38 +217,28 @@ union all select null, ecosystem, name, version, 'package.json:' || hook, comman
     "path_adjustments": FILES + "select ordinal, path, final as score from ("
     + path_sql("(select ordinal, path, ordinal % 40 as score from fx_files)", "score") + ") z",
     "triage": FINAL + "select ordinal, ecosystem, name, version, path, final as score, indicators, categories from final",
-    "triage_report": FINAL + """, ranked as (select *, row_number() over (partition by ecosystem, name, version order by final desc, ordinal) as rn from final),
-texts as (select ecosystem, name, version, string_agg(rn || '. [score: ' || cast(final as bigint) || '] ' || path || chr(10)
-  || '   categories: ' || categories || ' | indicators: ' || shown, chr(10) order by rn) as lines from ranked where rn <= 5 group by all),
-found as (select ecosystem, name, version, count(*) as n from final group by all)
-select t.ecosystem, t.name, t.version, case when n is null then 'No threat indicators found in any file.'
- else 'Scanned ' || total || ' files. Found indicators in ' || n || ' files.' || chr(10) || chr(10) || lines end as report
-from (select ecosystem, name, version, count(*) as total from f group by all) t
-left join found using (ecosystem, name, version) left join texts using (ecosystem, name, version)""",
-    "investigation_plan": FINAL + f""", above as (select *, regexp_matches(path, {quoted(paths.INSTALL_TRIGGER)}) as trig from final where final >= 8),
-sized as (select *, count(*) over w as n, sum(case when trig then 1 else 0 end) over w as n_trig from above window w as (partition by ecosystem, name, version)),
-ranked as (select *, row_number() over (partition by ecosystem, name, version, trig order by final desc, ordinal) as rn from sized)
-select ordinal, ecosystem, name, version, path, final as score, indicators, categories from ranked
-where n <= 10 or trig or rn <= 10 - n_trig""",
-    "list_files": FILES + """, x as (select * exclude (ecosystem), 'npm' as ecosystem, case when ordinal % 2 = 0 then 'big' else name end as nm from fx_files),
-sizes as (select ecosystem, nm, count(*) as total from x group by all)
-select ecosystem, nm as name, '1' as version, 'file' as kind, path as entry, 1 as file_count from x join sizes using (ecosystem, nm)
-where total <= 200 or path not like '%/%'
-union all select ecosystem, nm, '1', 'folder', split_part(path, '/', 1), count(*) from x join sizes using (ecosystem, nm)
-where total > 200 group by all""",
-    "list_files_glob": FILES + """select ecosystem, 'all' as name, version, 'file' as kind, path as entry, 1 as file_count from (
- select *, row_number() over (partition by ecosystem, version order by ordinal, path) as rn from fx_files
- where regexp_matches(path, '(?i).*lib/.*.js')) x where rn <= 200""",
+    "triage_report": FINAL + """, found as (select ecosystem, name, version, count(*) as n from final group by all)
+select t.ecosystem, t.name, t.version, null::double as score, null::bigint as ordinal, case when n is null then 'No threat indicators found in any file.'
+ else 'Scanned ' || total || ' files. Found indicators in ' || n || ' files.' end as line
+from (select ecosystem, name, version, count(*) as total from f group by all) t left join found using (ecosystem, name, version)
+union all select ecosystem, name, version, final, ordinal, '[score: ' || cast(final as bigint) || '] ' || path || chr(10)
+ || '   categories: ' || categories || ' | indicators: ' || shown from final""",
+    "investigation_plan": FINAL + f"""select ordinal, ecosystem, name, version, path, final as score, indicators, categories,
+ regexp_matches(path, {quoted(paths.INSTALL_TRIGGER)}) as is_trigger from final where final >= 8""",
+    "list_files": FILES + "select ecosystem, name, version, path as entry, ordinal from fx_files",
+    "folder_counts": FILES + """select ecosystem, name, version, case when path like '%/%' then split_part(path, '/', 1) else '(root)' end as entry,
+ count(*) as file_count from fx_files group by all""",
+    "list_files_glob": FILES + """select ecosystem, 'all' as name, version, path as entry, ordinal from fx_files
+ where regexp_matches(path, '(?i).*lib/.*.js')""",
     "read_file": FILES + """select ecosystem, name, version, path, ordinal, content from (
  select *, row_number() over (partition by ecosystem, name, version order by ordinal) as rn from fx_files where path like '%index.js') x where rn = 1""",
     "grep_files": FILES + """, lines as (select ecosystem, name, version, path, ordinal,
   generate_subscripts(string_split(content, chr(10)), 1) as line, unnest(string_split(content, chr(10))) as t
   from fx_files where path like '%.js%'),
 ctx as (select *, lag(t) over w as before, lead(t) over w as after from lines window w as (partition by ordinal order by line)),
-hits as (select *, row_number() over (partition by ordinal order by line) as k from ctx where regexp_matches(t, '(?i)eval\\(|license')),
-ranked as (select *, dense_rank() over (partition by ecosystem, name, version order by ordinal) as fk from hits where k <= 5)
+hits as (select * from ctx where regexp_matches(t, '(?i)eval\\(|license'))
 select ecosystem, name, version, path, ordinal, line,
  case when line > 1 then '  ' || (line - 1) || ': ' || before || chr(10) else '' end || '> ' || line || ': ' || t
  || case when after is not null then chr(10) || '  ' || (line + 1) || ': ' || after else '' end as snippet
-from ranked where fk <= 25""",
+from hits""",
 }

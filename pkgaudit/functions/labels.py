@@ -43,7 +43,7 @@ def reference_label(url: Column) -> Column:
     host = F.lower(F.try_parse_url(url, F.lit("HOST")))
     path = F.try_parse_url(url, F.lit("PATH"))
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    advisory = F.substring(F.get(parts, F.array_position(parts, "advisories").cast("int")), 1, 12)
+    advisory = F.get(parts, F.array_position(parts, "advisories").cast("int"))
     cve = F.get(F.filter(parts, lambda p: p.startswith("CVE-")), F.lit(0))
     identifier = F.when(
         host.isNotNull(),
@@ -83,10 +83,3 @@ def provenance_label(provenance: Column) -> Column:
     return (
         F.when(provenance, F.lit("Enabled")).when(~provenance, F.lit("Missing")).otherwise(F.lit("Unknown"))
     )
-
-
-def truncate(text: Column, length: int) -> Column:
-    """Text as shown in a prompt: cut at a length, with a mark."""
-    return F.when(
-        F.char_length(text) > length, F.concat(F.substring(text, 1, length), F.lit("\n... [truncated]"))
-    ).otherwise(text)

@@ -93,8 +93,6 @@ SUSPICIOUS_FILES = {
 # Files that run at install time whatever their score.
 INSTALL_TRIGGER = r"(?i)\.(pth|sh|bat|ps1)$|/(?:post-?install|pre-?install|install)\.[jt]s$"
 
-MAX_TEXT_SIZE = 500_000
-
 
 def any_of(patterns: tuple[str, ...]) -> str:
     return "(?i)" + "|".join(f"(?:{p})" for p in patterns)

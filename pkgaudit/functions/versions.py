@@ -7,41 +7,45 @@ from pyspark.sql import functions as F
 
 from pkgaudit.functions.binding import bind
 
-NUMBER_WIDTH = 20
-
-
 def clean_version(spec: Column) -> Column:
     """Drop leading range operators and blanks, keep the first of several alternatives."""
     bare = F.regexp_replace(F.regexp_replace(spec, r"^[\^~>=<]+", ""), r"\s+", "")
     return F.trim(F.substring_index(F.substring_index(bare, ",", 1), "||", 1))
 
 
+def number_key(digits: Column) -> Column:
+    """Text of a run of digits that sorts as the number does, whatever its size.
+
+    Led by the count of its digits without leading zeros, which is led by the count of that count's
+    digits: nothing is padded, so nothing is ever cut. A text of 10^9 digits is beyond a column.
+    """
+    def led(bare: Column) -> Column:
+        count = F.length(bare).cast("string")
+        return F.concat(F.length(count).cast("string"), count, bare)
+
+    return bind(F.regexp_replace(digits, r"^0+(?=\d)", ""), led)
+
+
 def natural_key(text: Column) -> Column:
     """Text key under which digit runs compare as numbers."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), F.lit(1))
-    padded = F.transform(
-        runs, lambda r: F.when(r.rlike(r"^\d"), F.lpad(r, NUMBER_WIDTH, "0")).otherwise(r)
-    )
-    return F.array_join(padded, "")
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), number_key(r)).otherwise(r)), "")
 
 
 def version_key(version: Column) -> Column:
-    """Text that sorts as versions do: numeric core without trailing zeros, then stage (pre, final, post), then the tail.
+    """Text that sorts as versions do: epoch, numeric core without trailing zeros, stage (pre, final, post), tail.
 
     Every number is led by its count of digits, so numbers of any size compare as text; the mark
-    between core and stage sorts before digits, so a shorter core comes first. Repeated groups are
-    possessive: the JVM recurses on others, and a version text may be arbitrarily long.
+    between core and stage sorts before digits, so a shorter core comes first. An epoch is what stands
+    before '!', 0 where there is none. Repeated groups are possessive: the JVM recurses on others, and
+    a version text may be arbitrarily long.
     """
-    bare = F.regexp_replace(F.trim(version), r"^[vV]", "")
+    whole = F.regexp_replace(F.trim(version), r"^[vV]", "")
+    epoch = F.regexp_extract(whole, r"^(\d+)!", 1)
+    bare = F.regexp_replace(whole, r"^\d+!", "")
     core = F.regexp_extract(bare, r"^\d+(?:\.\d+)*+", 0)
     tail = F.regexp_replace(bare, r"^\d+(?:\.\d+)*+", "")
-    numbers = F.transform(
-        F.split(F.regexp_replace(core, r"(?:\.0+)++$", ""), r"\."),
-        lambda p: bind(
-            F.regexp_replace(p, r"^0+(?=\d)", ""),
-            lambda digits: F.concat(F.lpad(F.length(digits).cast("string"), 2, "0"), digits),
-        ),
-    )
+    numbers = F.transform(F.split(F.regexp_replace(core, r"(?:\.0+)++$", ""), r"\."), number_key)
 
     def ending(rest: Column) -> Column:
         return (
@@ -50,7 +54,8 @@ def version_key(version: Column) -> Column:
             .otherwise(F.concat(F.lit("!0"), natural_key(rest)))
         )
 
-    return F.concat(F.array_join(numbers, ""), bind(tail, ending))
+    first = number_key(F.when(epoch == "", F.lit("0")).otherwise(epoch))
+    return F.concat(first, F.array_join(numbers, ""), bind(tail, ending))
 
 
 def strip_operators(spec: Column) -> Column:

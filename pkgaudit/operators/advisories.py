@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pkgaudit import schemas
+from pkgaudit.functions.binding import bind
 from pkgaudit.functions.severity import (
     SEVERITIES,
     cvss3_score,
@@ -53,24 +54,37 @@ def _match_name(ecosystem: Column, name: Column) -> Column:
 def _spans(package: Column) -> Column:
     """Version intervals and listed versions of one affected entry.
 
-    Each 'introduced' event runs to the next 'fixed' one of its range; commit ranges are left out.
+    The events of a range are put in the order of their versions, however they are listed. Each
+    'introduced' one runs to the next 'fixed' or 'limit', which it does not reach, or to the next
+    'last_affected', which it still holds; commit ranges are left out. Version 0 is before all.
     """
     empty = F.lit(None).cast("string")
 
     def opened(r: Column) -> Column:
-        def interval(e: Column, i: Column) -> Column:
-            later = F.filter(F.slice(r["events"], i + 2, F.size(r["events"])), lambda f: f["fixed"].isNotNull())
-            return F.struct(
-                empty.alias("listed"), e["introduced"].alias("from"), F.get(later, F.lit(0))["fixed"].alias("to")
-            )
+        def ends(kind: str, inclusive: bool) -> Column:
+            some = F.filter(r["events"], lambda e: F.coalesce(e[kind], F.lit("")) != "")
+            return F.transform(some, lambda e: F.struct(
+                version_key(e[kind]).alias("key"), F.lit(inclusive).alias("inclusive"), e[kind].alias("version")))
 
-        return F.filter(F.transform(r["events"], interval), lambda x: F.coalesce(x["from"], F.lit("")) != "")
+        def intervals(stops: Column) -> Column:
+            def interval(e: Column) -> Column:
+                key = F.when(e["introduced"] == "0", F.lit("")).otherwise(version_key(e["introduced"]))
+                stop = bind(key, lambda k: F.array_min(F.filter(
+                    stops, lambda s: (s["key"] > k) | (s["inclusive"] & (s["key"] == k)))))
+                return bind(stop, lambda s: F.struct(
+                    empty.alias("listed"), e["introduced"].alias("from"),
+                    F.when(~s["inclusive"], s["version"]).alias("to"), F.when(s["inclusive"], s["version"]).alias("last")))
+
+            return F.transform(F.filter(r["events"], lambda e: F.coalesce(e["introduced"], F.lit("")) != ""), interval)
+
+        return bind(F.concat(ends("fixed", False), ends("limit", False), ends("last_affected", True)), intervals)
 
     ranges = F.filter(package["ranges"], lambda r: F.coalesce(r["type"], F.lit("")) != "GIT")
     listed = F.transform(
-        package["versions"], lambda v: F.struct(v.alias("listed"), empty.alias("from"), empty.alias("to"))
+        package["versions"],
+        lambda v: F.struct(v.alias("listed"), empty.alias("from"), empty.alias("to"), empty.alias("last")),
     )
-    none = F.array().cast("array<struct<listed:string,from:string,to:string>>")
+    none = F.array().cast("array<struct<listed:string,from:string,to:string,last:string>>")
     return F.concat(F.coalesce(F.flatten(F.transform(ranges, opened)), none), F.coalesce(listed, none))
 
 
@@ -111,15 +125,18 @@ def match_advisories(deps: DataFrame, advisories: DataFrame) -> DataFrame:
     keyed = F.transform(
         "spans",
         lambda s: F.struct(
-            s["listed"].alias("listed"), F.when(s["from"].isNotNull(), version_key(s["from"])).alias("from_key"),
+            s["listed"].alias("listed"),
+            F.when(s["from"] == "0", F.lit("")).when(s["from"].isNotNull(), version_key(s["from"])).alias("from_key"),
             F.when(s["to"].isNotNull(), version_key(s["to"])).alias("to_key"),
+            F.when(s["last"].isNotNull(), version_key(s["last"])).alias("last_key"),
         ),
     )
     packages = advisory_packages(advisories).select("id", "osv_ecosystem", "match_name", keyed.alias("spans"))
     inside = F.exists(
         "spans",
         lambda s: (s["listed"] == F.col("query_version"))
-        | ((s["from_key"] <= F.col("at_key")) & (s["to_key"].isNull() | (F.col("at_key") < s["to_key"]))),
+        | ((s["from_key"] <= F.col("at_key")) & (s["to_key"].isNull() | (F.col("at_key") < s["to_key"]))
+           & (s["last_key"].isNull() | (F.col("at_key") <= s["last_key"]))),
     )
     return (
         wanted.join(packages, ["osv_ecosystem", "match_name"])
@@ -250,6 +267,9 @@ def to_vulnerability(hits: DataFrame, advisories: DataFrame) -> DataFrame:
 def union_sources(*vulns: DataFrame | None) -> DataFrame:
     """Rows of all data sources in the order given; a source without an answer (None) adds nothing."""
     answered = [v for v in vulns if v is not None]
+    if not answered:
+        spark = SparkSession.getActiveSession()
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in VULNERABILITY_KEY) + ", source_rank int")
     ranked = [v.withColumn("source_rank", F.lit(i)) for i, v in enumerate(answered)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked)
 

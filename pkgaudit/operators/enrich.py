@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pkgaudit import schemas
 from pkgaudit.functions.versions import pep503_name
-from pkgaudit.operators.keys import PACKAGE, explode_rows, package_label
+from pkgaudit.operators.keys import PACKAGE, explode_rows, first_per_key, package_label
 
 DAY_MILLIS = 86_400_000
 
@@ -163,6 +163,9 @@ def verify_provenance(deps: DataFrame, registry_docs: DataFrame) -> DataFrame:
         F.when(~ok, F.concat(F.lit("HTTP "), F.col("status").cast("string"))).alias("_error"),
         F.lit(True).alias("_seen"),
     )
+    # Several documents may answer for one normalised name: an attested one counts, then one without error.
+    best = F.struct(~F.col("_has"), F.col("_error").isNotNull(), F.coalesce("_url", F.lit("")), F.coalesce("_error", F.lit("")))
+    status = first_per_key(status, ["ecosystem", "_name", "_lookup"], best)
     return wanted.join(status, ["ecosystem", "_name", "_lookup"], "left").select(
         F.col("name").alias("package_name"), "version", "ecosystem",
         F.coalesce(F.col("_has"), F.lit(False)).alias("has_provenance"),
@@ -185,21 +188,15 @@ def apply_provenance(deps: DataFrame, provenance: DataFrame) -> DataFrame:
     )
 
 
-def provenance_summary(deps: DataFrame, top: int = 5, ordinal: str = "ordinal") -> DataFrame:
-    """One row: how many are attested, missing and unknown, the first missing ones, and how many more."""
-    counts = deps.agg(
+def provenance_summary(deps: DataFrame) -> DataFrame:
+    """One row: how many are attested, missing and unknown. Those missing are in missing_provenance."""
+    return deps.agg(
         F.count_if(F.col("provenance")).alias("with_provenance"),
         F.count_if(~F.col("provenance")).alias("without_provenance"),
         F.count_if(F.col("provenance").isNull()).alias("unknown_provenance"),
     )
-    shown = (
-        deps.filter(~F.col("provenance"))
-        .orderBy(ordinal)
-        .limit(top)
-        .agg(F.sort_array(F.collect_list(F.struct(
-            F.col(ordinal), package_label(F.col("name"), F.col("version")).alias("label")))).alias("_s"))
-        .select(F.col("_s.label").alias("_shown"))
-    )
-    return counts.withColumn("first_missing", shown.scalar()).withColumn(
-        "more_missing", F.greatest(F.col("without_provenance") - F.lit(top), F.lit(0)).cast("bigint")
-    )
+
+
+def missing_provenance(deps: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+    """The dependencies without provenance: (ordinal, label)."""
+    return deps.filter(~F.col("provenance")).select(ordinal, package_label(F.col("name"), F.col("version")).alias("label"))

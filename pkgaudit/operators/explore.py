@@ -2,47 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
+from pkgaudit.functions.binding import bind
 from pkgaudit.functions.paths import glob_pattern
-from pkgaudit.operators.keys import PACKAGE, compute_once, first_per_key
-
-LIST_LIMIT = 200
-MATCHES_PER_FILE = 5
-FILES_PER_PACKAGE = 25
+from pkgaudit.operators.keys import PACKAGE, explode_rows, first_per_key
 
 
 def list_files(files: DataFrame, glob: str | None = None) -> DataFrame:
-    """What a listing of each package shows: (package, kind, entry, file_count).
+    """The files of each package, those that fit the glob if there is one: (package, entry, ordinal)."""
+    rows = files if not glob else files.filter(F.col("path").rlike(glob_pattern(glob)))
+    return rows.select(*PACKAGE, F.col("path").alias("entry"), "ordinal")
+
 
-    With a glob, its first 200 matches. Without, all files of a package of up to 200, else the
-    number of files per top folder and the files at the root.
-    """
-    rows = files.select(*PACKAGE, "path", "ordinal")
-    if glob:
-        order = Window.partitionBy(*PACKAGE).orderBy("ordinal", "path")
-        return (
-            rows.filter(F.col("path").rlike(glob_pattern(glob)))
-            .withColumn("_n", F.row_number().over(order))
-            .filter(F.col("_n") <= LIST_LIMIT)
-            .select(*PACKAGE, F.lit("file").alias("kind"), F.col("path").alias("entry"),
-                    F.lit(1).cast("bigint").alias("file_count"))
-        )
+def folder_counts(files: DataFrame) -> DataFrame:
+    """The number of files below each top folder of a package; files outside any are at (root)."""
     top = F.when(F.col("path").contains("/"), F.split_part("path", F.lit("/"), F.lit(1))).otherwise(F.lit("(root)"))
-    per_folder = rows.groupBy(*PACKAGE, top.alias("entry")).agg(F.count(F.lit(1)).alias("file_count"))
-    sizes = per_folder.groupBy(*PACKAGE).agg(F.sum("file_count").alias("_total"))
-    large = sizes.filter(F.col("_total") > LIST_LIMIT).select(*PACKAGE)
-    # A small package has at most 200 files, so none of its keys is hot; a large one gives only root files.
-    single = rows.select(*PACKAGE, F.lit("file").alias("kind"), F.col("path").alias("entry"),
-                         F.lit(1).cast("bigint").alias("file_count"))
-    small_files = single.join(large, PACKAGE, "left_anti")
-    root_files = single.filter(~F.col("entry").contains("/")).join(large, PACKAGE, "left_semi")
-    folders = per_folder.join(large, PACKAGE, "left_semi").select(
-        *PACKAGE, F.lit("folder").alias("kind"), "entry", "file_count"
-    )
-    return small_files.unionByName(root_files).unionByName(folders)
+    return files.groupBy(*PACKAGE, top.alias("entry")).agg(F.count(F.lit(1)).alias("file_count"))
 
 
 def read_file(files: DataFrame, path: str) -> DataFrame:
@@ -53,30 +30,25 @@ def read_file(files: DataFrame, path: str) -> DataFrame:
 
 
 def grep_files(files: DataFrame, pattern: str, file_glob: str | None = None, context: int = 2) -> DataFrame:
-    """Matching lines with the lines around them: the first 5 of a file, the first 25 files of a package.
-
-    Lines are numbered and cut out inside the file's own row.
-    """
+    """Every matching line with the lines around it: one narrow pass, the snippets cut inside the file's own row."""
     rows = files.select(*PACKAGE, "path", "ordinal", "content")
     if file_glob:
         rows = rows.filter(F.col("path").rlike("(?i)" + file_glob.replace("*", ".*")))
     expression = "(?i)" + pattern
-    lines = F.split("content", "\n")
-    numbers = F.filter(
-        F.transform(lines, lambda line, i: F.when(line.rlike(expression), i + 1)), lambda n: n.isNotNull()
-    )
-    hits = compute_once(rows, "_hits", F.slice(numbers, 1, MATCHES_PER_FILE)).filter(F.size("_hits") > 0)
-    order = Window.partitionBy(*PACKAGE).orderBy("ordinal", "path")
-    shown = hits.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= FILES_PER_PACKAGE)
-    start = F.greatest(F.col("line") - context, F.lit(1))
-    snippet = F.transform(
-        F.slice("_lines", start, F.col("line") + context - start + 1),
-        lambda text, i: F.concat(
-            F.when(start + i == F.col("line"), F.lit("> ")).otherwise(F.lit("  ")),
-            (start + i).cast("string"), F.lit(": "), text,
-        ),
-    )
-    found = shown.withColumn("_lines", lines)
-    return found.select(*PACKAGE, "path", "ordinal", "_lines", F.explode("_hits").alias("line")).select(
-        *PACKAGE, "path", "ordinal", "line", F.array_join(snippet, "\n").alias("snippet")
-    )
+
+    def snippets(lines: Column) -> Column:
+        def around(i: Column) -> Column:
+            start = F.greatest(i - context, F.lit(0))
+            shown = F.transform(
+                F.slice(lines, start + 1, i + context - start + 1),
+                lambda text, k: F.concat(
+                    F.when(start + k == i, F.lit("> ")).otherwise(F.lit("  ")),
+                    (start + k + 1).cast("string"), F.lit(": "), text))
+            return F.struct((i + 1).alias("line"), F.array_join(shown, "\n").alias("snippet"))
+
+        numbers = F.filter(
+            F.transform(lines, lambda line, i: F.when(line.rlike(expression), i)), lambda n: n.isNotNull())
+        return F.transform(numbers, around)
+
+    found = rows.select(*PACKAGE, "path", "ordinal", bind(F.split("content", "\n"), snippets).alias("_hits"))
+    return explode_rows(found, F.col("_hits"), "_hit").select(*PACKAGE, "path", "ordinal", "_hit.line", "_hit.snippet")

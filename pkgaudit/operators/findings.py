@@ -6,22 +6,18 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from pkgaudit import schemas
 from pkgaudit.functions.json_text import extract_json
-from pkgaudit.functions.labels import truncate
 from pkgaudit.functions.paths import without_package_prefix
-from pkgaudit.functions.severity import SEVERITIES, normalize_severity, severity_rank
+from pkgaudit.functions.severity import SEVERITIES, normalize_severity
 from pkgaudit.operators.keys import PACKAGE, compute_once, first_per_key, package_label
 from pkgaudit.operators.package_files import entry_points, suspicious_files
 from pkgaudit.operators.triage import indicators_by_count
 
 DEEP_CONFIDENCE = 0.3
-FILE_TEXT_LENGTH = 12_000
-CONTEXT_TEXT_LENGTH = 4_000
-ENTRY_TEXT_LENGTH = 6_000
-LISTED_PATHS = 200
+# Characters of text in one part row; a longer text has more parts.
+PART_LENGTH = 12_000
 
 # Defaults for what a review leaves out.
 DEFAULT_CATEGORY = "code-obfuscation"
@@ -43,8 +39,18 @@ def _text(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def file_prompts(plan: DataFrame, new_files: DataFrame | None = None) -> DataFrame:
-    """One prompt per planned file. The plan carries the texts, so the file table is not read again."""
+def text_parts(rows: DataFrame, text: str, length: int = PART_LENGTH) -> DataFrame:
+    """A row for each part of the text, in column `text`, numbered from 1 in `part` of `parts`: nothing is cut off."""
+    parts = F.greatest(F.ceil(F.char_length(F.coalesce(text, F.lit(""))) / length), F.lit(1)).cast("int")
+    numbered = rows.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(1), F.col("parts"))))
+    return numbered.withColumn(text, F.substring(text, (F.col("part") - 1) * length + 1, F.lit(length)))
+
+
+def file_prompts(plan: DataFrame, new_files: DataFrame | None = None, part_length: int = PART_LENGTH) -> DataFrame:
+    """A prompt for every part of every planned file: (ordinal, package, path, part, parts, prompt).
+
+    The plan carries the texts, so the file table is not read again.
+    """
     rows = plan.withColumn("_inner", without_package_prefix(F.col("path")))
     if new_files is not None:
         fresh = new_files.select(
@@ -65,10 +71,12 @@ def file_prompts(plan: DataFrame, new_files: DataFrame | None = None) -> DataFra
         'Review one file of package "', F.col("name"), '" for supply chain threats.', warning,
         "\n\nFile: ", F.col("path"), "\nTriage score: ", F.col("score").cast("string"),
         "\nCategories: ", F.array_join("categories", ", "), "\nIndicators: ", shown,
-        "\n\nContent:\n", truncate(F.col("content"), FILE_TEXT_LENGTH),
+        "\n\nContent, part ", F.col("part").cast("string"), " of ", F.col("parts").cast("string"), ":\n",
+        F.coalesce("content", F.lit("")),
         "\n\nReport every malicious behaviour found; report an empty list if the file is legitimate.",
     )
-    return rows.select("ordinal", *PACKAGE, "path", prompt.alias("prompt"))
+    return text_parts(rows, "content", part_length).select(
+        "ordinal", *PACKAGE, "path", "part", "parts", prompt.alias("prompt"))
 
 
 def package_prompts(metadata: DataFrame, packages: DataFrame) -> DataFrame:
@@ -113,16 +121,16 @@ def deep_prompts(findings: DataFrame) -> DataFrame:
         "adjustedSeverity, adjustedConfidence, attackChain, dataAtRisk, remediation and reasoning.",
     )
     return needs_deep(findings).select(
-        "ordinal", "ecosystem", "package_name", "package_version", prompt.alias("prompt")
+        *_key_of(findings), "ecosystem", "package_name", "package_version", prompt.alias("prompt")
     )
 
 
 def package_context(findings: DataFrame, files: DataFrame, scripts: DataFrame) -> DataFrame:
-    """(package, section, label, text) rows of the code behind the findings to look at again.
+    """(package, section, label, part, parts, text) rows of the code behind the findings to look at again.
 
-    Rows, not one text per package: a large package gives many rows and no large value. scripts holds
-    (package, hook, content). The listing is the first 200 paths. Files are picked by their paths
-    before they meet the packages, so only the texts that can be shown are moved.
+    Rows, not one text per package: a large package gives many rows and no large value, a long text
+    several parts. scripts holds (package, hook, content). Every path is a listing row without text.
+    Files are picked by their paths before they meet the packages, so only the texts shown are moved.
     """
     wanted = needs_deep(findings).select(
         "ecosystem", F.col("package_name").alias("name"), F.col("package_version").alias("version")
@@ -131,27 +139,15 @@ def package_context(findings: DataFrame, files: DataFrame, scripts: DataFrame) -
         *PACKAGE, F.lit("install script").alias("section"), F.col("hook").alias("label"), F.col("content").alias("text")
     )
     suspicious = suspicious_files(files).join(wanted, PACKAGE, "left_semi").select(
-        *PACKAGE, F.lit("suspicious file").alias("section"), F.col("path").alias("label"),
-        truncate(F.col("content"), CONTEXT_TEXT_LENGTH).alias("text"),
+        *PACKAGE, F.lit("suspicious file").alias("section"), F.col("path").alias("label"), F.col("content").alias("text"),
     )
     entry_rows = entry_points(files, keep=("content",)).join(wanted, PACKAGE, "left_semi").select(
-        *PACKAGE, F.lit("entry point").alias("section"), F.col("path").alias("label"),
-        truncate(F.col("content"), ENTRY_TEXT_LENGTH).alias("text"),
+        *PACKAGE, F.lit("entry point").alias("section"), F.col("path").alias("label"), F.col("content").alias("text"),
     )
-    order = Window.partitionBy(*PACKAGE).orderBy("ordinal", "path")
-    listed = (
-        files.select(*PACKAGE, "path", "ordinal")
-        .join(wanted, PACKAGE, "left_semi")
-        .withColumn("_n", F.row_number().over(order))
-        .filter(F.col("_n") <= LISTED_PATHS)
-        .groupBy(*PACKAGE)
-        .agg(F.sort_array(F.collect_list(F.struct("_n", "path"))).alias("_l"))
-        .select(
-            *PACKAGE, F.lit("listing").alias("section"), F.lit("").alias("label"),
-            F.array_join(F.col("_l.path"), "\n").alias("text"),
-        )
-    )
-    return reduce(DataFrame.unionByName, [script_rows, suspicious, entry_rows, listed])
+    listed = files.select(*PACKAGE, "path").join(wanted, PACKAGE, "left_semi").select(
+        *PACKAGE, F.lit("listing").alias("section"), F.col("path").alias("label"), F.lit("").alias("text"))
+    rows = reduce(DataFrame.unionByName, [script_rows, suspicious, entry_rows, listed])
+    return text_parts(rows, "text").select(*PACKAGE, "section", "label", "part", "parts", "text")
 
 
 def json_in(responses: DataFrame, column: str = "response") -> DataFrame:
@@ -180,11 +176,17 @@ def normalize_findings(responses: DataFrame) -> DataFrame:
     )
 
 
+def _key_of(*tables: DataFrame) -> list[str]:
+    """A finding is known by its response's ordinal and its position in the response, where there is one."""
+    return [c for c in ("ordinal", "position") if all(c in t.columns for t in tables)]
+
+
 def verdicts_in(responses: DataFrame) -> DataFrame:
-    """Verdict rows out of deep review responses that hold a JSON object, keyed by 'ordinal'."""
+    """Verdict rows out of deep review responses that hold a JSON object, keyed as the findings they answer."""
     parsed = json_in(responses).filter(F.col("json").startswith("{"))
-    return parsed.select("ordinal", F.from_json("json", schemas.REVIEW_VERDICT).alias("v")).select(
-        "ordinal", "v.verdict", F.col("v.adjustedSeverity").alias("adjusted_severity"),
+    key = _key_of(responses)
+    return parsed.select(*key, F.from_json("json", schemas.REVIEW_VERDICT).alias("v")).select(
+        *key, "v.verdict", F.col("v.adjustedSeverity").alias("adjusted_severity"),
         F.col("v.adjustedConfidence").alias("adjusted_confidence"), F.col("v.attackChain").alias("attack_chain"),
         F.col("v.dataAtRisk").alias("data_at_risk"), F.col("v.remediation").alias("remediation"),
     )
@@ -207,16 +209,21 @@ def deep_route(findings: DataFrame) -> DataFrame:
 def apply_verdicts(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Findings after the deep review: dismissed ones dropped, the others adjusted.
 
-    When the review would dismiss every finding it looked at, all are kept as they were.
+    When the review would dismiss every finding it looked at, all are kept as they were. Verdicts meet
+    findings on ordinal and position; of several verdicts on one finding the least by its texts counts.
     """
-    answer = verdicts.select(
-        "ordinal", F.upper(F.coalesce("verdict", F.lit(""))).alias("_verdict"), F.col("adjusted_severity").alias("_sev"),
+    key = _key_of(findings, verdicts)
+    if "position" in findings.columns and "position" not in verdicts.columns:
+        raise ValueError("verdicts on findings with a position need it too")
+    rest = [c for c in verdicts.columns if c not in key]
+    answer = first_per_key(verdicts, key, F.struct(*rest)).select(
+        *key, F.upper(F.coalesce("verdict", F.lit(""))).alias("_verdict"), F.col("adjusted_severity").alias("_sev"),
         F.col("adjusted_confidence").alias("_conf"), F.col("attack_chain").alias("_chain"),
         F.col("data_at_risk").alias("_risk"), F.col("remediation").alias("_fix"),
     )
     deep = is_severe() & (F.col("confidence") >= DEEP_CONFIDENCE)
     joined = (
-        findings.join(answer, "ordinal", "left")
+        findings.join(answer, key, "left")
         .withColumn("_deep", deep)
         .withColumn("_dismissed", F.col("_deep") & F.coalesce(F.col("_verdict") == "FALSE_POSITIVE", F.lit(False)))
     )
@@ -243,9 +250,9 @@ FINDING_KEY = ["ecosystem", "package_name", "package_version", "category", "titl
 
 
 def aggregate_findings(findings: DataFrame, ordinal: str = "ordinal") -> DataFrame:
-    """First finding of every package, category and title, worst and surest first."""
-    first = first_per_key(findings, FINDING_KEY, F.col(ordinal))
-    return first.orderBy(severity_rank(F.col("severity")), F.desc("confidence"), ordinal)
+    """First finding of every package, category and title; a sink puts them in order, worst and surest first."""
+    order = F.struct(ordinal, "position") if "position" in findings.columns else F.col(ordinal)
+    return first_per_key(findings, FINDING_KEY, order)
 
 
 def findings_summary(findings: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pkgaudit.session import cut_lineage
 
 REQUIREMENT = ["ecosystem", "name", "version_spec"]
 TREE_KEY = ["repo", "file", *REQUIREMENT]
-MAX_DEPTH = 10
+ROOT = ["root_name", "root_spec"]
 
 
 def _resolved_text():
@@ -148,41 +148,53 @@ def requirement_graph(resolved: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def expand_tree(roots: DataFrame, graph: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Everything a manifest's roots lead to, each requirement once per manifest at its least depth.
+def requirement_closure(roots: DataFrame, graph: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(ecosystem, root_name, root_spec, name, version_spec, depth, path): what each root requirement leads to.
 
-    Breadth first, one join per level against the requirement graph. A level is reduced to one row
-    per manifest and requirement before it meets the ones already seen, then written to the
-    checkpoint folder, so the plan stays short and a lost executor replays one level. Cycles end
-    because a requirement seen before is dropped. 'path' is the least of the shortest name paths.
+    Breadth first from distinct roots, so manifests that ask for the same thing share the work. One
+    join per level against the requirement graph, until a level is empty: cycles end because what a
+    root has reached before is dropped. A level is reduced to one row per root and requirement before
+    it meets the ones already reached, then written to the checkpoint folder, so the plan stays short
+    and a lost executor replays one level. 'path' is the least of the shortest name paths.
     """
-    level = (
-        roots.groupBy(*TREE_KEY)
-        .agg(F.min("is_dev").alias("is_dev"))
-        .select(*TREE_KEY, "is_dev", F.lit(0).alias("depth"), F.array("name").alias("path"))
-    )
-    level = cut_lineage(level)
-    levels = [level]
-    for depth in range(1, max_depth):
+    key = ["ecosystem", *ROOT, "name", "version_spec"]
+    level = cut_lineage(
+        roots.select(
+            "ecosystem", F.col("name").alias("root_name"), F.col("version_spec").alias("root_spec"), "name", "version_spec"
+        ).distinct().withColumn("depth", F.lit(0)).withColumn("path", F.array("name")))
+    levels, depth = [level], 0
+    while max_depth is None or depth < max_depth - 1:
+        depth += 1
         reached = (
             level.join(graph, REQUIREMENT)
-            .groupBy("repo", "file", "ecosystem", "child_name", "child_spec")
+            .groupBy("ecosystem", *ROOT, "child_name", "child_spec")
             .agg(F.min("path").alias("path"))
             .withColumnsRenamed({"child_name": "name", "child_spec": "version_spec"})
         )
-        seen = reduce(DataFrame.unionByName, levels).select(*TREE_KEY)
+        seen = reduce(DataFrame.unionByName, levels).select(*key)
         level = cut_lineage(
-            reached.join(seen, TREE_KEY, "left_anti").select(
-                *TREE_KEY, F.lit(False).alias("is_dev"), F.lit(depth).alias("depth"),
-                F.concat("path", F.array("name")).alias("path"),
-            )
-        )
+            reached.join(seen, key, "left_anti").select(
+                *key, F.lit(depth).alias("depth"), F.concat("path", F.array("name")).alias("path")))
         if level.isEmpty():
             break
         levels.append(level)
     return reduce(DataFrame.unionByName, levels)
 
 
+def expand_tree(roots: DataFrame, graph: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Everything a manifest's roots lead to, each requirement once per manifest at its least depth.
+
+    The closures of the distinct roots are worked out once; manifests join them and keep, for every
+    requirement, the least depth and the least path of that depth. All levels are followed unless a
+    number of them is asked for.
+    """
+    asked = roots.groupBy(*TREE_KEY).agg(F.min("is_dev").alias("is_dev")).withColumnsRenamed(
+        {"name": "root_name", "version_spec": "root_spec"})
+    rows = asked.join(requirement_closure(roots, graph, max_depth), ["ecosystem", *ROOT])
+    best = F.min(F.struct("depth", "path", F.when(F.col("depth") == 0, F.col("is_dev")).otherwise(F.lit(False)).alias("is_dev")))
+    return rows.groupBy(*TREE_KEY).agg(best.alias("_b")).select(*TREE_KEY, "_b.is_dev", "_b.depth", "_b.path")
+
+
 def resolve_tree(expanded: DataFrame, resolved: DataFrame) -> DataFrame:
     """Expanded requirements with the version they resolve to; those that do not resolve are left out."""
     return expanded.join(resolved.filter("found").select(*REQUIREMENT, "version"), REQUIREMENT)
@@ -206,11 +218,11 @@ def node_paths(tree: DataFrame) -> DataFrame:
     return tree.select("repo", "file", *PACKAGE, "depth", "path")
 
 
-def tree_edges(tree: DataFrame, graph: DataFrame, resolved: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def tree_edges(tree: DataFrame, graph: DataFrame, resolved: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Distinct edges between the nodes of each manifest.
 
-    The children are resolved on the requirement graph, before it meets the manifests: a node above
-    the last level has all its resolved children in the tree.
+    The children are resolved on the requirement graph, before it meets the manifests: a node, unless
+    it is on the last level of a tree cut at a depth, has all its resolved children in the tree.
     """
     child = resolved.filter("found").select(
         "ecosystem", F.col("name").alias("child_name"), F.col("version_spec").alias("child_spec"),
@@ -220,7 +232,7 @@ def tree_edges(tree: DataFrame, graph: DataFrame, resolved: DataFrame, max_depth
         *REQUIREMENT, package_label(F.col("child_name"), F.col("child_version")).alias("target")
     )
     return (
-        tree.filter(F.col("depth") < max_depth - 1)
+        (tree if max_depth is None else tree.filter(F.col("depth") < max_depth - 1))
         .join(targets, REQUIREMENT)
         .select(
             "repo", "file", "ecosystem", package_label(F.col("name"), F.col("version")).alias("source"), "target"

@@ -10,11 +10,8 @@ from pkgaudit.operators.keys import PACKAGE
 
 
 def select_text_files(files: DataFrame) -> DataFrame:
-    """Text files of a readable size, by extension and size alone, so the scan skips other content."""
-    return files.filter(
-        (F.col("size") > 0) & (F.col("size") < paths.MAX_TEXT_SIZE)
-        & paths.is_text_file(F.col("ecosystem"), F.col("path"))
-    )
+    """Text files with any content, by extension and size alone, so the scan skips other content."""
+    return files.filter((F.col("size") > 0) & paths.is_text_file(F.col("ecosystem"), F.col("path")))
 
 
 def entry_points(files: DataFrame, mains: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:

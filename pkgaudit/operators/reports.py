@@ -19,7 +19,7 @@ FAIL_LEVELS = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 
 
 def aggregate_by_package(vulns: DataFrame, findings: DataFrame) -> DataFrame:
-    """Per package version: worst severity and how many vulnerabilities and findings it has, worst first.
+    """Per package version: worst severity and how many vulnerabilities and findings it has.
 
     Both feeds are added up as one tagged union, which needs one shuffle of partial sums. The rows
     behind a package stay rows, see package_findings.
@@ -35,10 +35,7 @@ def aggregate_by_package(vulns: DataFrame, findings: DataFrame) -> DataFrame:
     grouped = both.groupBy(*PACKAGE_COLUMNS).agg(
         F.min("_rank").alias("_rank"), F.sum("_s").alias("static_count"), F.sum("_f").alias("supply_chain_count")
     )
-    return grouped.orderBy(
-        "_rank", F.desc(F.col("static_count") + F.col("supply_chain_count")), F.lower("package_name"),
-        "package_name", "ecosystem", "package_version",
-    ).select(
+    return grouped.select(
         *PACKAGE_COLUMNS, severity_of_rank(F.col("_rank")).alias("highest_severity"), "static_count",
         "supply_chain_count",
     )
@@ -148,7 +145,7 @@ def dependency_table(
     deps: DataFrame, vulns: DataFrame, search: str = "", vulnerable_only: bool = False,
     no_provenance_only: bool = False,
 ) -> DataFrame:
-    """Dependencies with the worst severity known for their name, vulnerable and worst first."""
+    """Dependencies with the worst severity known for their name."""
     worst = vulns.groupBy(F.col("package_name").alias("name")).agg(
         F.min(severity_rank(F.col("severity"))).alias("_rank")
     )
@@ -159,7 +156,7 @@ def dependency_table(
         rows = rows.filter(~F.col("provenance"))
     rows = rows.join(worst, "name", "inner" if vulnerable_only else "left")
     known = F.col("_rank").isNotNull()
-    return rows.orderBy(~known, "_rank", F.lower("name"), "name", "ordinal").select(
+    return rows.select(
         "ordinal", *PACKAGE, "file", "is_dev", known.alias("is_vulnerable"),
         F.coalesce(severity_of_rank(F.col("_rank")), F.lit("N/A")).alias("max_severity"),
         provenance_label(F.col("provenance")).alias("provenance_status"),
@@ -262,9 +259,6 @@ def vulnerability_text(vulns: DataFrame) -> DataFrame:
 
     c = F.col
     title, description = F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))
-    short = F.when(F.char_length(description) > 200, F.concat(F.substring(description, 1, 200), F.lit("..."))).otherwise(
-        description
-    )
     text = F.concat(
         c("severity"), F.lit(" - "), c("id"), F.lit("\nPackage: "),
         package_label(c("package_name"), c("package_version")),
@@ -272,10 +266,10 @@ def vulnerability_text(vulns: DataFrame) -> DataFrame:
         part(F.coalesce("cvss", F.lit(0.0)) != 0, "\nCVSS Score: ", c("cvss").cast("string")),
         part(~F.coalesce("affected_versions", F.lit("")).isin("", "Unknown"), "\nAffected: ", c("affected_versions")),
         part(F.coalesce("fixed_versions", F.lit("")) != "", "\nFixed in: ", c("fixed_versions")),
-        part((F.trim(description) != "") & (description != title) & (description != NO_DESCRIPTION), "\n\n", short),
+        part((F.trim(description) != "") & (description != title) & (description != NO_DESCRIPTION), "\n\n", description),
         part(
             F.size("references") > 0, "\n\nReferences:\n",
-            F.array_join(F.transform(F.slice("references", 1, 3), lambda r: F.concat(F.lit("  • "), r)), "\n"),
+            F.array_join(F.transform("references", lambda r: F.concat(F.lit("  • "), r)), "\n"),
         ),
         F.lit("\n\nSource: "), c("source"),
     )

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from pkgaudit.functions import paths
 from pkgaudit.functions.binding import bind
@@ -24,7 +23,6 @@ EXEC_NAMES = (
 )
 
 MIN_SCORE = 8
-MAX_FILES = 10
 
 
 def indicator_counts(files: DataFrame) -> DataFrame:
@@ -104,11 +102,6 @@ def triage(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def rank_triage(triaged: DataFrame) -> DataFrame:
-    """Highest score first."""
-    return triaged.orderBy(F.desc("score"), *PACKAGE, "ordinal", "path")
-
-
 def indicators_by_count(indicators: Column, fmt) -> Column:
     """Text of the indicators, most matches first, catalogue order among equals."""
     keyed = F.transform(
@@ -117,53 +110,31 @@ def indicators_by_count(indicators: Column, fmt) -> Column:
     return F.array_join(F.transform(F.sort_array(keyed), lambda x: fmt(x["k"], -x["n"])), ", ")
 
 
-def triage_report(triaged: DataFrame, files: DataFrame, top: int = 50) -> DataFrame:
-    """One text per package: how much was found, and its worst files.
+def triage_report(triaged: DataFrame, files: DataFrame) -> DataFrame:
+    """The report as line rows: per package a head (score null), and a line for each file found.
 
-    Files and finds are counted by aggregates; the rank filter limits each package to its top rows
-    before they are moved, so no more than 'top' lines of a package ever meet.
+    A sink puts the lines in order: head first, then by falling score and rising ordinal. No package's
+    lines ever meet in one place.
     """
     totals = files.groupBy(*PACKAGE).agg(F.count(F.lit(1)).alias("n_files"))
     found = triaged.groupBy(*PACKAGE).agg(F.count(F.lit(1)).alias("n_found"))
-    order = Window.partitionBy(*PACKAGE).orderBy(F.desc("score"), "ordinal", "path")
-    best = triaged.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= top)
+    head = F.format_string("Scanned %d files. Found indicators in %d files.", "n_files", "n_found")
+    heads = totals.join(found, PACKAGE, "left").select(
+        *PACKAGE, F.lit(None).cast("double").alias("score"), F.lit(None).cast("bigint").alias("ordinal"),
+        F.when(F.col("n_found").isNull(), F.lit("No threat indicators found in any file.")).otherwise(head).alias("line"))
     shown = indicators_by_count(F.col("indicators"), lambda k, n: F.concat(k, F.lit("("), n.cast("string"), F.lit(")")))
     line = F.concat(
-        F.col("_n").cast("string"), F.lit(". [score: "), F.col("score").cast("string"), F.lit("] "), F.col("path"),
-        F.lit("\n   categories: "), F.array_join("categories", "+"), F.lit(" | indicators: "), shown,
-    )
-    lines = best.groupBy(*PACKAGE).agg(
-        F.sort_array(F.collect_list(F.struct("_n", line.alias("line")))).alias("_l")
-    )
-    head = F.format_string("Scanned %d files. Found indicators in %d files.\n", "n_files", "n_found")
-    return (
-        totals.join(found, PACKAGE, "left")
-        .join(lines, PACKAGE, "left")
-        .select(
-            *PACKAGE,
-            F.when(F.col("n_found").isNull(), F.lit("No threat indicators found in any file."))
-            .otherwise(F.concat(head, F.lit("\n"), F.array_join(F.col("_l.line"), "\n"))).alias("report"),
-        )
-    )
+        F.lit("[score: "), F.col("score").cast("string"), F.lit("] "), F.col("path"),
+        F.lit("\n   categories: "), F.array_join("categories", "+"), F.lit(" | indicators: "), shown)
+    lines = triaged.select(
+        *PACKAGE, F.col("score").cast("double").alias("score"), F.col("ordinal").cast("bigint").alias("ordinal"),
+        line.alias("line"))
+    return heads.unionByName(lines)
 
 
-def investigation_plan(triaged: DataFrame, threshold: int = MIN_SCORE, cap: int = MAX_FILES) -> DataFrame:
-    """Files to look into: all at the threshold or, where a package has more than cap, its install-time
-    files and the best of the others up to cap.
+def investigation_plan(triaged: DataFrame, threshold: int = MIN_SCORE) -> DataFrame:
+    """Files to look into: all at the threshold, with is_trigger for those that run at install time.
 
-    The others are ranked with a constant bound, which limits a package's rows before they are moved;
-    only those few meet the package counts. Columns of the input are kept. The input is read three
-    times: give it a written or checkpointed table, not a triage yet to be run.
+    Who can look into few files only takes the triggers and the best scores first; none is left out here.
     """
-    above = triaged.filter(F.col("score") >= threshold).withColumn(
-        "_trigger", F.col("path").rlike(paths.INSTALL_TRIGGER)
-    )
-    counts = above.groupBy(*PACKAGE).agg(
-        F.count(F.lit(1)).alias("_all"), F.count_if("_trigger").alias("_triggers")
-    )
-    order = Window.partitionBy(*PACKAGE).orderBy(F.desc("score"), "ordinal", "path")
-    others = above.filter(~F.col("_trigger")).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= cap)
-    chosen = others.join(counts, PACKAGE).filter(
-        (F.col("_all") <= cap) | (F.col("_n") <= F.lit(cap) - F.col("_triggers"))
-    )
-    return above.filter("_trigger").select(*triaged.columns).unionByName(chosen.select(*triaged.columns))
+    return triaged.filter(F.col("score") >= threshold).withColumn("is_trigger", F.col("path").rlike(paths.INSTALL_TRIGGER))

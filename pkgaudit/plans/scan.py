@@ -25,7 +25,7 @@ def vulnerable_packages(deps: DataFrame, advisory_docs: DataFrame) -> DataFrame:
 
 
 def dependency_trees(
-    manifest_files: DataFrame, registry_docs: DataFrame, max_depth: int = graph.MAX_DEPTH
+    manifest_files: DataFrame, registry_docs: DataFrame, max_depth: int | None = None
 ) -> dict[str, DataFrame]:
     """Trees of all manifests: nodes, edges, paths and what did not resolve.
 

@@ -40,7 +40,7 @@ ADVISORY_BODY = f"""
     affected array<struct<
         package:struct<name:string,ecosystem:string>,
         severity:{SEVERITY_ENTRIES},
-        ranges:array<struct<type:string,events:array<struct<introduced:string,fixed:string>>>>,
+        ranges:array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string,limit:string>>>>,
         versions:array<string>>>,
     references array<struct<type:string,url:string>>,
     database_specific struct<severity:string>

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pkgaudit.functions import json_text, labels, severity, signals, versions
-from pkgaudit.operators import advisories, enrich, explore, findings, registry, reports
+from pkgaudit.operators import advisories, enrich, explore, findings, graph, registry, reports
 
 
 def values(spark, column, inputs, kind="string"):
@@ -65,7 +65,13 @@ def test_version_order(spark):
     assert all(r[0] for r in same.collect())
     long = spark.createDataFrame([("1" + ".2" * 100_000,), ("1" + ".0" * 100_000,), ("9" * 60,)], "v string")
     keys = [r[0] for r in long.select(versions.version_key(F.col("v"))).collect()]
-    assert keys[1] == "011!1" and keys[2] > keys[0] > keys[1]
+    assert keys[1] == "110" "111" "!1" and keys[2] > keys[0] > keys[1]
+    epochs = ["2.0", "1!0.5", "1!1.0", "10!0.1"]
+    sizes = ["1." + "9" * 20, "1.1" + "0" * 20, "1." + "9" * 99, "1.1" + "0" * 99, "1.2" + "0" * 99]
+    for right in (epochs, sizes):
+        rows = spark.createDataFrame([(v,) for v in reversed(right)], "v string")
+        assert [r[0] for r in rows.orderBy(versions.version_key(F.col("v"))).collect()] == right
+        assert rows.select(versions.natural_key(F.col("v"))).distinct().count() == len(right)
 
 
 CASES = [
@@ -155,7 +161,7 @@ def test_labels(spark):
     urls = ["https://github.com/advisories/GHSA-aaaa-bbbb-cccc", "https://www.cve.org/CVERecord/CVE-2020-1",
             "https://nvd.nist.gov/vuln/detail/CVE-2021-2", "https://www.Example.com/a", "https://github.com/o/r", "nonsense"]
     assert values(spark, labels.reference_label, urls) == [
-        "GitHub · GHSA-aaaa-bb", "CVE · CVE-2020-1", "NVD · CVE-2021-2", "Link · example.com", "GitHub · github.com", "Link"]
+        "GitHub · GHSA-aaaa-bbbb-cccc", "CVE · CVE-2020-1", "NVD · CVE-2021-2", "Link · example.com", "GitHub · github.com", "Link"]
     assert values(spark, labels.repo_name, ["git@github.com:o/r.git", "https://github.com/o/r", "https://x/y/z.git", None]) == [
         "o/r", "o/r", "z", None]
 
@@ -191,11 +197,64 @@ def test_previous_version_needs_a_listed_latest(spark):
     assert {r.name: r.previous for r in registry.previous_version(df).collect()} == {"a": "1.9.0", "b": None, "c": None}
 
 
-def test_grep_caps_per_file_and_context(spark):
+def test_grep_finds_every_line_with_its_context(spark):
     text = "\n".join(f"line {i} eval" if i % 2 else f"line {i}" for i in range(1, 20))
     files = spark.createDataFrame([("npm", "p", "1", "a.js", 1, text)],
                                   "ecosystem string, name string, version string, path string, ordinal long, content string")
     rows = explore.grep_files(files, "EVAL", context=1).orderBy("line").collect()
-    assert [r.line for r in rows] == [1, 3, 5, 7, 9]
+    assert [r.line for r in rows] == list(range(1, 20, 2))
     assert rows[0].snippet == "> 1: line 1 eval\n  2: line 2"
     assert rows[1].snippet == "  2: line 2\n> 3: line 3 eval\n  4: line 4"
+
+
+def test_every_finding_has_its_own_verdict(spark):
+    """Two findings of one response, one confirmed and one dismissed; a second verdict on one changes no count."""
+    found = findings.normalize_findings(spark.createDataFrame(
+        [(1, 'x [{"severity":"high","confidence":0.9,"title":"a"},{"severity":"high","confidence":0.9,"title":"b"}] y')],
+        "ordinal long, response string"))
+    verdicts = spark.createDataFrame(
+        [(1, 0, "CONFIRMED", None, None, None, None, "fix"), (1, 1, "FALSE_POSITIVE", None, None, None, None, None),
+         (1, 0, "CONFIRMED", None, None, None, None, "fix")],
+        "ordinal long, position int, verdict string, adjusted_severity string, adjusted_confidence double, "
+        "attack_chain string, data_at_risk string, remediation string")
+    rows = findings.apply_verdicts(found, verdicts).collect()
+    assert [(r.title, r.deep_investigated, r.remediation) for r in rows] == [("a", True, "fix")]
+
+
+def test_ranges_end_where_they_say(spark):
+    def body(events):
+        return ('{"id":"X","affected":[{"package":{"name":"a","ecosystem":"npm"},"ranges":[{"type":"SEMVER","events":['
+                + events + ']}]}]}')
+
+    deps = spark.createDataFrame([("npm", "a", v) for v in ("0.5.0", "1.2.0", "1.3.0", "9.0.0")], "ecosystem string, name string, version string")
+    for events, hit in (
+        ('{"introduced":"0"},{"last_affected":"1.2.0"}', ["0.5.0", "1.2.0"]),
+        ('{"introduced":"0"},{"limit":"1.2.0"}', ["0.5.0"]),
+        ('{"fixed":"1.3.0"},{"introduced":"1.0.0"}', ["1.2.0"]),
+        ('{"introduced":"2.0.0"},{"introduced":"0"},{"fixed":"1.0.0"}', ["0.5.0", "9.0.0"]),
+    ):
+        docs = advisories.parse_advisories(spark.createDataFrame([("X", body(events))], "id string, body string"))
+        got = advisories.match_advisories(deps, docs).collect()
+        assert sorted(r.version for r in got) == hit, events
+
+
+def test_no_source_gives_no_row(spark):
+    assert advisories.union_sources(None, None).count() == 0
+
+
+def test_trees_are_followed_to_their_ends(spark):
+    roots = spark.createDataFrame([("r", "f", "npm", "n0", "*", True), ("r", "g", "npm", "n3", "*", False)],
+                                  "repo string, file string, ecosystem string, name string, version_spec string, is_dev boolean")
+    edges = [("npm", f"n{i}", "*", f"n{i + 1}", "*") for i in range(14)] + [("npm", "n14", "*", "n2", "*")]
+    chain = spark.createDataFrame(edges, "ecosystem string, name string, version_spec string, child_name string, child_spec string")
+    rows = {(r.file, r.name): (r.depth, r.is_dev) for r in graph.expand_tree(roots, chain).collect()}
+    assert rows["f", "n14"] == (14, False) and rows["f", "n0"] == (0, True) and rows["g", "n2"] == (12, False)
+    assert len(rows) == 15 + 13
+
+
+def test_one_answer_for_names_that_are_written_differently(spark):
+    docs = spark.createDataFrame(
+        [("pypi", "version", n, "1.0", "u", 200, '{"urls":[{}]}') for n in ("Foo.Bar", "foo-bar")],
+        "ecosystem string, kind string, name string, version string, url string, status int, body string")
+    deps = spark.createDataFrame([("pypi", "foo_bar", "1.0")], "ecosystem string, name string, version string")
+    assert enrich.apply_provenance(deps, enrich.verify_provenance(deps, docs)).count() == 1

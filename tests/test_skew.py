@@ -76,7 +76,7 @@ def test_a_hot_package_is_counted_whole(spark, hot_deps):
         F.col("version").alias("package_version"), F.lit("LOW").alias("severity"), F.lit("t").alias("title"),
     )
     grouped = reports.aggregate_by_package(vulns, vulns.limit(0))
-    assert grouped.first().static_count == N // 2
+    assert max(r.static_count for r in grouped.collect()) == N // 2
     assert advisories.dedup_vulnerabilities(vulns).count() == N
     assert reports.vulnerable_split(hot_deps, grouped).first().vulnerable == N
 

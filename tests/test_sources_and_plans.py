@@ -189,6 +189,6 @@ def test_review_plan_and_report(spark):
     row = report["findings"].collect()
     assert [(r.severity, r.confidence, r.deep_investigated) for r in row] == [("CRITICAL", 1.0, True)]
     assert row[0].description == "d\n\nAttack chain: steps\nData at risk: Unknown"
-    packages = [(r.package_name, r.highest_severity) for r in report["packages"].collect()]
+    packages = sorted((r.package_name, r.highest_severity) for r in report["packages"].collect())
     assert packages == [("a", "CRITICAL"), ("b", "HIGH"), ("c", "LOW")]
     assert report["packages_summary"].first().total_packages == 3

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pkgaudit.functions import paths
 from pkgaudit.functions.indicators import INDICATORS, LITERALS, literals_in
-from pkgaudit.operators import triage
+from pkgaudit.operators import findings, package_files, triage
 
 FILES = {
     "a.js": "eval(response);",
@@ -111,23 +111,29 @@ def test_guard_literals_are_found_like_contains(spark, files):
         assert closure == present
 
 
-def test_plan_keeps_triggers_and_fills_up_to_the_cap(spark):
+def test_plan_keeps_every_file_at_the_threshold(spark):
     rows = [(i, "npm", "p", "1", f"f{i}.js", 100 - i) for i in range(20)]
-    rows += [(100 + i, "npm", "p", "1", f"s{i}.sh", 9) for i in range(3)]
-    rows += [(200, "npm", "p", "1", "low.js", 7)] + [(300 + i, "npm", "q", "1", f"g{i}.js", 50) for i in range(10)]
+    rows += [(100 + i, "npm", "p", "1", f"s{i}.sh", 9) for i in range(3)] + [(200, "npm", "p", "1", "low.js", 7)]
     df = spark.createDataFrame(rows, "ordinal long, ecosystem string, name string, version string, path string, score long")
-    plan = triage.investigation_plan(df).collect()
-    assert sorted(r.path for r in plan if r.name == "p") == sorted([f"f{i}.js" for i in range(7)] + ["s0.sh", "s1.sh", "s2.sh"])
-    assert sum(r.name == "q" for r in plan) == 10
-    many = [(i, "npm", "p", "1", f"s{i}.sh", 9) for i in range(12)] + [(50, "npm", "p", "1", "a.js", 90)]
-    only = triage.investigation_plan(spark.createDataFrame(many, df.schema)).collect()
-    assert sorted(r.path for r in only) == sorted(f"s{i}.sh" for i in range(12))
+    plan = {r.path: r.is_trigger for r in triage.investigation_plan(df).collect()}
+    assert plan == {**{f"f{i}.js": False for i in range(20)}, **{f"s{i}.sh": True for i in range(3)}}
 
 
-def test_rank_filters_limit_each_package_before_the_shuffle(files):
+def test_nothing_is_sorted_or_shuffled_behind_the_scores(files):
     scored = triage.triage(files)
-    for df in (triage.investigation_plan(scored), triage.triage_report(scored, files)):
-        assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
+    for df in (scored, triage.investigation_plan(scored)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_files_and_long_texts_are_whole(spark):
+    files = spark.createDataFrame(
+        [("npm", "p", "1", "package/a.js", 600_000), ("npm", "p", "1", "package/b.js", 0)],
+        "ecosystem string, name string, version string, path string, size long")
+    assert [r.path for r in package_files.select_text_files(files).collect()] == ["package/a.js"]
+    plan = spark.createDataFrame([(1, "x" * 30_000 + "END")], "ordinal long, content string")
+    parts = findings.text_parts(plan, "content").orderBy("part").collect()
+    assert [r.part for r in parts] == [1, 2, 3] and "".join(r.content for r in parts).endswith("xEND")
+    assert sum(len(r.content) for r in parts) == 30_003
 
 
 def test_a_filter_on_the_score_does_not_repeat_the_scan(files):
