@@ -17,6 +17,7 @@ import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
 from itertools import islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,10 @@ from pkgaudit.llm.common import need, ship, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # States and pieces a worker keeps; beyond that it forgets all and goes on.
-KEPT_STATES = 200_000
+KEPT_STATES = 400_000
 NEVER = 1 << 60
-KEPT_PAIRS = 400_000
-KEPT_PIECES = 120_000
+KEPT_PAIRS = 600_000
+KEPT_PIECES = 300_000
 KEPT_PIECE_CHARS = 32
 
 
@@ -210,6 +211,11 @@ class Transducer:
         return (*out, *self._chain(last, len(pending)))
 
 
+def look_up(keys: list, table) -> tuple:
+    """table[key] for all keys, without a Python step for each."""
+    return itemgetter(*keys)(table) if len(keys) > 1 else tuple(table[k] for k in keys)
+
+
 class Decoder:
     """Ids to text, from the vocabulary alone."""
 
@@ -217,8 +223,8 @@ class Decoder:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.names = {rank: str(rank) for rank in self.tokens}
 
-    def decode_bytes(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode_bytes(self, ids: list[int]) -> bytes:
+        return b"".join(look_up(ids, self.tokens))
 
     def decode_stream(self, ids: Iterable[int], at_a_time: int = 4096) -> Iterator[str]:
         """Text as ids come in: an incremental UTF-8 machine keeps the bytes of a character still open."""
@@ -229,6 +235,20 @@ class Decoder:
         yield machine.decode(b"", final=True)
 
 
+class Pieces(dict):
+    """piece -> its ids as packed integers; those not met lately are looked up among older ones, or encoded."""
+
+    def __init__(self, transducer: Transducer, older: dict[str, bytes]):
+        super().__init__()
+        self.transducer, self.older = transducer, older
+
+    def __missing__(self, piece: str) -> bytes:
+        packed = self.older.get(piece) or array("i", self.transducer.encode(piece.encode())).tobytes()
+        if len(piece) <= KEPT_PIECE_CHARS:
+            self[piece] = packed
+        return packed
+
+
 class Codec(Decoder):
     """Whole texts to ids and back."""
 
@@ -237,23 +257,15 @@ class Codec(Decoder):
         super().__init__(ranks)
         self.transducer = Transducer(ranks)
         self.pieces = regex.compile(pattern).findall
-        # Pieces met lately, and those met before, with their ids as packed integers: a piece met again moves to the first.
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = Pieces(self.transducer, {})
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text, as 32-bit integers."""
-        pieces = self.pieces(text)
-        parts = list(map(self.known.get, pieces))
-        for i, packed in enumerate(parts):
-            if packed is None:
-                piece = pieces[i]
-                parts[i] = self.older.get(piece) or array("i", self.transducer.encode(piece.encode())).tobytes()
-                if len(piece) <= KEPT_PIECE_CHARS:
-                    self.known[piece] = parts[i]
+        packed = b"".join(look_up(self.pieces(text), self.known))
         if len(self.known) >= KEPT_PIECES:
-            self.known, self.older = {}, self.known
-        return np.frombuffer(b"".join(parts), np.int32)
+            older, self.known.older = self.known, {}
+            self.known = Pieces(self.transducer, older)
+        return np.frombuffer(packed, np.int32)
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -328,7 +340,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
                 decoded = hashlib.sha256()
                 for piece in coder.decode_stream(ids):
                     decoded.update(piece.encode())
-                named = " ".join(map(coder.names.__getitem__, ids))
+                named = " ".join(look_up(ids, coder.names))
                 rows.append((len(ids), hashlib.sha256(named.encode()).hexdigest(), decoded.hexdigest()))
             n, ids_digests, text_digests = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
