@@ -17,8 +17,10 @@ from pkgaudit.llm.common import keep_rows, row_key, stored, table, word_list
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good, fitted on the labels that are not held out."""
     model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality_classifier.score_documents(docs.withColumnRenamed("score", "_given"), *model)
-    return scored.filter("score >= 0.5").drop("score").withColumnRenamed("_given", "score")
+    # Columns by number while the score is among them: theirs may have any names.
+    numbered = {c: "text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)}
+    scored = quality_classifier.score_documents(docs.withColumnsRenamed(numbered), *model)
+    return scored.filter("score >= 0.5").select(*[F.col(numbered[c]).alias(c) for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,20 +46,20 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     taken, _ = mixing.mix(docs)
     counts = (
-        taken.filter("taken > 0").groupBy(row_key(F.col("doc_id"), F.col("text_hash")).alias("_key"))
-        .agg(F.sum("taken").alias("_taken"), F.first("size").alias("_size")))
-    copies = F.floor(F.col("_taken") / F.col("_size")).cast("int")
-    rest = (F.col("_taken") - F.col("_copies") * F.col("_size")).cast("int")
+        taken.filter("taken > 0").groupBy(row_key(F.col("doc_id"), F.col("text_hash")).alias("key"))
+        .agg(F.sum("taken").alias("taken"), F.first("size").alias("size"))
+        .withColumn("whole", F.floor(F.col("taken") / F.col("size")).cast("int"))
+        .withColumn("rest", (F.col("taken") - F.col("whole") * F.col("size")).cast("int")))
+    key = row_key(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))))
     mixed = (
-        docs.withColumn("_key", row_key(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))))
-        .dropDuplicates(["_key"]).join(counts, "_key").withColumn("_copies", copies).withColumn("_rest", rest)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies") + F.when(F.col("_rest") > 0, 1).otherwise(0)))))
-    cut = F.col("_copy") > F.col("_copies")
-    mixed = mixed.withColumn("text", F.when(cut, F.array_join(
-        F.slice(word_list(F.col("text")), F.lit(1), F.greatest(F.col("_rest"), F.lit(0))), " ")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        mixed = mixed.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return mixed.select(*docs.columns)
+        docs.select(key.alias("key"), F.struct(*docs.columns).alias("row")).dropDuplicates(["key"]).join(counts, "key")
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("whole") + F.when(F.col("rest") > 0, 1).otherwise(0)))))
+    cut = F.col("copy") > F.col("whole")
+    first_words = F.array_join(F.slice(word_list(F.col("row.text")), F.lit(1), F.col("rest")), " ")
+    mixed = mixed.withColumn("text", F.when(cut, first_words).otherwise(F.col("row.text")))
+    new = {"text": F.col("text"), "n_chars": F.when(cut, F.length("text").cast("long")).otherwise(F.col("row")["n_chars"])
+           if "n_chars" in docs.columns else None}
+    return mixed.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,7 +91,7 @@ def row_key(doc_id: Column, text_hash: Column) -> Column:
 
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The documents whose id and text `kept` (doc_id, text_hash) names, one row for each."""
-    keys = kept.select(row_key(F.col("doc_id"), F.col("text_hash")).alias("_key")).distinct()
-    return (
-        docs.withColumn("_key", row_key(F.col("doc_id"), F.xxhash64("text"))).join(keys, "_key", "left_semi")
-        .dropDuplicates(["_key"]).drop("_key"))
+    keys = kept.select(row_key(F.col("doc_id"), F.col("text_hash")).alias("key")).distinct()
+    # The row as one value: its columns may have any names.
+    rows = docs.select(row_key(F.col("doc_id"), F.xxhash64("text")).alias("key"), F.struct(*docs.columns).alias("row"))
+    return rows.join(keys, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
