@@ -39,6 +39,7 @@ ROUNDS = 2
 LIST_ROWS = 64
 SALT_ROWS = 256
 KEPT_WORDS = 300_000
+BITS = tuple(f"bits{k}" for k in range(16))
 
 _WORDS: dict[bytes, int] = {}
 
@@ -224,44 +225,61 @@ def _met_one(members: DataFrame, turn: int) -> DataFrame:
         .select("a", F.col("row").alias("b")).distinct())
 
 
-def _apart(left: DataFrame, right: DataFrame, on: list[str], also: str = "true") -> DataFrame:
-    """Pairs of two rows of a list in different components, each once.
+def _apart(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs of two rows of a list in different components.
 
-    One of the two is outside the list's least component, `low`: only such rows are looked up.
+    One of the two is outside the list's least component, `low`: only such rows are looked up. Where
+    rows have bit maps of their sketches, these must have enough bits in common.
     """
+    mapped = [c for c in BITS if c in left.columns]
     loose = left.filter("comp <> low").select(
         *on, F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"),
-        *[F.col(c).alias(f"{c}_a") for c in ("first",) if c in left.columns])
-    return (
-        loose.join(right, on).filter("comp <> comp_a and (comp = low or a < row)")
-        .filter(_near_in_size(F.col("n"), F.col("n_a"))).filter(also).select("a", F.col("row").alias("b")).distinct())
+        *[F.col(c).alias(f"{c}_a") for c in mapped])
+    pairs = loose.join(right, on).filter("comp <> comp_a and (comp = low or a < row)").filter(
+        _near_in_size(F.col("n"), F.col("n_a")))
+    if mapped:
+        common = sum((F.bit_count(F.col(c).bitwiseAND(F.col(f"{c}_a"))) for c in mapped), F.lit(0))
+        pairs = pairs.filter(common >= _must_share(F.greatest("n", "n_a")) * 6 / 7 - 4)
+    return pairs.select("a", F.col("row").alias("b")).distinct()
+
+
+def _must_share(n: Column) -> Column:
+    return F.least(F.lit(SHARED), F.ceil(n * THRESHOLD / 100))
+
+
+def _bit_maps(sketch: str) -> list[Column]:
+    """1,024 bits of a sketch, one for each value: 28 values in common make 20 bits in common but once in 1e10."""
+    def word(k: int) -> Column:
+        own = F.filter(sketch, lambda v: v.bitwiseAND(F.lit(len(BITS) - 1)) == k)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda bits, v: bits.bitwiseOR(F.call_function(
+            "shiftleft", F.lit(1).cast("long"), F.shiftright(v, 4).bitwiseAND(F.lit(63)).cast("int"))))
+
+    return [word(k).alias(c) for k, c in enumerate(BITS)]
 
 
 def _met_all(members: DataFrame, sketches: DataFrame) -> list[DataFrame]:
     """Pairs of members of a list in different components.
 
     In a long list they are those that share one of the rarest values of their sketches: with values in
-    order from rare to frequent within the list, one of the first (64 - SHARED + 1) is shared.
+    order from rare to frequent within the list, one of the first (64 - SHARED + 1) is shared. The bit
+    maps of the sketches are compared on the spot, so that few pairs come out.
     """
     open_lists = members.groupBy("key").agg(
         F.count(F.lit(1)).alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
     members = stored(members.join(open_lists.select("key", "m", "low"), "key"))
     short = members.filter(F.col("m") <= LIST_ROWS)
-    values = stored(
-        members.filter(F.col("m") > LIST_ROWS).join(sketches, "row")
-        .select("key", "row", "n", "comp", "low", F.explode("sketch").alias("v")))
+    longer = stored(members.filter(F.col("m") > LIST_ROWS))
+    values = longer.join(sketches, "row").select("key", "row", "n", "comp", "low", F.explode("sketch").alias("v"))
     frequency = values.groupBy("key", "v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    must_share = F.least(F.lit(SHARED), F.ceil(F.col("n") * THRESHOLD / 100))
-    ordered = (
+    first = F.slice(F.transform("ordered", lambda x: x["v"]), F.lit(1), F.greatest(
+        F.size("ordered") - _must_share(F.col("n")) + 1, F.lit(0)).cast("int"))
+    listed = stored(
         values.join(frequency, ["key", "v"]).groupBy("key", "row", "n", "comp", "low")
         .agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("ordered"))
-        .withColumn("first", F.slice(F.transform("ordered", lambda x: x["v"]), F.lit(1), F.greatest(
-            F.size("ordered") - must_share + 1, F.lit(0)).cast("int")))
-        .select("key", "row", "n", "comp", "low", "first", F.explode("first").alias("v")))
-    ordered = stored(ordered)
-    # A pair comes out under the first value that both have.
-    return [_apart(short, short, ["key"]),
-            _apart(ordered, ordered, ["key", "v"], "get(array_intersect(first_a, first), 0) = v")]
+        .select("key", "row", "n", "comp", "low", F.explode(first).alias("v")))
+    maps = stored(sketches.join(longer.select("row").distinct(), "row").select("row", *_bit_maps("sketch")))
+    mapped = listed.join(maps, "row")
+    return [_apart(short, short, ["key"]), _apart(mapped, mapped, ["key", "v"])]
 
 
 def near_classes(docs: DataFrame, size: int = 2) -> DataFrame:
