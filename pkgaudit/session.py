@@ -46,13 +46,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scan over the task slots when it has fewer partitions than slots.
+def spread(df: DataFrame, partitions: int, *keys: str) -> DataFrame:
+    """Deal a scan over partitions: for a caller whose one small file feeds a CPU-heavy projection.
 
-    Meant for unshuffled scans feeding CPU-heavy projections (a small file is one task);
-    a scan of many splits is returned as it is, so large inputs are never moved.
+    It moves all rows, so it is the caller's choice and never made by an operator.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
-        return df
-    return df.repartition(slots, *keys)
+    return df.repartition(partitions, *keys)
