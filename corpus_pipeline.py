@@ -29,8 +29,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of texts linked by a Jaccard of 0.8 on two-word shingles, one row of least id; all texts without words."""
-    classes = near_dedup.near_classes(docs)
+    """Of each class of texts linked by a Jaccard of 0.8 on five-word shingles, one row of least id; all texts without words."""
+    classes = near_dedup.near_classes(docs, size=5)
     least = classes.filter("doc_id <=> component_id")
     wordless = classes.filter("n_shingles = 0")
     # Should an id be repeated inside a class, one of its texts stays.

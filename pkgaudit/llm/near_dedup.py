@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from pkgaudit.llm.common import need, release, ship, stored, table
 
+# Words of a shingle where no contract says otherwise.
+SIZE = 5
 SKETCH = 64
 # Each of the 64 least values of a union lies in both sets with probability 0.8 or more, and such values
 # that follow each other in the union do so in both sketches. No three in a row: 1 link in 1e10 at a
@@ -55,7 +57,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(words: list[bytes], size: int = 2) -> np.ndarray:
+def shingle_hashes(words: list[bytes], size: int = SIZE) -> np.ndarray:
     """Sorted distinct hashes of the shingles; a text of fewer words is one shingle of another kind."""
     if len(_WORDS) > KEPT_WORDS:
         _WORDS.clear()
@@ -76,13 +78,13 @@ def shingle_hashes(words: list[bytes], size: int = 2) -> np.ndarray:
     return np.unique(out.view(np.int64))
 
 
-def shingle_set(words: list[bytes], size: int = 2) -> set:
+def shingle_set(words: list[bytes], size: int = SIZE) -> set:
     if len(words) < size:
         return {tuple(words)} if words else set()
     return set(zip(*(words[k:] for k in range(size)), strict=False))
 
 
-def signatures(docs: DataFrame, size: int = 2) -> DataFrame:
+def signatures(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, row, text_hash, n (set size), k1, k2 (128-bit hash of the set), sketch."""
     ship(docs.sparkSession)
 
@@ -163,7 +165,7 @@ def _verifier(size: int):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int = 2) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, size: int = SIZE) -> DataFrame:
     """The pairs (a, b) whose full sets are similar. A row in many pairs is dealt over parts, each with its text."""
     pairs = stored(pairs)
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("parts"))
@@ -282,7 +284,7 @@ def _met_all(members: DataFrame, sketches: DataFrame) -> list[DataFrame]:
     return [_apart(short, short, ["key"]), _apart(mapped, mapped, ["key", "v"])]
 
 
-def near_classes(docs: DataFrame, size: int = 2) -> DataFrame:
+def near_classes(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, row, text_hash, n_shingles, component_id of every row.
 
     Rows are linked if their sets of distinct `size`-word shingles have a Jaccard of 0.8 or more, and
@@ -329,7 +331,7 @@ def near_classes(docs: DataFrame, size: int = 2) -> DataFrame:
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the class of near copies they belong to, on two-word shingles."""
-    return near_classes(table(spark, sf_dir, "documents")).select(
+    return near_classes(table(spark, sf_dir, "documents"), size=2).select(
         "doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
