@@ -31,12 +31,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of texts linked by a Jaccard of 0.8 on five-word shingles, one row of least id; all texts without words."""
     classes = near_dedup.near_classes(docs, size=5)
-    least = classes.filter("doc_id <=> component_id")
-    wordless = classes.filter("n_shingles = 0")
-    # Should an id be repeated inside a class, one of its texts stays.
-    chosen = least.filter("n_shingles > 0").groupBy("component_id").agg(F.min("text_hash").alias("text_hash"))
-    return keep_rows(docs, chosen.withColumnRenamed("component_id", "doc_id").unionByName(
-        wordless.select("doc_id", "text_hash")))
+    # By the component itself: unlinked texts may share an id or have none.
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    chosen = classes.groupBy("component").agg(F.min(first).alias("first"))
+    return keep_rows(docs, chosen.select("first.doc_id", "first.text_hash"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -285,13 +285,14 @@ def _met_all(members: DataFrame, sketches: DataFrame) -> list[DataFrame]:
 
 
 def near_classes(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, row, text_hash, n_shingles, component_id of every row.
+    """doc_id, row, text_hash, n_shingles, component_id, component of every row.
 
     Rows are linked if their sets of distinct `size`-word shingles have a Jaccard of 0.8 or more, and
     component_id is the least doc_id reachable. A text of fewer words is one shingle; a null or blank
     one has none and is linked with nothing. Rows that repeat a text are of one class. A null doc_id
-    counts only where a component has no other. An empty table gives an empty result; other columns
-    are not read.
+    counts only where a component has no other. Ids may be null or repeated, so component_id does not
+    tell components apart; `component`, a row of each, does. An empty table gives an empty result;
+    other columns are not read.
     """
     need(docs, "doc_id", "text")
     spark = docs.sparkSession
@@ -324,9 +325,10 @@ def near_classes(docs: DataFrame, size: int = SIZE) -> DataFrame:
     named = classes.join(labels.withColumnRenamed("row", "rep"), "rep", "left").withColumn(
         "comp", F.coalesce("comp", "rep"))
     least = named.groupBy("comp").agg(F.min("class_id").alias("component_id"))
-    by_class = named.join(least, "comp").select("n", "k1", "k2", "component_id")
+    by_class = named.join(least, "comp").select("n", "k1", "k2", "comp", "component_id")
     return marks.select("doc_id", "row", "text_hash", "n", "k1", "k2").join(by_class, ["n", "k1", "k2"], "left").select(
-        "doc_id", "row", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        "doc_id", "row", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.coalesce("comp", "row").alias("component"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,3 +55,15 @@ def test_classes_of_both_sizes(spark, size):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in N.near_classes(docs, size).collect()}
     assert got == dict(enumerate(groups(texts, size)))
+
+
+def test_stage_with_null_and_repeated_ids(spark):
+    rows = [
+        (None, "first text without an id"), (None, "second text of no id either"), (None, "third one"), (None, None), (None, " "),
+        (6, "two words"), (6, "other words"), (7, "a text that two ids share here"), (3, "a text that two ids share here"),
+        (None, "a text that two ids share here"), (8, None), (9, ""),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = C.drop_near_copies(spark, docs, "").collect()
+    want = [r for r in rows if r[1] != "a text that two ids share here" or r[0] == 3]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
