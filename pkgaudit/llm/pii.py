@@ -7,7 +7,9 @@ address or number and validates it. Text without anchors is never looked at agai
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import product
 
 import ahocorasick
 import pyarrow as pa
@@ -26,9 +28,13 @@ LABEL = LETTERS | DIGITS | frozenset("-")
 PHONE = DIGITS | frozenset(" ().-")
 USER = LETTERS | DIGITS | frozenset("._~%!$&'()*+,;=-:")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "postgres://", "mysql://", "redis://", "amqp://", "mongodb://")
-IBAN_CUES = ("iban", "IBAN", "Iban")
-SSN_CUES = ("ssn", "SSN", "social security")
-CUE_REACH = 16
+IBAN_CUES = ("iban",)
+SSN_CUES = ("ssn", "social")
+SECURITY = re.compile(r"[\s_-]*security", re.IGNORECASE | re.ASCII)
+NEXT_IBAN_CUE = re.compile("iban", re.IGNORECASE | re.ASCII)
+IBAN_START = re.compile(r"(?<![A-Za-z0-9-])[A-Z]{2}(?=[ 0-9])", re.ASCII)
+NEXT_DIGIT = re.compile(r"[0-9]|ssn|social[\s_-]*security", re.IGNORECASE | re.ASCII)
+SSN = re.compile(r"([0-9]{3})-[0-9]{2}-[0-9]{4}(?![0-9])", re.ASCII)
 # Length of the account part by country, as the register of the format gives it.
 IBAN_LENGTHS = {
     "AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27,
@@ -42,12 +48,10 @@ def _automaton() -> ahocorasick.Automaton:
     automaton.add_word("+", (1, "+"))
     for digit in DIGITS:
         automaton.add_word(digit, (1, "0"))
-    for scheme in SCHEMES:
-        automaton.add_word(scheme, (len(scheme), "url"))
-    for cue in IBAN_CUES:
-        automaton.add_word(cue, (len(cue), "iban"))
-    for cue in SSN_CUES:
-        automaton.add_word(cue, (len(cue), "ssn"))
+    for words, what in ((SCHEMES, "url"), (IBAN_CUES, "iban"), (SSN_CUES, "ssn")):
+        for word in words:
+            for cased in product(*({c.lower(), c.upper()} for c in word)):
+                automaton.add_word("".join(cased), (len(word), what))
     automaton.make_automaton()
     return automaton
 
@@ -138,39 +142,46 @@ def login_at(text: str, end_of_scheme: int) -> tuple[int, int] | None:
     return None
 
 
-def iban_after(text: str, cue_end: int) -> tuple[int, int] | None:
-    """An account number within reach behind its cue, checked by its remainder."""
-    for start in range(cue_end, min(cue_end + CUE_REACH, len(text) - 3)):
-        length = IBAN_LENGTHS.get(text[start:start + 2])
-        if length is None or (start and text[start - 1] in LABEL):
-            continue
-        got, end = [], start
-        while end < len(text) and len(got) < length:
-            if text[end] in LETTERS or text[end] in DIGITS:
-                got.append(text[end])
-            elif text[end] != " ":
-                break
-            end += 1
-        number = "".join(got)
-        if len(number) == length and number.isupper() and (end == len(text) or text[end] not in LABEL):
-            moved = number[4:] + number[:4]
-            if int("".join(str(int(c, 36)) for c in moved)) % 97 == 1:
-                return start, end
+def iban_at(text: str, start: int) -> tuple[int, int] | None:
+    """The account number that begins with a country's letters at `start`, checked by its remainder."""
+    length = IBAN_LENGTHS.get(text[start:start + 2])
+    if length is None:
+        return None
+    got, end = [], start
+    while end < len(text) and len(got) < length:
+        if text[end] in LETTERS or text[end] in DIGITS:
+            got.append(text[end])
+        elif text[end] != " ":
+            break
+        end += 1
+    number = "".join(got)
+    if len(number) == length and number.isupper() and (end == len(text) or text[end] not in LABEL):
+        moved = number[4:] + number[:4]
+        if int("".join(str(int(c, 36)) for c in moved)) % 97 == 1:
+            return start, end
     return None
 
 
-def ssn_after(text: str, cue_end: int) -> tuple[int, int] | None:
-    """Three, two and four digits with hyphens within reach behind their cue."""
-    for start in range(cue_end, min(cue_end + CUE_REACH, len(text))):
-        if text[start] in DIGITS:
-            piece = text[start:start + 11]
-            groups = piece.split("-")
-            fits = [len(g) for g in groups] == [3, 2, 4] and all(c in DIGITS for g in groups for c in g)
-            behind = text[start + 11:start + 12]
-            if fits and behind not in DIGITS and groups[0] not in ("000", "666") and groups[0] < "900":
-                return start, start + 11
-            return None
-    return None
+def ibans_after(text: str, cue_end: int) -> Iterator[tuple[int, int]]:
+    """The account numbers behind a cue, whatever lies between, up to the next cue (which finds those behind it)."""
+    following = NEXT_IBAN_CUE.search(text, cue_end)
+    at, end = cue_end, following.start() if following else len(text)
+    while found := IBAN_START.search(text, at, end):
+        span = iban_at(text, found.start())
+        if span:
+            yield span
+        at = span[1] if span else found.start() + 1
+
+
+def ssns_after(text: str, cue_end: int) -> Iterator[tuple[int, int]]:
+    """Numbers of three, two and four digits with hyphens behind a cue and labels, up to other digits or the next cue."""
+    at = cue_end
+    while (found := NEXT_DIGIT.search(text, at)) and found[0] in DIGITS:
+        number = SSN.match(text, found.start())
+        if not number or number[1] in ("000", "666") or number[1] >= "900":
+            return
+        yield number.span()
+        at = number.end()
 
 
 class _Scanner:
@@ -189,7 +200,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) of a text, by kind as listed, then start.
 
     Of each base kind: leftmost matches that do not overlap, those failing validation dropped without
-    a second try. The further kinds are kept where they overlap no base span.
+    a second try. The further kinds stand beside base spans that they overlap.
     """
     base: dict[str, list[tuple[int, int]]] = {k: [] for k in BASE}
     more: list[tuple[str, int, int]] = []
@@ -230,18 +241,13 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
             if span:
                 more.append(("url_login", *span))
         elif what == "iban":
-            span = iban_after(text, last + 1)
-            if span:
-                more.append(("iban", *span))
+            more += [("iban", *span) for span in ibans_after(text, last + 1)]
         else:
-            span = ssn_after(text, last + 1)
-            if span:
-                more.append(("ssn", *span))
+            rest = SECURITY.match(text, last + 1) if length == len("social") else None
+            if rest or length == len("ssn"):
+                more += [("ssn", *span) for span in ssns_after(text, rest.end() if rest else last + 1)]
     out = [(k, s, e) for k in BASE for s, e in base[k]]
-    taken = [(s, e) for _, s, e in out]
-    out += sorted(
-        {m for m in more if not any(s < m[2] and m[1] < e for s, e in taken)}, key=lambda m: (KINDS.index(m[0]), m[1]))
-    return out
+    return out + sorted(set(more), key=lambda m: (KINDS.index(m[0]), m[1]))
 
 
 def scan_pii(docs: DataFrame) -> DataFrame:
