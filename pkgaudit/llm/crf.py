@@ -57,8 +57,11 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, ties: np.ndarray) -> np.nda
 
 
 def fit(inputs: np.ndarray, lengths: np.ndarray, labels: np.ndarray, n_labels: int, steps: int, rate: float = 0.1,
-        decay: float = 1e-3, most_tie: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (features x labels) and ties of greatest penalised likelihood, by Adam steps over all rows."""
+        decay: float = 1e-3, most_tie: float = 2.0, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (features x labels) and ties of greatest penalised likelihood, by Adam steps over all rows.
+
+    With `of`, inputs are the distinct ones, and `of` the number of each row's.
+    """
     wanted = np.eye(n_labels)[labels]
     firsts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     follows = np.ones(len(labels), bool)
@@ -70,8 +73,12 @@ def fit(inputs: np.ndarray, lengths: np.ndarray, labels: np.ndarray, n_labels: i
     means = [np.zeros_like(weights), np.zeros_like(ties)]
     squares = [np.zeros_like(weights), np.zeros_like(ties)]
     for step in range(1, steps + 1):
-        marginals, pairs = forward_backward(inputs @ weights, lengths, ties)
-        slopes = (inputs.T @ (wanted - marginals) / len(labels) - decay * weights,
+        scores = inputs @ weights
+        marginals, pairs = forward_backward(scores if of is None else scores[of], lengths, ties)
+        missing = wanted - marginals
+        if of is not None:
+            missing = np.stack([np.bincount(of, missing[:, k], len(inputs)) for k in range(n_labels)], axis=1)
+        slopes = (inputs.T @ missing / len(labels) - decay * weights,
                   (observed - pairs) / max(1, len(at)) - decay * ties)
         for k, (values, slope) in enumerate(zip((weights, ties), slopes, strict=True)):
             means[k] += 0.1 * (slope - means[k])

@@ -33,9 +33,35 @@ def test_null_and_repeated_ids_in_the_sample(spark):
 
 
 def test_runs_come_from_the_whole_text():
-    text = "".join(f"number {i}12345678 then " for i in range(900)) + f"token = {secret(3)}"
+    text = "".join(f"number {i}12345678 then " for i in range(3000)) + f"token = {secret(3)}"
     every = S._training_runs(text, 10_000)
     assert len(every) > 200
     assert any(any(labels) for _, labels in S._training_runs(text, 20))
     assert len(S._training_runs(text, 20)) == 20
     assert len(S._training_runs(text, 10**9)) == len(every)
+
+
+def test_all_tokens_are_in_the_chain():
+    """The labels are the best ones over whole texts, by inputs written out."""
+    from pkgaudit.llm import crf
+
+    rng = np.random.default_rng(3)
+    weights, ties = rng.normal(size=(S.N_INPUTS, 3)), rng.normal(size=(3, 3))
+    texts = ["", "one", "the passphrase is correct-horse-battery-staple", "import x; token = Ab3dE9fGh1Jk é 日本", "bearer qwzjxkvbnmplkjhg " * 9]
+    split = [t.split() for t in texts]
+    got = S._Tagger(weights, ties).tag([(t, w, S._classes(w)) for t, w in zip(texts, split, strict=True)])
+    for text, words, labels in zip(texts, split, got, strict=True):
+        assert len(labels) == len(words)
+        if words:
+            want = crf.viterbi(S._inputs(S._codes(words, text)) @ weights, np.array([len(words)]), ties)
+            assert labels.tolist() == want.tolist()
+
+
+def test_secrets_of_letters_only_can_be_found(spark):
+    letters = ["".join(chr(97 + int(c, 16)) for c in secret(i)[:20]) for i in range(240)]
+    texts = [f"some words of prose password = {w} and other words behind it" for w in letters[:200]]
+    model = S.train(frame(spark, texts))
+    new = [f"some words of prose passphrase credential = {w} and other words behind it" for w in letters[200:]]
+    found = {r.doc_id: r.spans for r in S.scan_secrets(frame(spark, new), *model).collect()}
+    hit = sum(any(new[i][s.start:s.end] == letters[200 + i] for s in spans) for i, spans in found.items())
+    assert hit >= 36
