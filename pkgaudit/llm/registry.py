@@ -6,6 +6,7 @@ from pkgaudit.llm import (
     byte_bpe,
     chat,
     exact_dedup,
+    fim,
     mixing,
     near_dedup,
     pii,
@@ -17,6 +18,7 @@ from pkgaudit.llm import (
 
 MODULES = (
     mixing, chat, quality_rules, near_dedup, exact_dedup, quality_classifier, secrets, byte_bpe, sharding, pii,
+    fim,
 )
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
