@@ -14,11 +14,12 @@ from pkgaudit.llm import (
     quality_rules,
     secrets,
     sharding,
+    whitening,
 )
 
 MODULES = (
     mixing, chat, quality_rules, near_dedup, exact_dedup, quality_classifier, secrets, byte_bpe, sharding, pii,
-    fim,
+    fim, whitening,
 )
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
