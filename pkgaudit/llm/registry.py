@@ -9,6 +9,7 @@ from pkgaudit.llm import (
     fim,
     mixing,
     near_dedup,
+    packing,
     pii,
     quality_classifier,
     quality_rules,
@@ -19,7 +20,7 @@ from pkgaudit.llm import (
 
 MODULES = (
     mixing, chat, quality_rules, near_dedup, exact_dedup, quality_classifier, secrets, byte_bpe, sharding, pii,
-    fim, whitening,
+    fim, whitening, packing,
 )
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
