@@ -38,13 +38,17 @@ def linear_groups(counts: np.ndarray, above: int, groups: int) -> tuple[list[int
     """Rounded sizes, falling, and how many pieces of more than `above` tokens have each.
 
     counts[l] is the number of pieces of length l. Pieces in falling order of length are dealt into `groups`
-    groups of equally many; a group's size is its longest length. Groups of one size are one.
+    groups of equally many; a group's size is its longest length. Groups of one size are one, and where there
+    are no more lengths than groups, each length is a group.
     """
     long = counts.copy()
     long[:above + 1] = 0
     total = int(long.sum())
     if not total:
         return [], []
+    lengths = np.flatnonzero(long)[::-1].tolist()
+    if len(lengths) <= groups:
+        return lengths, long[lengths].tolist()
     each = -(-total // groups)
     falling = np.cumsum(long[::-1])
     sizes: dict[int, int] = {}
