@@ -1,14 +1,17 @@
 """Near-duplicate classes by bottom-k sketches of one hash function.
 
 A row's set holds the 64-bit hashes of its distinct word shingles; its sketch, the 64 least values of
-the set. Rows with the same set are one class and go on as one. Inverted lists are kept of runs of
-three neighbouring retained values: two sets with a Jaccard of 0.8 or more share such a run (see
-`RUN`), while common values, met one by one, say little.
-
-Lists are not expanded into all pairs. In some rounds each member meets one chosen member of the
-list, which joins large groups at once; then only members of a list that are still in different
-components meet, in a long list by the rarest values they share within it. Pairs pass a filter on
-the sketch of the union and are confirmed on full sets read from the texts.
+the set. Rows with the same set are one class and go on as one. Retained values are counted over all
+classes and every sketch is put in order from rare to frequent; inverted lists are kept of pairs of neighbours
+in the rare part of that order. Two sets with a Jaccard of 0.8 or more share such a pair (see `FIRST`),
+while what many texts have in common (frequent words, a passage, a licence) is at the far end of the order.
+
+A list names one of its members, and lists with the same member are one group. In some rounds all members of a
+group meet that member alone, which joins large groups at once. Only groups that still hold different
+components are looked at whole, in blocks of bounded size: bit maps of the sketches, where the overlap of
+all pairs of a block is counted at once, tell the rows with a likely partner, and blocks of the full sets
+of these give links between components. No pair is written that does not join components, and
+all links are confirmed on words.
 """
 
 from __future__ import annotations
@@ -26,22 +29,25 @@ from pkgaudit.llm.common import need, release, ship, stored, table
 # Words of a shingle where no contract says otherwise.
 SIZE = 5
 SKETCH = 64
-# Each of the 64 least values of a union lies in both sets with probability 0.8 or more, and such values
-# that follow each other in the union do so in both sketches. No three in a row: 1 link in 1e10 at a
-# Jaccard of just 0.8, far fewer above. In a union of 6 to 64 values there are always three in a row,
-# in one of 5 two.
-RUN = 3
-SHORT = 5
+# Neighbours are taken from the first values of a sketch in order from rare to frequent. At a Jaccard of just 0.8, the
+# share of links without a common pair among the first k falls by 0.45 for each value (1 in 5,000 at 12, measured):
+# 1 link in 1e12 at 37, fewer above. A sketch that is a whole set gives all its neighbours: as the values that only one
+# of two sets has are at most a quarter of those they share, they cannot part all of these.
+FIRST = 37
 # Two sketches share 28 values or more but for 1 link in 3e10; small ones, which are whole sets, 0.8 of theirs.
 SHARED = 28
 # Of 64 values at Jaccard 0.8, under 29 are shared for about one pair in 1e10.
 LEAST_ESTIMATE = 0.45
 THRESHOLD = 80
 ROUNDS = 2
-LIST_ROWS = 64
 SALT_ROWS = 256
+# Rows of a part of a group, of which two are compared at a time: as bit maps, and as full sets (and their values).
+MAP_ROWS = 512
+SET_ROWS = 256
+SET_VALUES = 200_000
+COLUMNS = 2048
 KEPT_WORDS = 300_000
-BITS = tuple(f"bits{k}" for k in range(16))
+WORDS = 16
 
 _WORDS: dict[bytes, int] = {}
 
@@ -109,22 +115,20 @@ def signatures(docs: DataFrame, size: int = SIZE) -> DataFrame:
     ).mapInArrow(run, "doc_id long, row long, text_hash long, n long, k1 long, k2 long, sketch array<long>")
 
 
-def runs(marks: DataFrame) -> DataFrame:
-    """row, n, key: the inverted lists that a row is in, one for each run of its sketch."""
+def inverted_lists(reps: DataFrame) -> DataFrame:
+    """row, n, key of the lists that more than one class is in: neighbours in the rare part of a sketch."""
     # Sets of under 4 shingles have no partner at 0.8 but themselves.
-    def of_length(length: int) -> Column:
-        return F.transform(
-            F.slice("sketch", F.lit(1), F.greatest(F.size("sketch") - (length - 1), F.lit(0))),
-            lambda v, i: F.xxhash64(v, *[F.get("sketch", i + k) for k in range(1, length)]))
-
-    keys = F.when(F.col("n") <= SHORT, F.concat(of_length(RUN), of_length(RUN - 1))).otherwise(of_length(RUN))
-    return marks.filter("n >= 4").select("row", "n", F.explode(keys).alias("key"))
-
-
-def inverted_lists(marks: DataFrame, reps: DataFrame) -> DataFrame:
-    """row, n, key of the lists that more than one row is in (copies count here, but only classes are listed)."""
-    shared = runs(marks).groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
-    return runs(reps).join(shared, "key", "left_semi")
+    values = reps.filter("n >= 4").select("row", "n", F.explode("sketch").alias("v"))
+    frequency = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # Values of one class alone come first in the order and are in no list: they only use up places.
+    ordered = values.join(frequency, "v").groupBy("row", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("o"))
+    places = F.when(F.col("n") > SKETCH, F.greatest(FIRST - SKETCH + F.size("o"), F.lit(0))).otherwise(F.size("o"))
+    rare = F.slice(F.col("o.v"), F.lit(1), places)
+    keys = F.transform(
+        F.slice(rare, F.lit(1), F.greatest(F.size(rare) - 1, F.lit(0))), lambda v, i: F.xxhash64(v, F.get(rare, i + 1)))
+    entries = stored(ordered.select("row", "n", F.explode(keys).alias("key")))
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
+    return entries.join(shared, "key", "left_semi")
 
 
 def _near_in_size(a: Column, b: Column) -> Column:
@@ -215,73 +219,167 @@ def _with_components(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
 
 
-def _met_one(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a: the chosen member of a list, b: a member of another component)."""
-    # Lists of the same rows choose alike in three kinds, so that a row meets few different ones.
-    order = F.xxhash64("row", F.pmod("key", F.lit(3)) + 3 * turn)
+def groups(members: DataFrame, turn: int) -> DataFrame:
+    """a (the chosen member), row, n, comp: the members of all lists that chose `a` and hold two components or more."""
+    order = F.xxhash64("row", F.lit(turn))
     chosen = members.groupBy("key").agg(
-        F.min_by("row", order).alias("a"), F.min_by("n", order).alias("n_a"), F.min_by("comp", order).alias("comp_a"),
-        F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
+        F.min_by("row", order).alias("a"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
+    return members.join(chosen.select("key", "a"), "key").select("a", "row", "n", "comp").distinct()
+
+
+def _met_one(groups_of: DataFrame) -> DataFrame:
+    """Pairs (a: the chosen member of a group, b: a member of another component)."""
+    heads = groups_of.filter("a = row").select("a", F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
     return (
-        members.join(chosen, "key").filter("comp <> comp_a").filter(_near_in_size(F.col("n"), F.col("n_a")))
-        .select("a", F.col("row").alias("b")).distinct())
+        groups_of.join(heads, "a").filter("comp <> comp_a").filter(_near_in_size(F.col("n"), F.col("n_a")))
+        .select("a", F.col("row").alias("b")))
 
 
-def _apart(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs of two rows of a list in different components.
+def must_share(n: np.ndarray) -> np.ndarray:
+    """Values that the sketches of two similar sets share at least."""
+    return np.minimum(SHARED, -(-n * THRESHOLD // 100))
 
-    One of the two is outside the list's least component, `low`: only such rows are looked up. Where
-    rows have bit maps of their sketches, these must have enough bits in common.
-    """
-    mapped = [c for c in BITS if c in left.columns]
-    loose = left.filter("comp <> low").select(
-        *on, F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"),
-        *[F.col(c).alias(f"{c}_a") for c in mapped])
-    pairs = loose.join(right, on).filter("comp <> comp_a and (comp = low or a < row)").filter(
-        _near_in_size(F.col("n"), F.col("n_a")))
-    if mapped:
-        common = sum((F.bit_count(F.col(c).bitwiseAND(F.col(f"{c}_a"))) for c in mapped), F.lit(0))
-        pairs = pairs.filter(common >= _must_share(F.greatest("n", "n_a")) * 6 / 7 - 4)
-    return pairs.select("a", F.col("row").alias("b")).distinct()
 
+def bit_maps(sketches: pa.Array) -> np.ndarray:
+    """1,024 bits of every sketch, one for each value: 28 values in common make 20 bits in common but once in 1e10."""
+    ends = np.cumsum([0, *(len(s) for s in sketches)])
+    values = sketches.flatten().to_numpy()
+    maps = np.zeros((len(sketches), WORDS), np.uint64)
+    row = np.repeat(np.arange(len(sketches)), np.diff(ends))
+    bit = np.uint64(1) << ((values >> 4) & 63).astype(np.uint64)
+    np.bitwise_or.at(maps, (row, values & (WORDS - 1)), bit)
+    return maps
 
-def _must_share(n: Column) -> Column:
-    return F.least(F.lit(SHARED), F.ceil(n * THRESHOLD / 100))
 
+def in_parts(groups_of: DataFrame, rows: int, values: int | None) -> DataFrame:
+    """The groups with the parts (x <= y) whose rows meet: a group of p parts gives every row p times.
 
-def _bit_maps(sketch: str) -> list[Column]:
-    """1,024 bits of a sketch, one for each value: 28 values in common make 20 bits in common but once in 1e10."""
-    def word(k: int) -> Column:
-        own = F.filter(sketch, lambda v: v.bitwiseAND(F.lit(len(BITS) - 1)) == k)
-        return F.aggregate(own, F.lit(0).cast("long"), lambda bits, v: bits.bitwiseOR(F.call_function(
-            "shiftleft", F.lit(1).cast("long"), F.shiftright(v, 4).bitwiseAND(F.lit(63)).cast("int"))))
+    A part has about `rows` rows or, if set sizes count, `values` values in all.
+    """
+    size = F.ceil(F.count(F.lit(1)) / rows)
+    if values:
+        size = F.greatest(size, F.ceil(F.sum("n") / values))
+    parts = groups_of.groupBy("a").agg(size.cast("int").alias("parts"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    own = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
+    return (
+        groups_of.join(parts.filter("low <> high"), "a").withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("a", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "row", "n", "comp",
+                F.col("parts")))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that follow each other with the same (a, x, y), as one batch each."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in ("a", "x", "y")])
+        starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)])).tolist()
+        for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            if held and key != tuple(keys[:, start]):
+                yield pa.concat_batches(held)
+                held = []
+            key = tuple(keys[:, start])
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _sides(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the two parts of a block; the same ones where a part meets itself."""
+    own, x, y = (block.column(c).to_numpy() for c in ("own", "x", "y"))
+    return np.flatnonzero(own == x[0]), np.flatnonzero(own == y[0])
+
+
+def _apart(block: pa.RecordBatch, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs of the two sides are of different components and near enough in size."""
+    comp, n = block.column("comp").to_numpy(), block.column("n").to_numpy()
+    a, b = n[left][:, None], n[right][None, :]
+    return (comp[left][:, None] != comp[right][None, :]) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * THRESHOLD)
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a block whose sketch may have a partner's values in another component."""
+    for block in _blocks(batches):
+        left, right = _sides(block)
+        n, maps = block.column("n").to_numpy(), bit_maps(block.column("sketch"))
+        shared = np.zeros((len(left), len(right)), np.uint16)
+        for word in range(WORDS):
+            shared += np.bitwise_count(maps[left, word][:, None] & maps[right, word][None, :])
+        least = must_share(np.maximum(n[left][:, None], n[right][None, :])) * 6 / 7 - 4
+        found = (shared >= least) & _apart(block, left, right)
+        rows = np.union1d(left[found.any(1)], right[found.any(0)])
+        yield pa.RecordBatch.from_arrays(
+            [block.column(c).take(pa.array(rows)) for c in ("a", "row", "n", "comp")], ["a", "row", "n", "comp"])
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of one side with all of the other."""
+    found = np.zeros((len(left), len(right)), np.int64)
+    if not left or not right:
+        return found
+    sides = []
+    for sets in (left, right):
+        sides.append((np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])))
+    common = np.intersect1d(sides[0][0], sides[1][0])
+    for at in range(0, len(common), COLUMNS):
+        part = common[at:at + COLUMNS]
+        tables = []
+        for values, rows in sides:
+            column = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            here = part[column] == values
+            table = np.zeros((len(left) if not tables else len(right), len(part)), np.float32)
+            table[rows[here], column[here]] = 1
+            tables.append(table)
+        found += (tables[0] @ tables[1].T).astype(np.int64)
+    return found
+
+
+def _linker(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of a block between components, as few as join what its links join."""
+        for block in _blocks(batches):
+            left, right = _sides(block)
+            sets = [shingle_hashes(words_of(t.as_py()), size) for t in block.column("text")]
+            lengths = np.array([len(s) for s in sets], np.int64)
+            shared = intersections([sets[i] for i in left], [sets[i] for i in right])
+            union = lengths[left][:, None] + lengths[right][None, :] - shared
+            i, j = np.nonzero((shared * 100 >= union * THRESHOLD) & _apart(block, left, right))
+            comp, row = block.column("comp").to_numpy(), block.column("row").to_numpy()
+            ends = np.sort(np.stack([comp[left[i]], comp[right[j]]], 1), 1)
+            _, first = np.unique(ends, axis=0, return_index=True)
+            root: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while root.get(c, c) != c:
+                    c = root[c]
+                return c
+
+            a, b = [], []
+            for k in first.tolist():
+                low, high = sorted((find(int(ends[k, 0])), find(int(ends[k, 1]))))
+                if low != high:
+                    root[high] = low
+                    a.append(int(row[left[i[k]]]))
+                    b.append(int(row[right[j[k]]]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return [word(k).alias(c) for k, c in enumerate(BITS)]
+    return run
 
 
-def _met_all(members: DataFrame, sketches: DataFrame) -> list[DataFrame]:
-    """Pairs of members of a list in different components.
+def _met_all(groups_of: DataFrame, sketches: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Links that join the components of a group as all its links do."""
+    def dealt(blocks: DataFrame) -> DataFrame:
+        return blocks.repartition("a", "x", "y").sortWithinPartitions("a", "x", "y")
 
-    In a long list they are those that share one of the rarest values of their sketches: with values in
-    order from rare to frequent within the list, one of the first (64 - SHARED + 1) is shared. The bit
-    maps of the sketches are compared on the spot, so that few pairs come out.
-    """
-    open_lists = members.groupBy("key").agg(
-        F.count(F.lit(1)).alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
-    members = stored(members.join(open_lists.select("key", "m", "low"), "key"))
-    short = members.filter(F.col("m") <= LIST_ROWS)
-    longer = stored(members.filter(F.col("m") > LIST_ROWS))
-    values = longer.join(sketches, "row").select("key", "row", "n", "comp", "low", F.explode("sketch").alias("v"))
-    frequency = values.groupBy("key", "v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    first = F.slice(F.transform("ordered", lambda x: x["v"]), F.lit(1), F.greatest(
-        F.size("ordered") - _must_share(F.col("n")) + 1, F.lit(0)).cast("int"))
-    listed = stored(
-        values.join(frequency, ["key", "v"]).groupBy("key", "row", "n", "comp", "low")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("ordered"))
-        .select("key", "row", "n", "comp", "low", F.explode(first).alias("v")))
-    maps = stored(sketches.join(longer.select("row").distinct(), "row").select("row", *_bit_maps("sketch")))
-    mapped = listed.join(maps, "row")
-    return [_apart(short, short, ["key"]), _apart(mapped, mapped, ["key", "v"])]
+    likely = stored(
+        dealt(in_parts(groups_of, MAP_ROWS, None).join(sketches, "row")).select("a", "x", "y", "own", "row", "n", "comp", "sketch")
+        .mapInArrow(_likely, "a long, row long, n long, comp long").distinct())
+    return (
+        dealt(in_parts(likely, SET_ROWS, SET_VALUES).join(texts, "row")).select("a", "x", "y", "own", "row", "n", "comp", "text")
+        .mapInArrow(_linker(size), "a long, b long").distinct())
 
 
 def near_classes(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -300,26 +398,27 @@ def near_classes(docs: DataFrame, size: int = SIZE) -> DataFrame:
     classes = stored(marks.filter("n > 0").groupBy("n", "k1", "k2").agg(
         F.min("doc_id").alias("class_id"), F.min("row").alias("rep")))
     reps = marks.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
-    members = stored(inverted_lists(marks, reps))
+    members = stored(inverted_lists(reps))
     release(spark)
     listed = stored(members.select("row").distinct())
     sketches = stored(marks.select("row", "sketch").join(listed, "row"))
     wanted = listed.join(marks.select("row", "doc_id", "text_hash"), "row")
     source = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
+    # Rows may repeat an id and a text: one of them is enough.
     texts = stored(source.join(wanted, source["_id"].eqNullSafe(wanted["doc_id"]) & (
-        source["_hash"] == wanted["text_hash"])).select("row", "text"))
+        source["_hash"] == wanted["text_hash"])).groupBy("row").agg(F.any_value("text").alias("text")))
     release(spark)
 
     labels, links = None, None
     for turn in range(ROUNDS):
-        pairs = _met_one(_with_components(members, labels), turn)
+        pairs = _met_one(stored(groups(_with_components(members, labels), turn)))
         new = verified(estimated(pairs, sketches), texts, size)
         links = stored(new if links is None else links.unionByName(new))
         labels = components(links)
         release(spark)
-    for pairs in _met_all(stored(_with_components(members, labels)), sketches):
-        links = links.unionByName(stored(verified(estimated(pairs, sketches), texts, size)))
-        release(spark)
+    rest = stored(groups(_with_components(members, labels), ROUNDS))
+    links = links.unionByName(stored(verified(_met_all(rest, sketches, texts, size), texts, size)))
+    release(spark)
     labels = components(links)
 
     named = classes.join(labels.withColumnRenamed("row", "rep"), "rep", "left").withColumn(

@@ -49,8 +49,8 @@ def test_equal_fingerprints_of_different_texts_are_told_apart(odd, monkeypatch):
     assert marks.count() == len(odd_rows())
 
 
-def brute_components(rows):
-    sets = [N.shingle_set(N.words_of(t)) for _, t, _ in rows]
+def brute_components(rows, size=N.SIZE):
+    sets = [N.shingle_set(N.words_of(t), size) for _, t, _ in rows]
     parent = list(range(len(rows)))
 
     def root(i):
@@ -75,9 +75,7 @@ def test_near_classes(odd):
     assert sorted(map(tuple, got), key=repr) == brute_components(odd_rows())
 
 
-def test_long_lists_are_split(spark, monkeypatch):
-    """Lists above the bound are split by the values their members share; chains of links are followed."""
-    monkeypatch.setattr(N, "LIST_ROWS", 2)
+def chained_rows():
     rng = random.Random(5)
     words = [f"w{i}" for i in range(60)]
     rows = []
@@ -86,11 +84,49 @@ def test_long_lists_are_split(spark, monkeypatch):
             words = [f"w{rng.randrange(900)}" for _ in range(60)]
         words[rng.randrange(60)] = f"w{rng.randrange(900)}"
         rows.append((i, " ".join(words), "s"))
+    return rows
+
+
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_groups_in_small_blocks(spark, monkeypatch, rounds):
+    """Groups are compared in blocks; chains of links are followed; links beyond the chosen members are found."""
+    monkeypatch.setattr(N, "ROUNDS", rounds)
+    monkeypatch.setattr(N, "MAP_ROWS", 3)
+    monkeypatch.setattr(N, "SET_ROWS", 2)
+    monkeypatch.setattr(N, "COLUMNS", 7)
+    rows = chained_rows()
     df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     got = N.near_classes(df).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=repr) == brute_components(rows)
 
 
+def test_many_texts_share_a_passage_and_edits(spark):
+    """Copies of long texts with many edits, around the threshold, all with one passage in common."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(70)]
+    rows = []
+    for k in range(6):
+        base = [f"b{rng.randrange(4000)}" for _ in range(300)] + passage
+        for _ in range(25):
+            words = [f"e{rng.randrange(10**6)}" if rng.random() < rng.choice((0.01, 0.03, 0.05)) else w for w in base]
+            rows.append((len(rows), " ".join(words), "s"))
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(4)
+    for size in (2, 5):
+        got = N.near_classes(df, size).select("doc_id", "n_shingles", "component_id").collect()
+        assert sorted(map(tuple, got), key=repr) == brute_components(rows, size)
+
+
+def test_intersections(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(N, "COLUMNS", 4)
+    rng = np.random.default_rng(2)
+    sides = [[np.unique(rng.integers(0, 40, int(rng.integers(0, 30)))) for _ in range(m)] for m in (7, 9)]
+    want = [[len(np.intersect1d(a, b)) for b in sides[1]] for a in sides[0]]
+    assert N.intersections(*sides).tolist() == want
+    assert N.intersections([], sides[1]).shape == (0, 9)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = dict(map(tuple, N.components(links).select("row", "comp").collect()))
