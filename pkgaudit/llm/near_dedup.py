@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pkgaudit.llm.common import need, release, ship, stored, table
+from pkgaudit.llm.common import claim, need, release, ship, stored, table
 
 # Words of a shingle where no contract says otherwise.
 SIZE = 5
@@ -42,9 +42,9 @@ THRESHOLD = 80
 ROUNDS = 2
 SALT_ROWS = 256
 # Rows of a part of a group, of which two are compared at a time: as bit maps, and as full sets (and their values).
-MAP_ROWS = 512
-SET_ROWS = 256
-SET_VALUES = 200_000
+MAP_ROWS = 2048
+SET_ROWS = 1024
+SET_VALUES = 500_000
 COLUMNS = 2048
 KEPT_WORDS = 300_000
 WORDS = 16
@@ -65,6 +65,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_hashes(words: list[bytes], size: int = SIZE) -> np.ndarray:
     """Sorted distinct hashes of the shingles; a text of fewer words is one shingle of another kind."""
+    claim("near_dedup", _WORDS.clear)
     if len(_WORDS) > KEPT_WORDS:
         _WORDS.clear()
     hashed = []
@@ -251,6 +252,16 @@ def bit_maps(sketches: pa.Array) -> np.ndarray:
     return maps
 
 
+def with_maps(sketches: DataFrame) -> DataFrame:
+    """row, sketch and map: the bit map of the sketch, as bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = [m.astype("<u8").tobytes() for m in bit_maps(batch.column("sketch"))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maps, pa.binary())], ["row", "sketch", "map"])
+
+    return sketches.mapInArrow(run, "row long, sketch array<long>, map binary")
+
+
 def in_parts(groups_of: DataFrame, rows: int, values: int | None) -> DataFrame:
     """The groups with the parts (x <= y) whose rows meet: a group of p parts gives every row p times.
 
@@ -304,7 +315,8 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of a block whose sketch may have a partner's values in another component."""
     for block in _blocks(batches):
         left, right = _sides(block)
-        n, maps = block.column("n").to_numpy(), bit_maps(block.column("sketch"))
+        n = block.column("n").to_numpy()
+        maps = np.frombuffer(b"".join(block.column("map").to_pylist()), "<u8").reshape(-1, WORDS)
         shared = np.zeros((len(left), len(right)), np.uint16)
         for word in range(WORDS):
             shared += np.bitwise_count(maps[left, word][:, None] & maps[right, word][None, :])
@@ -375,7 +387,8 @@ def _met_all(groups_of: DataFrame, sketches: DataFrame, texts: DataFrame, size:
         return blocks.repartition("a", "x", "y").sortWithinPartitions("a", "x", "y")
 
     likely = stored(
-        dealt(in_parts(groups_of, MAP_ROWS, None).join(sketches, "row")).select("a", "x", "y", "own", "row", "n", "comp", "sketch")
+        dealt(in_parts(groups_of, MAP_ROWS, None).join(sketches.select("row", "map"), "row"))
+        .select("a", "x", "y", "own", "row", "n", "comp", "map")
         .mapInArrow(_likely, "a long, row long, n long, comp long").distinct())
     return (
         dealt(in_parts(likely, SET_ROWS, SET_VALUES).join(texts, "row")).select("a", "x", "y", "own", "row", "n", "comp", "text")
@@ -401,12 +414,19 @@ def near_classes(docs: DataFrame, size: int = SIZE) -> DataFrame:
     members = stored(inverted_lists(reps))
     release(spark)
     listed = stored(members.select("row").distinct())
-    sketches = stored(marks.select("row", "sketch").join(listed, "row"))
-    wanted = listed.join(marks.select("row", "doc_id", "text_hash"), "row")
+    sketches = stored(with_maps(marks.select("row", "sketch").join(listed, "row")))
+    # Written first: where they are few, Spark sends these to the texts instead of dealing all texts out.
+    named = F.xxhash64("doc_id", "text_hash").alias("named")
+    often = marks.groupBy(named).agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("named", F.lit(True).alias("often"))
+    wanted = stored(marks.select("row", "doc_id", "text_hash", named).join(listed, "row").join(often, "named", "left")
+                    .select("row", "doc_id", "text_hash", F.coalesce("often", F.lit(False)).alias("often")))
     source = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
-    # Rows may repeat an id and a text: one of them is enough.
-    texts = stored(source.join(wanted, source["_id"].eqNullSafe(wanted["doc_id"]) & (
-        source["_hash"] == wanted["text_hash"])).groupBy("row").agg(F.any_value("text").alias("text")))
+
+    def text_of(rows: DataFrame) -> DataFrame:
+        return source.join(rows, source["_id"].eqNullSafe(rows["doc_id"]) & (source["_hash"] == rows["text_hash"])).select("row", "text")
+
+    # Rows may repeat an id and a text: of those, one is enough.
+    texts = stored(text_of(wanted.filter("not often")).unionByName(text_of(wanted.filter("often")).dropDuplicates(["row"])))
     release(spark)
 
     labels, links = None, None
