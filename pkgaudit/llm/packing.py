@@ -11,9 +11,12 @@ sequences, and the short pieces go by falling length to the sequences with the l
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pkgaudit.llm.common import need, ship, stored, table
+from pkgaudit.llm.common import claim, need, ship, stored, table
 
 CAPACITY = 4096
 # Numbers of groups tried: few leave larger rooms for short pieces, many waste less where there are none.
@@ -270,30 +273,44 @@ class WordIds:
 
     The tokenizer never joins what ASCII blanks part, and takes upper-case ASCII letters as lower-case ones, so
     the ids of a text are those of its words; words met before are looked up. Texts that may hold
-    one of its special strings keep their case. The table of words is emptied when it is full.
+    one of its special strings keep their case. When the table of words is full it becomes the older one, of
+    which words that are met again are taken over.
     """
 
     def __init__(self, path: str):
+        # A task has one core: the tokenizer's own threads would only compete with other tasks.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Ids of words not known: endings of punctuation behind an ASCII letter are encoded apart."""
-        ends = {}
+        made, asked, ends = {}, [], []
+        known, older = self.known, self.older
         for word in words:
+            ids = older.get(word)
+            if ids is not None:
+                made[word] = ids
+                continue
             stem = word.rstrip(ENDINGS)
-            if len(stem) < len(word) and stem and stem[-1] in LETTERS:
-                ends[word] = stem
-        asked = set(words).difference(ends)
-        for word, stem in ends.items():
-            asked.update((stem, word[len(stem):]))
-        made = {w: self.known[w] for w in asked if w in self.known}
-        asked = list(asked.difference(made))
+            if len(stem) == len(word) or not stem or stem[-1] not in LETTERS:
+                asked.append(word)
+                continue
+            ending = word[len(stem):]
+            ends.append((word, stem, ending))
+            for part in (stem, ending):
+                if part not in words and part not in made:
+                    made[part] = known.get(part) or older.get(part)
+                    if made[part] is None:
+                        asked.append(part)
         coded = self.coder.encode_batch_fast([w.decode() for w in asked], add_special_tokens=False)
-        made.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(asked, coded, strict=True))
-        made.update((w, made[stem] + made[w[len(stem):]]) for w, stem in ends.items())
+        for word, code in zip(asked, coded, strict=True):
+            made[word] = array("I", code.ids).tobytes()
+        for word, stem, ending in ends:
+            made[word] = made[stem] + made[ending]
         return made
 
     def _segments(self, text: bytes) -> Iterator[list[bytes]]:
@@ -311,11 +328,12 @@ class WordIds:
         """Little-endian unsigned 32-bit ids of each text; for texts of a few megabytes in all."""
         split = [list(self._segments(t)) for t in texts]
         asked = set().union(*(words for parts in split for words in parts))
-        if len(self.known) + len(asked) > KNOWN_WORDS:
-            self.known.clear()
+        if len(self.known) > KNOWN_WORDS:
+            self.known, self.older = {}, self.known
         fresh = self._learn(asked.difference(self.known))
         self.known.update(fresh)
-        made = [b"".join([self.known[w] for words in parts for w in words]) for parts in split]
+        find = self.known.__getitem__
+        made = [b"".join(map(find, chain.from_iterable(parts))) for parts in split]
         for word in fresh:
             if len(word) > LONGEST_KNOWN:
                 del self.known[word]
@@ -326,6 +344,7 @@ _CODERS: dict[str, WordIds] = {}
 
 
 def coder_of(path: str) -> WordIds:
+    claim("packing", _CODERS.clear)
     if path not in _CODERS:
         _CODERS[path] = WordIds(path)
     return _CODERS[path]
