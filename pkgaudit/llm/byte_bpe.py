@@ -25,14 +25,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from pkgaudit.llm.common import need, ship, table
+from pkgaudit.llm.common import claim, collector_off, need, ship, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-# States and pieces a worker keeps; beyond that it forgets all and goes on.
-KEPT_STATES = 400_000
+# States, pairs and pieces a worker keeps, about 200 MB in all; beyond that it forgets them and goes on.
+KEPT_STATES = 220_000
 NEVER = 1 << 60
-KEPT_PAIRS = 600_000
-KEPT_PIECES = 300_000
+KEPT_PAIRS = 250_000
+KEPT_PIECES = 180_000
 KEPT_PIECE_CHARS = 32
 
 
@@ -273,8 +273,8 @@ _CODECS: dict[tuple[str, str], Codec] = {}
 
 def codec(path: str, pattern: str) -> Codec:
     """One codec a worker, with what it has learnt."""
+    claim("byte_bpe", _CODECS.clear)
     if (path, pattern) not in _CODECS:
-        gc.disable()  # it would walk all states again and again
         _CODECS[path, pattern] = Codec(path, pattern)
     return _CODECS[path, pattern]
 
@@ -290,7 +290,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     docs = docs.drop("input_ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(path, pattern)
+        with collector_off():
+            yield from coded(codec(path, pattern), batches)
+
+    def coded(coder: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = batch.schema.get_field_index("text")
             for at in range(0, batch.num_rows, 256):
@@ -332,7 +335,10 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
     path, pattern = path or vocabulary_path(), pattern or split_pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(path, pattern)
+        with collector_off():
+            yield from tripped(codec(path, pattern), batches)
+
+    def tripped(coder: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column("text"):

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pkgaudit.llm.byte_bpe import read_ranks, split_pattern, vocabulary_path
-from pkgaudit.llm.common import need, ship, table
+from pkgaudit.llm.common import claim, need, ship, table
 
 # The template's own marks, in the order of their ids behind the vocabulary.
 TURN, SAYS, DONE = "<|turn|>", "<|says|>", "<|done|>"
@@ -91,6 +91,7 @@ _TEMPLATES: dict[tuple, Template] = {}
 
 
 def template(*key) -> Template:
+    claim("chat", _TEMPLATES.clear)
     if key not in _TEMPLATES:
         _TEMPLATES[key] = Template(*key)
     return _TEMPLATES[key]

@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +51,40 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, release_memory: Callable[[], None]) -> None:
+    """Called in a worker by an operator that keeps what it learns from task to task.
+
+    Workers serve one operator after another: what another one keeps is let go, so that a worker holds the
+    tables of one operator at a time.
+    """
+    others = [name for name in _HELD if name != owner]
+    for name in others:
+        _HELD.pop(name)()
+    if others:
+        gc.collect()
+    _HELD[owner] = release_memory
+
+
+def let_go() -> None:
+    """Called in a worker by an operator that keeps nothing."""
+    claim("", lambda: None)
+
+
+@contextmanager
+def collector_off() -> Iterator[None]:
+    """No search for garbage while a task builds tables of many small objects."""
+    was_on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was_on:
+            gc.enable()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application; the same as --py-files at submit time."""
     context = spark.sparkContext

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pkgaudit.llm import crf
-from pkgaudit.llm.common import need, ship, table
+from pkgaudit.llm.common import let_go, need, ship, table
 
 # The labelled rows a model is fitted on: so many at most, of at most so many lines each.
 SAMPLE_DOCS = 3000
@@ -149,6 +149,7 @@ def _sample(docs: DataFrame, labels: DataFrame, sample_docs: int, sample_lines:
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
@@ -197,6 +198,7 @@ def score_documents(docs: DataFrame, weights: np.ndarray, ties: np.ndarray) -> D
     docs = docs.drop("score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             place = batch.schema.get_field_index("text")
             for at in range(0, batch.num_rows, 1000):
