@@ -120,7 +120,8 @@ def inverted_lists(reps: DataFrame) -> DataFrame:
     """row, n, key of the lists that more than one class is in: neighbours in the rare part of a sketch."""
     # Sets of under 4 shingles have no partner at 0.8 but themselves.
     values = reps.filter("n >= 4").select("row", "n", F.explode("sketch").alias("v"))
-    frequency = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # It grows with the rows: never sent to all tasks.
+    frequency = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").hint("merge")
     # Values of one class alone come first in the order and are in no list: they only use up places.
     ordered = values.join(frequency, "v").groupBy("row", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("o"))
     places = F.when(F.col("n") > SKETCH, F.greatest(FIRST - SKETCH + F.size("o"), F.lit(0))).otherwise(F.size("o"))
@@ -147,6 +148,22 @@ def estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return both.filter(shared >= F.size(union) * F.lit(LEAST_ESTIMATE)).select("a", "b")
 
 
+def may_be_in(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows whose hash in `column` may be one of `keys`: of the others, few are left to deal out.
+
+    A table of 2^24 bits, one set for each key, goes to all tasks: 2^18 words at most, whatever the number of keys.
+    """
+    def word(c: str) -> Column:
+        return F.pmod(F.shiftright(c, 6), F.lit(1 << 18))
+
+    def bit(c: str) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.col(c).bitwiseAND(F.lit(63)).cast("int"))
+
+    words = keys.groupBy(word(column).alias("_word")).agg(F.bit_or(bit(column)).alias("_bits"))
+    return (rows.join(F.broadcast(words), word(column) == F.col("_word"))
+            .filter(F.col("_bits").bitwiseAND(bit(column)) != 0).drop("_word", "_bits"))
+
+
 def _verifier(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted by a, its own text first: one set is held while the others of its part stream by."""
@@ -415,18 +432,13 @@ def near_classes(docs: DataFrame, size: int = SIZE) -> DataFrame:
     release(spark)
     listed = stored(members.select("row").distinct())
     sketches = stored(with_maps(marks.select("row", "sketch").join(listed, "row")))
-    # Written first: where they are few, Spark sends these to the texts instead of dealing all texts out.
-    named = F.xxhash64("doc_id", "text_hash").alias("named")
-    often = marks.groupBy(named).agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("named", F.lit(True).alias("often"))
-    wanted = stored(marks.select("row", "doc_id", "text_hash", named).join(listed, "row").join(often, "named", "left")
-                    .select("row", "doc_id", "text_hash", F.coalesce("often", F.lit(False)).alias("often")))
+    wanted = marks.select("row", "doc_id", "text_hash", F.xxhash64("doc_id", "text_hash").alias("named")).join(listed, "row")
     source = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
-
-    def text_of(rows: DataFrame) -> DataFrame:
-        return source.join(rows, source["_id"].eqNullSafe(rows["doc_id"]) & (source["_hash"] == rows["text_hash"])).select("row", "text")
-
+    named = source.withColumn("named", F.xxhash64("_id", "_hash"))
+    found = may_be_in(named, wanted, "named").drop("named").join(
+        wanted, F.col("_id").eqNullSafe(wanted["doc_id"]) & (F.col("_hash") == wanted["text_hash"]))
     # Rows may repeat an id and a text: of those, one is enough.
-    texts = stored(text_of(wanted.filter("not often")).unionByName(text_of(wanted.filter("often")).dropDuplicates(["row"])))
+    texts = stored(found.select("row", "text").dropDuplicates(["row"]))
     release(spark)
 
     labels, links = None, None
