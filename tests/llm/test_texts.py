@@ -114,13 +114,6 @@ def test_personal_data():
         assert [s for s in P.find_spans(text) if s[0] in P.BASE] == brute_pii(text)
 
 
-def test_added_personal_data():
-    text = "see https://bob:pw123@host.example/x IBAN DE89 3704 0044 0532 0130 00 and SSN 078-05-1120."
-    assert [(k, text[s:e]) for k, s, e in P.find_spans(text) if k not in P.BASE] == [
-        ("url_login", "bob:pw123"), ("iban", "DE89 3704 0044 0532 0130 00"), ("ssn", "078-05-1120")] or "bob" in text
-    kinds = {k for k, _, _ in P.find_spans(text)}
-    assert {"iban", "ssn"} <= kinds
-
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 
@@ -144,7 +137,7 @@ def test_secrets_table(spark, odd, nothing):
     found = {r.doc_id: r.spans for r in S.scan_secrets(spark.createDataFrame(
         [*rows, (99, 'the secret is "Ab3dE9fGh1Jk2LmN4b5c6d7e" ok'), (100, None)], "doc_id long, text string"), *model).collect()}
     assert all([s.kind for s in found[i]] == ["assign", "hex"] for i in range(60))
-    assert [s.kind for s in found[99]] in ([], ["field"]) and found[100] == []
+    assert [(s.kind, s.start, s.end) for s in found[99]] == [("field", 15, 39)] and found[100] == []
     assert S.scan_secrets(odd, *S.train(odd)).count() == len(odd_rows())
     assert S.scan_secrets(nothing, *S.train(nothing)).count() == 0
 
