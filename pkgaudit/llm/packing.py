@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pkgaudit.llm.common import claim, need, ship, stored, table
+from pkgaudit.llm.common import claim, collector_off, need, ship, stored, table
 
 CAPACITY = 4096
 # Numbers of groups tried: few leave larger rooms for short pieces, many waste less where there are none.
@@ -260,9 +260,9 @@ def lay(lengths: np.ndarray, ranks: np.ndarray, runs: np.ndarray) -> np.ndarray:
 
 # ---- tokens ------------------------------------------------------------------------------------------------------
 
-# A part of a text encoded at once, and the blanks it may be cut at.
-SEGMENT_BYTES = 1 << 20
-KNOWN_WORDS = 300_000
+# A part of a text, or of many short texts, that is encoded at once.
+SEGMENT_BYTES = 1 << 22
+KNOWN_WORDS = 600_000
 LONGEST_KNOWN = 64
 ENDINGS = b".,;:!?$#*"
 LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
@@ -288,27 +288,28 @@ class WordIds:
 
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Ids of words not known: endings of punctuation behind an ASCII letter are encoded apart."""
-        made, asked, ends = {}, [], []
         known, older = self.known, self.older
-        for word in words:
-            ids = older.get(word)
-            if ids is not None:
-                made[word] = ids
-                continue
+        made = {w: older[w] for w in words.intersection(older)}
+        words = words.difference(made)
+        asked = [w for w in words if w[-1] not in ENDINGS]
+        ends = []
+        parts = set()
+        for word in words.difference(asked):
             stem = word.rstrip(ENDINGS)
-            if len(stem) == len(word) or not stem or stem[-1] not in LETTERS:
+            if stem and stem[-1] in LETTERS:
+                ends.append((word, stem, word[len(stem):]))
+                parts.update(ends[-1][1:])
+            else:
                 asked.append(word)
-                continue
-            ending = word[len(stem):]
-            ends.append((word, stem, ending))
-            for part in (stem, ending):
-                if part not in words and part not in made:
-                    made[part] = known.get(part) or older.get(part)
-                    if made[part] is None:
-                        asked.append(part)
-        coded = self.coder.encode_batch_fast([w.decode() for w in asked], add_special_tokens=False)
-        for word, code in zip(asked, coded, strict=True):
-            made[word] = array("I", code.ids).tobytes()
+        for part in parts.difference(asked, made):
+            ids = known.get(part) or older.get(part)
+            if ids is None:
+                asked.append(part)
+            else:
+                made[part] = ids
+        if asked:
+            coded = self.coder.encode_batch_fast(b" ".join(asked).decode().split(" "), add_special_tokens=False)
+            made.update(zip(asked, [array("I", c.ids).tobytes() for c in coded], strict=True))
         for word, stem, ending in ends:
             made[word] = made[stem] + made[ending]
         return made
@@ -386,7 +387,10 @@ def cut_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACIT
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, task = coder_of(path), TaskContext.get().partitionId()
+        with collector_off():
+            yield from cut(coder_of(path), TaskContext.get().partitionId(), batches)
+
+    def cut(coder: WordIds, task: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for first, slab in _slabs(batch.column(1).cast(pa.binary())):
