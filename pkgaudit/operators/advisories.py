@@ -18,6 +18,7 @@ from pkgaudit.functions.severity import (
     severity_rank,
 )
 from pkgaudit.functions.versions import pep503_name, version_key
+from pkgaudit.operators.intervals import points_in_intervals
 from pkgaudit.operators.keys import PACKAGE, compute_once, explode_rows, first_per_key
 
 # Ecosystem names in the advisory database.
@@ -52,7 +53,7 @@ def _match_name(ecosystem: Column, name: Column) -> Column:
 
 
 def _spans(package: Column) -> Column:
-    """Version intervals and listed versions of one affected entry.
+    """Version intervals, as version keys, and listed versions of one affected entry.
 
     The events of a range are put in the order of their versions, however they are listed. Each
     'introduced' one runs to the next 'fixed' or 'limit', which it does not reach, or to the next
@@ -64,16 +65,19 @@ def _spans(package: Column) -> Column:
         def ends(kind: str, inclusive: bool) -> Column:
             some = F.filter(r["events"], lambda e: F.coalesce(e[kind], F.lit("")) != "")
             return F.transform(some, lambda e: F.struct(
-                version_key(e[kind]).alias("key"), F.lit(inclusive).alias("inclusive"), e[kind].alias("version")))
+                version_key(e[kind]).alias("key"), F.lit(inclusive).alias("inclusive")))
 
         def intervals(stops: Column) -> Column:
             def interval(e: Column) -> Column:
-                key = F.when(e["introduced"] == "0", F.lit("")).otherwise(version_key(e["introduced"]))
-                stop = bind(key, lambda k: F.array_min(F.filter(
-                    stops, lambda s: (s["key"] > k) | (s["inclusive"] & (s["key"] == k)))))
-                return bind(stop, lambda s: F.struct(
-                    empty.alias("listed"), e["introduced"].alias("from"),
-                    F.when(~s["inclusive"], s["version"]).alias("to"), F.when(s["inclusive"], s["version"]).alias("last")))
+                start = F.when(e["introduced"] == "0", F.lit("")).otherwise(version_key(e["introduced"]))
+
+                def up_to_stop(key: Column) -> Column:
+                    stop = F.array_min(F.filter(stops, lambda s: (s["key"] > key) | (s["inclusive"] & (s["key"] == key))))
+                    return bind(stop, lambda s: F.struct(
+                        empty.alias("listed"), key.alias("from_key"),
+                        F.when(~s["inclusive"], s["key"]).alias("to_key"), F.when(s["inclusive"], s["key"]).alias("last_key")))
+
+                return bind(start, up_to_stop)
 
             return F.transform(F.filter(r["events"], lambda e: F.coalesce(e["introduced"], F.lit("")) != ""), interval)
 
@@ -82,9 +86,9 @@ def _spans(package: Column) -> Column:
     ranges = F.filter(package["ranges"], lambda r: F.coalesce(r["type"], F.lit("")) != "GIT")
     listed = F.transform(
         package["versions"],
-        lambda v: F.struct(v.alias("listed"), empty.alias("from"), empty.alias("to"), empty.alias("last")),
+        lambda v: F.struct(v.alias("listed"), empty.alias("from_key"), empty.alias("to_key"), empty.alias("last_key")),
     )
-    none = F.array().cast("array<struct<listed:string,from:string,to:string,last:string>>")
+    none = F.array().cast("array<struct<listed:string,from_key:string,to_key:string,last_key:string>>")
     return F.concat(F.coalesce(F.flatten(F.transform(ranges, opened)), none), F.coalesce(listed, none))
 
 
@@ -112,37 +116,26 @@ def advisory_packages(advisories: DataFrame) -> DataFrame:
 def match_advisories(deps: DataFrame, advisories: DataFrame) -> DataFrame:
     """(ecosystem, name, version, id) of every package version an advisory affects.
 
-    The dependencies are reduced to distinct package versions first, so the join grows with the
-    number of published versions in use and not with how often they are used. It is one equi join
-    on ecosystem and name; only ids and version keys travel through it, and as an advisory has one
-    row per package, a hit comes out once and needs no second shuffle.
+    The dependencies are reduced to distinct package versions first, so the joins grow with the
+    number of published versions in use and not with how often they are used. Versions meet version
+    intervals by rank blocks (`points_in_intervals`), so a package with many versions and many advisories costs
+    its hits and not all pairs; listed versions meet by their text, and a version that is not known meets
+    every advisory of its name. All are equi joins on ids and keys.
     """
+    named = ["osv_ecosystem", "match_name"]
     wanted = advisory_queries(deps).select(
         *PACKAGE, "osv_ecosystem", "query_version",
         _match_name(F.col("osv_ecosystem"), F.col("name")).alias("match_name"),
         version_key(F.col("query_version")).alias("at_key"),
     )
-    keyed = F.transform(
-        "spans",
-        lambda s: F.struct(
-            s["listed"].alias("listed"),
-            F.when(s["from"] == "0", F.lit("")).when(s["from"].isNotNull(), version_key(s["from"])).alias("from_key"),
-            F.when(s["to"].isNotNull(), version_key(s["to"])).alias("to_key"),
-            F.when(s["last"].isNotNull(), version_key(s["last"])).alias("last_key"),
-        ),
-    )
-    packages = advisory_packages(advisories).select("id", "osv_ecosystem", "match_name", keyed.alias("spans"))
-    inside = F.exists(
-        "spans",
-        lambda s: (s["listed"] == F.col("query_version"))
-        | ((s["from_key"] <= F.col("at_key")) & (s["to_key"].isNull() | (F.col("at_key") < s["to_key"]))
-           & (s["last_key"].isNull() | (F.col("at_key") <= s["last_key"]))),
-    )
-    return (
-        wanted.join(packages, ["osv_ecosystem", "match_name"])
-        .filter(F.col("query_version").isNull() | F.coalesce(inside, F.lit(False)))
-        .select(*PACKAGE, "id")
-    )
+    packages = compute_once(advisory_packages(advisories), "_p", F.struct("id", *named, "spans")).select("_p.*")
+    spans = packages.select("id", *named, F.explode("spans").alias("s")).select("id", *named, "s.*")
+    any_version = wanted.filter(F.col("query_version").isNull()).join(packages.select("id", *named), named)
+    listed = spans.filter(F.col("listed").isNotNull()).select("id", *named, F.col("listed").alias("query_version"))
+    inside = points_in_intervals(
+        wanted.select(*PACKAGE, *named, "at_key"), spans.filter(F.col("listed").isNull()).drop("listed"), named)
+    hits = [any_version, wanted.join(listed, [*named, "query_version"]), inside]
+    return reduce(DataFrame.unionByName, [h.select(*PACKAGE, "id") for h in hits]).distinct()
 
 
 def backfill_advisory_details(stubs: DataFrame, details: DataFrame) -> DataFrame:
