@@ -148,20 +148,17 @@ def estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return both.filter(shared >= F.size(union) * F.lit(LEAST_ESTIMATE)).select("a", "b")
 
 
-def may_be_in(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """The rows whose hash in `column` may be one of `keys`: of the others, few are left to deal out.
+def may_be_in(rows: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """The rows that may have a partner in `keys` by these columns: of the others, few are left to deal out.
 
     A table of 2^24 bits, one set for each key, goes to all tasks: 2^18 words at most, whatever the number of keys.
     """
-    def word(c: str) -> Column:
-        return F.pmod(F.shiftright(c, 6), F.lit(1 << 18))
-
-    def bit(c: str) -> Column:
-        return F.call_function("shiftleft", F.lit(1).cast("long"), F.col(c).bitwiseAND(F.lit(63)).cast("int"))
-
-    words = keys.groupBy(word(column).alias("_word")).agg(F.bit_or(bit(column)).alias("_bits"))
-    return (rows.join(F.broadcast(words), word(column) == F.col("_word"))
-            .filter(F.col("_bits").bitwiseAND(bit(column)) != 0).drop("_word", "_bits"))
+    hashed = F.xxhash64(*columns)
+    word = F.pmod(F.shiftright(hashed, 6), F.lit(1 << 18))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), hashed.bitwiseAND(F.lit(63)).cast("int"))
+    words = keys.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    return (rows.join(F.broadcast(words), word == F.col("_word"))
+            .filter(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits"))
 
 
 def _verifier(size: int):
@@ -190,6 +187,7 @@ def _verifier(size: int):
 def verified(pairs: DataFrame, texts: DataFrame, size: int = SIZE) -> DataFrame:
     """The pairs (a, b) whose full sets are similar. A row in many pairs is dealt over parts, each with its text."""
     pairs = stored(pairs)
+    texts = may_be_in(texts, pairs.select(F.explode(F.array("a", "b")).alias("row")), "row")
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("parts"))
     firsts = texts.join(parts, texts["row"] == parts["a"]).select(
         "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
@@ -408,7 +406,7 @@ def _met_all(groups_of: DataFrame, sketches: DataFrame, texts: DataFrame, size:
         .select("a", "x", "y", "own", "row", "n", "comp", "map")
         .mapInArrow(_likely, "a long, row long, n long, comp long").distinct())
     return (
-        dealt(in_parts(likely, SET_ROWS, SET_VALUES).join(texts, "row")).select("a", "x", "y", "own", "row", "n", "comp", "text")
+        dealt(in_parts(likely, SET_ROWS, SET_VALUES).join(may_be_in(texts, likely, "row"), "row")).select("a", "x", "y", "own", "row", "n", "comp", "text")
         .mapInArrow(_linker(size), "a long, b long").distinct())
 
 
@@ -431,12 +429,11 @@ def near_classes(docs: DataFrame, size: int = SIZE) -> DataFrame:
     members = stored(inverted_lists(reps))
     release(spark)
     listed = stored(members.select("row").distinct())
-    sketches = stored(with_maps(marks.select("row", "sketch").join(listed, "row")))
-    wanted = marks.select("row", "doc_id", "text_hash", F.xxhash64("doc_id", "text_hash").alias("named")).join(listed, "row")
+    sketches = stored(with_maps(may_be_in(marks.select("row", "sketch"), listed, "row").join(listed, "row")))
+    wanted = marks.select("row", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).join(listed, "row")
     source = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
-    named = source.withColumn("named", F.xxhash64("_id", "_hash"))
-    found = may_be_in(named, wanted, "named").drop("named").join(
-        wanted, F.col("_id").eqNullSafe(wanted["doc_id"]) & (F.col("_hash") == wanted["text_hash"]))
+    found = may_be_in(source, wanted, "_id", "_hash").alias("s").join(
+        wanted.alias("w"), F.col("s._id").eqNullSafe(F.col("w._id")) & (F.col("s._hash") == F.col("w._hash")))
     # Rows may repeat an id and a text: of those, one is enough.
     texts = stored(found.select("row", "text").dropDuplicates(["row"]))
     release(spark)
