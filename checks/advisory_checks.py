@@ -53,8 +53,12 @@ def advisory_severity(spark, sf_dir):
     return _advisories(spark, sf_dir).select("id", adv.advisory_severity().alias("severity"))
 
 
+# Details of advisories from version 1 on; the others have none.
+DETAILS = "case when introduced = '1.0.0' then 'A crafted name leads to Remote Code Execution.' end"
+
+
 def severity_from_text(spark, sf_dir):
-    text = infer_severity_from_text(F.col("id"), F.col("summary"), F.lit(None).cast("string"))
+    text = infer_severity_from_text(F.col("id"), F.col("summary"), F.expr(DETAILS))
     return view(spark, sf_dir, "fx_adv").select("id", text.alias("severity"))
 
 
@@ -81,7 +85,7 @@ def vulnerable_packages(spark, sf_dir):
 
 def union_sources(spark, sf_dir):
     first = view(spark, sf_dir, "fx_vulns")
-    second = first.filter(F.col("ordinal") % 3 == 0).withColumn("title", F.lit("second source")).drop("cvss")
+    second = first.withColumn("title", F.lit("second source")).drop("cvss")
     return adv.union_sources(first, None, second).drop("package_published_ts")
 
 
@@ -156,6 +160,8 @@ TEXT_SQL = (
     "else 'UNKNOWN' end"
 )
 
+WORDING = f"lower(concat_ws(' ', summary, {DETAILS}))"
+
 FACTS_SQL = with_views("fx_star_deps", "fx_adv_flat") + f""",
 scored as (
   select *, {cvss_sql('vector')} as vector_score, {TEXT_SQL} as text_severity,
@@ -215,7 +221,7 @@ ORACLES = {
     "cvss3": with_views("fx_adv") + f"select id, vector, {cvss_sql('vector')} as score from fx_adv",
     "severity_buckets": with_views("fx_vulns") + f"select ordinal, {bucket_sql('cvss')} as bucket from fx_vulns",
     "advisory_severity": FACTS_SQL + "select id, severity from facts",
-    "severity_from_text": with_views("fx_adv") + f"select id, {TEXT_SQL} as severity from fx_adv",
+    "severity_from_text": with_views("fx_adv") + f"select id, {TEXT_SQL.replace('lower(summary)', WORDING)} as severity from fx_adv",
     "advisory_cvss": FACTS_SQL + "select id, cvss from facts",
     "fixed_versions": FACTS_SQL + "select id, fixed_versions from facts",
     "affected_versions": FACTS_SQL + "select id, affected_versions from facts",
@@ -228,7 +234,7 @@ from vulns group by 1, 2, 3""",
     "union_sources": with_views("fx_vulns") + """select ordinal, id, ecosystem, package_name, package_version, severity,
  title, cvss, reference, 0 as source_rank from fx_vulns
 union all select ordinal, id, ecosystem, package_name, package_version, severity, 'second source', null, reference, 1
-from fx_vulns where ordinal % 3 = 0""",
+from fx_vulns""",
     "dedup_vulnerabilities": with_views("fx_vulns") + """, ranked as (
  select *, max(case severity when 'CRITICAL' then 2 when 'HIGH' then 1 else 0 end)
    over (partition by id, ecosystem, package_name, package_version) as top from fx_vulns),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.common import AS_OF, view, with_views
+from checks.common import AS_OF, table, view, with_views
 from pkgaudit.functions import signals
 from pkgaudit.functions.versions import is_dependency_confusion, registry_key
 from pkgaudit.operators import enrich, registry
@@ -16,8 +16,8 @@ META = [
 ]
 
 
-def _flat(df):
-    return df.select(*META).withColumns({
+def _flat(df, *more):
+    return df.select(*META, *more).withColumns({
         "maintainers": F.array_join("maintainers", "|"),
         "previous_maintainers": F.array_join("previous_maintainers", "|"),
         "new_maintainers": F.array_join("new_maintainers", "|"),
@@ -64,9 +64,8 @@ SIGNALS = ["maintainer_changed", "package_age_days", "published_days_ago", "typo
 
 
 def package_metadata(spark, sf_dir):
-    return registry.package_metadata(view(spark, sf_dir, "fx_docs"), AS_OF).select(
-        "ecosystem", "name", "has_provenance", *SIGNALS
-    )
+    rows = registry.package_metadata(view(spark, sf_dir, "fx_docs"), AS_OF)
+    return _flat(rows, *SIGNALS)
 
 
 def time_signals(spark, sf_dir):
@@ -89,6 +88,19 @@ def typosquat_candidates(spark, sf_dir):
     return registry.typosquat_candidates(_typo_deps(spark, sf_dir))
 
 
+# Names of customers stand for packages, and those of the automobile segment for the well-known ones: they differ in digits.
+KNOWN_SQL = """select case when c_nationkey < 12 then 'npm' else 'pypi' end as ecosystem, lower(c_name) as known, c_custkey as place
+from customer where c_mktsegment = 'AUTOMOBILE'"""
+SQUATS_SQL = """select case when c_nationkey < 12 then 'npm' else 'pypi' end as ecosystem,
+ case when c_mktsegment = 'BUILDING' then '@Scope/' || c_name when c_mktsegment = 'MACHINERY' then c_name || 'x' else c_name end as name
+from customer"""
+
+
+def typosquats_of_given_names(spark, sf_dir):
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    return registry.typosquat_candidates(spark.sql(SQUATS_SQL), spark.sql(KNOWN_SQL))
+
+
 def dependency_confusion(spark, sf_dir):
     return _typo_deps(spark, sf_dir).select("ordinal", is_dependency_confusion(F.col("name")).alias("confusion"))
 
@@ -140,7 +152,7 @@ def registry_keys(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     published_at, package_ages, apply_package_ages, verify_provenance, apply_provenance, provenance_summary,
     missing_provenance,
-    package_metadata, time_signals, typosquat_candidates, dependency_confusion, maintainer_changes,
+    package_metadata, time_signals, typosquat_candidates, typosquats_of_given_names, dependency_confusion, maintainer_changes,
     previous_version, registry_risk_score, install_scripts, analysis_candidates, fetch_errors, registry_keys,
 )}
 QUERIES |= {op.__name__: _meta_query(op) for op in (
@@ -233,7 +245,7 @@ from fx_lib_deps d left join prov p on p.ecosystem = d.ecosystem and p.package_n
     "package_metadata": LIBS + ", meta as (" + " union all ".join(META_SQL.values()) + f""")
 , sig as (select *, new_maintainers <> '' as maintainer_changed, {DAYS.format(t='created_at')} as package_age_days,
  {DAYS.format(t='updated_at')} as published_days_ago from meta)
-select ecosystem, name, has_provenance, maintainer_changed, package_age_days, published_days_ago,
+select *,
  null as typosquat_candidate, false as is_dependency_confusion,
  case when maintainer_changed then 3 else 0 end + case when package_age_days < 30 then 2 else 0 end
  + case when published_days_ago < 3 then 1 else 0 end
@@ -244,6 +256,14 @@ select ecosystem, name, has_provenance, maintainer_changed, package_age_days, pu
     "typosquat_candidates": with_views("fx_deps") + f""", known as ({NEAR}),
 pkgs as (select distinct ecosystem, {TYPOS} as name from fx_deps where ecosystem in ('npm', 'pypi')),
 local as (select *, lower(case when name like '@%' then split_part(name, '/', 2) else name end) as short from pkgs),
+near as (select l.ecosystem, l.name, k.known, row_number() over (partition by l.ecosystem, l.name
+  order by levenshtein(short, known), place) as rn
+ from local l join known k on k.ecosystem = l.ecosystem and abs(length(short) - length(known)) <= 2
+ where levenshtein(short, known) between 1 and 2
+  and not exists (select 1 from known x where x.ecosystem = l.ecosystem and x.known = l.short))
+select ecosystem, name, known as candidate from near where rn = 1""",
+    "typosquats_of_given_names": f"""with known as ({KNOWN_SQL}), pkgs as (select distinct * from ({SQUATS_SQL})),
+local as (select *, lower(case when name like '@%' then split_part(name, '/', 2) else name end) as short from pkgs),
 near as (select l.ecosystem, l.name, k.known, row_number() over (partition by l.ecosystem, l.name
   order by levenshtein(short, known), place) as rn
  from local l join known k on k.ecosystem = l.ecosystem and abs(length(short) - length(known)) <= 2

@@ -83,7 +83,7 @@ def limit_package_depth(spark, sf_dir):
 
 def _graph_view(spark, sf_dir, file=None):
     deps = view(spark, sf_dir, "fx_lib_deps").withColumn("depth", (F.col("ordinal") % 3).cast("int"))
-    vulns = view(spark, sf_dir, "fx_vulns_libs").filter("ordinal % 5 = 0")
+    vulns = view(spark, sf_dir, "fx_vulns_libs")
     edges = view(spark, sf_dir, "fx_libs").select(
         F.concat_ws("@", "name", "version").alias("source"), F.concat("next1", F.lit("@9.9.9")).alias("target")
     )
@@ -172,7 +172,7 @@ select m.*, d.version_spec, d.file, d.is_dev, d.is_pinned, d.depth from m join f
     "graph_nodes": with_views("fx_lib_deps", "fx_vulns_libs") + """, firsts as (
  select *, row_number() over (partition by ecosystem, name, version order by ordinal) as rn from fx_lib_deps)
 select name || '@' || version as id, ecosystem, name, version, file, is_dev,
- name in (select package_name from fx_vulns_libs where ordinal % 5 = 0) as is_vulnerable, ordinal % 3 = 0 as is_root
+ name in (select package_name from fx_vulns_libs) as is_vulnerable, ordinal % 3 = 0 as is_root
 from firsts where rn = 1""",
     "graph_edges": with_views("fx_lib_deps", "fx_libs") + """, ids as (select distinct name || '@' || version as id from fx_lib_deps
   where file = 'repo1/m1')

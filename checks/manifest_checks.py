@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.common import view, with_views
 from pkgaudit.functions.versions import clean_version
 from pkgaudit.operators import discovery, manifests
-from pkgaudit.sources.files import DEPENDENCY_HEADERS, csv_rows, report_rows
+from pkgaudit.session import ensure_checkpoint_dir
+from pkgaudit.sources import files
+from pkgaudit.sources.files import DEPENDENCY_HEADERS, REPORT_FIELDS
 
+REPORT_SCHEMA = ", ".join(
+    f"`{f}` " + {"cvss": "double", "references": "array<string>"}.get(f, "string") for f in REPORT_FIELDS)
 COLUMNS = ["repo", "file", "ecosystem", "name", "version", "version_spec", "is_dev", "is_pinned"]
 
 
@@ -62,17 +68,30 @@ def dedup_responses(spark, sf_dir):
     return discovery.dedup_responses(view(spark, sf_dir, "fx_fetches")).select("url", "status", "body")
 
 
+def _folder(spark):
+    """A new folder that driver and executors share."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/report-{uuid.uuid4().hex}"
+
+
 def write_report_json(spark, sf_dir):
-    return report_rows(
-        view(spark, sf_dir, "fx_vulns").withColumn("references", F.col("reference")).drop("reference")
-    ).drop("cwe", "affected_versions", "fixed_versions", "published_date", "source", "description")
+    """The report as it is written, read back from its files."""
+    vulns = view(spark, sf_dir, "fx_vulns_full").drop("link", "repo").withColumns({
+        "cwe": F.concat(F.lit("CWE-"), F.col("ordinal") % 900), "published_date": F.lit("2023-01-01T00:00:00Z"),
+        "references": F.array_compact(F.array("id", "affected_versions")),
+        "description": F.concat(F.col("description"), F.lit(' says "no",\nand \\ more'))})
+    path = _folder(spark)
+    files.write_report_json(vulns, path)
+    return spark.read.schema(REPORT_SCHEMA).json(path).withColumn("references", F.array_join("references", "; "))
 
 
 def export_csv(spark, sf_dir):
-    deps = view(spark, sf_dir, "fx_deps").withColumn("is_vulnerable", F.col("ordinal") % 2 == 0).withColumn(
-        "max_severity", F.lit("N/A")
-    ).withColumn("provenance_status", F.array("repo", "ecosystem"))
-    return csv_rows(deps, DEPENDENCY_HEADERS)
+    """The exported table as it is written, read back from its files."""
+    deps = view(spark, sf_dir, "fx_deps").withColumn("is_vulnerable", F.col("ordinal") % 2 == 0).withColumns({
+        "max_severity": F.when(F.col("depth") > 0, "N/A"), "provenance_status": F.array("repo", "ecosystem"),
+        "name": F.concat(F.lit('say "'), F.col("name"), F.lit('",\n')), "version": F.concat(F.col("version"), F.lit(", \\"))})
+    path = _folder(spark)
+    files.export_csv(deps, DEPENDENCY_HEADERS, path)
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
 QUERIES = {name: _kind_query(op) for name, op in KINDS.items()}
@@ -222,9 +241,12 @@ where list_extract(string_split(relative_path, '/'), -1) in ('package.json', 'pa
 select url, case when status between 200 and 299 and try_cast(body as json) is not null then status else 404 end as status,
  case when status between 200 and 299 and try_cast(body as json) is not null then body end as body
 from ranked where rn = 1""",
-    "write_report_json": with_views("fx_vulns") + """select id, package_name, package_version, ecosystem, severity, title,
- cvss, reference as "references" from fx_vulns""",
-    "export_csv": with_views("fx_deps") + """select name as "Package Name", version as "Version", ecosystem as "Ecosystem",
- file as "File Path", is_dev as "Type", ordinal % 2 = 0 as "Vulnerable", 'N/A' as "Max Severity",
+    "write_report_json": with_views("fx_vulns_full") + """select id, package_name, package_version, ecosystem, severity, title,
+ description || ' says "no",' || chr(10) || 'and \\ more' as description, cvss, 'CWE-' || (ordinal % 900) as cwe,
+ affected_versions, fixed_versions, '2023-01-01T00:00:00Z' as published_date,
+ concat_ws('; ', id, affected_versions) as "references", source from fx_vulns_full""",
+    "export_csv": with_views("fx_deps") + """select 'say "' || name || '",' || chr(10) as "Package Name", version || ', \\' as "Version",
+ ecosystem as "Ecosystem", file as "File Path", case when is_dev then 'true' else 'false' end as "Type",
+ case when ordinal % 2 = 0 then 'true' else 'false' end as "Vulnerable", case when depth > 0 then 'N/A' end as "Max Severity",
  repo || '; ' || ecosystem as "Provenance" from fx_deps""",
 }

@@ -45,9 +45,14 @@ def install_script_files(spark, sf_dir):
     return package_files.install_script_files(_sized(spark, sf_dir))
 
 
+# What stood in the version before: the larger files where they are now, the others in a folder since gone.
+PATH_BEFORE = "case when size > 9000 then path else replace(path, 'package/', 'package/old/') end"
+
+
 def new_files_in_version(spark, sf_dir):
-    files = _sized(spark, sf_dir).withColumn("name", F.lit("one"))
-    return package_files.new_files_in_version(files, files.filter("ordinal % 3 = 0"))
+    files = _sized(spark, sf_dir)
+    before = files.withColumn("path", F.expr(PATH_BEFORE)).withColumn("version", F.lit("1.0.0"))
+    return package_files.new_files_in_version(files, before)
 
 
 def content_map(spark, sf_dir):
@@ -205,9 +210,10 @@ ORACLES = {
  and f.path = case when hook = 'postinstall' then 'package/scripts/postinstall.js' else 'package/hook.pth' end""",
     "install_script_files": FILES + """select distinct ecosystem, name, version, list_extract(string_split(path, '/'), -1) as hook, path from fx_files
 where (ecosystem = 'pypi' and path like '%/setup.py') or (ecosystem = 'cargo' and path like '%build.rs') or (ecosystem = 'ruby' and path like '%/extconf.rb')""",
-    "new_files_in_version": FILES + """select distinct ecosystem, 'one' as name, version, previous_version, substr(path, 9) as path
-from fx_sized_files s where previous_version is not null and not exists (select 1 from fx_sized_files p
- where p.ordinal % 3 = 0 and p.ecosystem = s.ecosystem and p.version = s.previous_version and p.path = s.path)""",
+    "new_files_in_version": FILES + """select distinct ecosystem, name, version, previous_version, substr(path, 9) as path
+from fx_sized_files s where previous_version is not null and not exists (
+ select 1 from (select ecosystem, name, '1.0.0' as version, """ + PATH_BEFORE + """ as path from fx_sized_files) p
+ where p.ecosystem = s.ecosystem and p.name = s.name and p.version = s.previous_version and p.path = s.path)""",
     "content_map": FILES + """select ordinal, ecosystem, name, version, path, content from fx_files
 union all select null, ecosystem, name, version, 'package.json:' || hook, command from fx_hooks""",
     "indicator_counts": SCORED + "select f.ordinal, coalesce(indicators, '') as counts from f left join base using (ordinal)",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pkgaudit.functions.binding import bind
 from pkgaudit.functions.versions import natural_key
 
 # Npm hooks that run at install time.
@@ -53,15 +54,34 @@ def _nearest(lower: Column, known: list[str]) -> Column:
     return F.when(~F.array_contains(names, lower), F.array_min(close)["known"])
 
 
+def local_name(name: Column) -> Column:
+    """A name without its scope, in lower case."""
+    return F.lower(F.when(name.startswith("@"), F.coalesce(F.get(F.split(name, "/"), F.lit(1)), name)).otherwise(name))
+
+
+def with_deletions(text: Column) -> Column:
+    """Hashes of a text and of all that is left of it without one or two of its characters, each once.
+
+    Two texts within two edits of each other have one of these in common.
+    """
+    def shorter(t: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1)))
+        return F.array_distinct(F.transform(places, lambda i: F.concat(
+            F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t)))))
+
+    def both(once: Column) -> Column:
+        twice = F.flatten(F.transform(once, shorter))
+        return F.transform(F.array_distinct(F.concat(F.array(text), once, twice)), lambda t: F.xxhash64(t))
+
+    return bind(shorter(text), both)
+
+
 def typosquat_candidate(ecosystem: Column, name: Column) -> Column:
     """Nearest well-known name within two edits; null for a known name itself or none near.
 
     The lists are fixed and short, so each name is compared in its own row, without a join.
     """
-    local = F.when(
-        name.startswith("@"), F.coalesce(F.get(F.split(name, "/"), F.lit(1)), name)
-    ).otherwise(name)
-    lower = F.lower(local)
+    lower = local_name(name)
     return F.when(ecosystem == "npm", _nearest(lower, KNOWN_NPM)).when(
         ecosystem == "pypi", _nearest(lower, KNOWN_PYPI)
     )

@@ -220,12 +220,31 @@ def package_metadata(docs: DataFrame, as_of: str) -> DataFrame:
     return with_signals(reduce(DataFrame.unionByName, [p(docs) for p in parts]), as_of)
 
 
-def typosquat_candidates(pkgs: DataFrame) -> DataFrame:
-    """Distinct package names that resemble a well-known one, with that one."""
-    names = pkgs.select("ecosystem", "name").filter(F.col("ecosystem").isin(*signals.KNOWN_NAMES)).distinct()
-    # Kept whole, so that the null test is not moved in front of the distinct with all its comparisons.
-    candidate = signals.typosquat_candidate(F.col("ecosystem"), F.col("name"))
-    return compute_once(names, "candidate", candidate).filter(F.col("candidate").isNotNull())
+def typosquat_candidates(pkgs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Distinct package names that resemble a well-known one of their ecosystem, with that one.
+
+    `known` has (ecosystem, known, place); the nearest within two edits wins, of equally near ones the
+    first by place. A name that is itself known has no candidate. Without a table, the fixed lists serve.
+    A table may be of any size: names and known names meet on what is left of either without up to two
+    characters, so each meets its few neighbours and not the whole list.
+    """
+    if known is None:
+        names = pkgs.select("ecosystem", "name").filter(F.col("ecosystem").isin(*signals.KNOWN_NAMES)).distinct()
+        # Kept whole, so that the null test is not moved in front of the distinct with all its comparisons.
+        candidate = signals.typosquat_candidate(F.col("ecosystem"), F.col("name"))
+        return compute_once(names, "candidate", candidate).filter(F.col("candidate").isNotNull())
+    known = known.groupBy("ecosystem", "known").agg(F.min("place").alias("place"))
+    names = pkgs.select("ecosystem", "name").distinct().withColumn("local", signals.local_name(F.col("name")))
+    exact = known.select("ecosystem", F.col("known").alias("local"))
+    probes = names.join(exact, ["ecosystem", "local"], "left_anti").withColumn(
+        "left_over", F.explode(signals.with_deletions(F.col("local"))))
+    listed = known.withColumn("left_over", F.explode(signals.with_deletions(F.col("known"))))
+    distance = F.levenshtein("local", "known", 2)
+    near = probes.join(listed, ["ecosystem", "left_over"]).select(
+        "ecosystem", "name", "known", F.struct(distance.alias("distance"), "place", "known").alias("rank"))
+    # What the limit of two edits rejects has distance -1.
+    return (near.filter(F.col("rank.distance") > 0).groupBy("ecosystem", "name")
+            .agg(F.min("rank").alias("rank")).select("ecosystem", "name", F.col("rank.known").alias("candidate")))
 
 
 def previous_version(versions: DataFrame) -> DataFrame:

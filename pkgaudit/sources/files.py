@@ -71,7 +71,7 @@ def csv_rows(df: DataFrame, headers) -> DataFrame:
 
 
 def export_csv(df: DataFrame, headers, path: str) -> None:
-    """CSV with label headers, doubled quotes, and nothing for null."""
-    csv_rows(df, headers).write.mode("overwrite").option("header", True).option("escape", '"').option(
-        "emptyValue", ""
-    ).option("nullValue", "").csv(path)
+    """CSV with label headers, doubled quotes, values as they are to the last blank, and nothing for null."""
+    csv_rows(df, headers).write.mode("overwrite").options(
+        header=True, escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    ).csv(path)
