@@ -17,13 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pkgaudit.llm.common import BLANK, BLANKS, need, ship, stored, table
+from pkgaudit.llm.common import BLANK, BLANKS, may_be_in, need, ship, stored, table
 
 CHUNK = 4096
 # Primes below 2^43: a byte times a power, summed over a chunk, stays within 64 bits.
 PRIMES = (8796093022151, 8796093022141)
 BASES = (6364136223847, 2862933555781)
 PART_CHARS = 16_000_000
+# A chunk of a text that is compared at once, in bytes.
+CHUNK_BYTES = 1 << 20
+FP = ["fp_a", "fp_b", "length"]
 SALT_ROWS = 2048
 
 _TO_SPACE = bytes(32 if b in (9, 10, 11, 12, 13) else b for b in range(256))
@@ -137,56 +140,64 @@ def _combine_all(parts: list) -> tuple[int, int, int]:
     return whole
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data = [normalise((t.as_py() or "").encode()) for t in batch.column("text")]
-        a, b, n = zip(*map(fingerprint, data), strict=True) if data else ((), (), ())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()),
-             pa.array(data, pa.binary())], ["doc_id", "fp_a", "fp_b", "length", "data"])
-
+def _chunker(chunk_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The normalised texts in chunks, each a row of its own: an empty text has one."""
+        for batch in batches:
+            for at in range(batch.num_rows):
+                data = normalise((batch.column("text")[at].as_py() or "").encode())
+                pieces = [data[i:i + chunk_bytes] for i in range(0, len(data), chunk_bytes)] or [b""]
+                same = batch.slice(at, 1).take(pa.array([0] * len(pieces)))
+                yield pa.RecordBatch.from_arrays(
+                    [*(same.column(c) for c in (*FP, "salt", "rest", "row")), pa.array(range(len(pieces)), pa.int32()),
+                     pa.array(pieces, pa.binary())], [*FP, "salt", "rest", "row", "chunk", "data"])
 
-def _differs(first: bytes, other: bytes) -> bool:
-    if len(first) != len(other):
-        return True
-    return any(first[at:at + CHUNK] != other[at:at + CHUNK] for at in range(0, len(first), CHUNK))
+    return run
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come group by group, the group's first text in front: only that one is held."""
+    """Chunks come place by place, that of the group's first text in front: only that one is held."""
     key, first = None, b""
     for batch in batches:
         odd = []
-        for a, b, n, salt, data in zip(*(batch.column(c).to_pylist() for c in (
-                "fp_a", "fp_b", "length", "salt", "data")), strict=True):
-            if (a, b, n, salt) != key:
-                key, first = (a, b, n, salt), data
-            elif _differs(first, data):
-                odd.append((a, b, n, hashlib.sha256(data).hexdigest()))
+        for *place, rest, row, data in zip(*(batch.column(c) for c in (*FP, "salt", "chunk", "rest", "row", "data")), strict=True):
+            place, data = tuple(p.as_py() for p in place), data.as_py()
+            if place != key:
+                # Lengths are equal, so every chunk has its like in the first text.
+                key, first = place, data
+            elif first != data:
+                odd.append(row.as_py())
         if odd:
-            a, b, n, sha = zip(*odd, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()), pa.array(sha)],
-                ["fp_a", "fp_b", "length", "text_sha256"])
+            yield pa.RecordBatch.from_arrays([pa.array(odd, pa.int64())], ["row"])
 
 
-def collisions(docs: DataFrame, marks: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
+def collisions(docs: DataFrame, marks: DataFrame, salt_rows: int = SALT_ROWS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Fingerprints shared by different texts, with the digest of each text unlike its group's first.
 
-    A group is dealt over as many salted parts as it has `salt_rows`; its first text goes to each.
+    Only texts whose fingerprint another row has are read again. They are compared chunk by chunk with the first
+    of their group, chunks of one text apart from each other; a group is dealt over as many salted parts
+    as it has `salt_rows`, and the chunks of its first text go to each.
     """
-    fp = ["fp_a", "fp_b", "length"]
     groups = (
-        marks.groupBy(*fp).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
+        marks.groupBy(*FP).agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first_row")).filter("n > 1")
         .withColumn("salts", F.ceil(F.col("n") / salt_rows).cast("int")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_texts, "doc_id long, fp_a long, fp_b long, length long, data binary")
-    is_first = F.col("doc_id").eqNullSafe(F.col("first_id"))
-    salted = texts.join(groups, fp).withColumn("rest", F.when(is_first, 0).otherwise(1)).withColumn(
-        "salt", F.explode(F.when(is_first, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(
-            F.array(F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")))))
-    return (
-        salted.select(*fp, "salt", "rest", "data").repartition(*fp, "salt").sortWithinPartitions(*fp, "salt", "rest")
-        .mapInArrow(_compare, "fp_a long, fp_b long, length long, text_sha256 string").distinct())
+    # Rows that repeat id and text are one here, and each still comes with its own text.
+    wanted = marks.join(groups, FP).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), *FP, "salts").agg(
+        F.min("row").alias("row"), F.max(F.col("row") == F.col("first_row")).alias("first"))
+    source = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
+    found = may_be_in(source, wanted, "_id", "_hash").alias("s").join(
+        wanted.alias("w"), F.col("s._id").eqNullSafe(F.col("w._id")) & (F.col("s._hash") == F.col("w._hash")))
+    columns = [*FP, "salt", "rest", "row", "text"]
+    others = found.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("salts")).cast("int")).withColumn(
+        "rest", F.lit(1)).select(*columns)
+    firsts = found.filter("first").dropDuplicates(FP).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("rest", F.lit(0)).select(*columns)
+    fps = ", ".join(f"{c} long" for c in FP)
+    odd = (
+        firsts.unionByName(others).mapInArrow(_chunker(chunk_bytes), f"{fps}, salt int, rest int, row long, chunk int, data binary")
+        .repartition(*FP, "salt", "chunk").sortWithinPartitions(*FP, "salt", "chunk", "rest")
+        .mapInArrow(_compare, "row long").distinct())
+    return marks.join(odd, "row", "left_semi").select(*FP, "text_sha256").distinct()
 
 
 def dedup_exact(docs: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pkgaudit.llm.common import claim, need, release, ship, stored, table
+from pkgaudit.llm.common import claim, may_be_in, need, release, ship, stored, table
 
 # Words of a shingle where no contract says otherwise.
 SIZE = 5
@@ -148,19 +148,6 @@ def estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return both.filter(shared >= F.size(union) * F.lit(LEAST_ESTIMATE)).select("a", "b")
 
 
-def may_be_in(rows: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
-    """The rows that may have a partner in `keys` by these columns: of the others, few are left to deal out.
-
-    A table of 2^24 bits, one set for each key, goes to all tasks: 2^18 words at most, whatever the number of keys.
-    """
-    hashed = F.xxhash64(*columns)
-    word = F.pmod(F.shiftright(hashed, 6), F.lit(1 << 18))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), hashed.bitwiseAND(F.lit(63)).cast("int"))
-    words = keys.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    return (rows.join(F.broadcast(words), word == F.col("_word"))
-            .filter(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits"))
-
-
 def _verifier(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted by a, its own text first: one set is held while the others of its part stream by."""

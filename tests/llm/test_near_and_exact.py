@@ -38,15 +38,33 @@ def test_exact_groups(odd, part_chars):
     assert set(kept.values()) == {1}
 
 
-def test_equal_fingerprints_of_different_texts_are_told_apart(odd, monkeypatch):
-    marks = E.fingerprints(odd).withColumn("fp_a", E.F.lit(1)).withColumn("fp_b", E.F.lit(1)).withColumn("length", E.F.lit(5))
-    texts = [(1, 1, 5, 0, b"aaaaa"), (1, 1, 5, 0, b"aaaaa"), (1, 1, 5, 0, b"aaaab")]
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*texts, strict=True)], ["fp_a", "fp_b", "length", "salt", "data"])
-    found = [b.to_pylist() for b in E._compare(iter([batch]))]
-    assert [r["text_sha256"] for rows in found for r in rows] == [hashlib.sha256(b"aaaab").hexdigest()]
-    assert marks.count() == len(odd_rows())
+@pytest.mark.parametrize(("chunk_bytes", "salt_rows"), [(1 << 20, 2048), (7, 2)])
+def test_equal_fingerprints_of_different_texts_are_told_apart(spark, odd, monkeypatch, chunk_bytes, salt_rows):
+    """With one fingerprint for all texts of a length, only the comparison can tell them apart."""
+    from pkgaudit.llm import common
+
+    common.ship(spark)
+    marks = E.fingerprints(odd).withColumn("fp_a", E.F.lit(1).cast("long")).withColumn("fp_b", E.F.lit(1).cast("long"))
+    monkeypatch.setattr(E, "fingerprints", lambda docs, part_chars: marks)
+    monkeypatch.setattr(E, "collisions", lambda docs, given, real=E.collisions: real(docs, given, salt_rows, chunk_bytes))
+    digests = {}
+    for i, t, _ in odd_rows():
+        digests.setdefault(hashlib.sha256(normal(t).encode()).hexdigest(), []).append(i)
+    rows = E.dedup_exact(odd).collect()
+    assert len(rows) == len(odd_rows())
+    for r in rows:
+        ids = digests[r.text_sha256]
+        assert r.group_size == len(ids) and r.keep_id == min((i for i in ids if i is not None), default=None)
+
+
+def test_many_copies_without_an_id(spark):
+    """Each is compared once, not with all others."""
+    docs = spark.range(20_000).selectExpr("cast(null as long) as doc_id", "'one  text' as text").unionByName(
+        spark.range(3).selectExpr("id as doc_id", "'one text' as text"))
+    rows = E.dedup_exact(docs)
+    assert rows.filter("kept").count() == 1 and rows.first().group_size == 20_003 and rows.first().keep_id == 0
+    marks = E.stored(E.fingerprints(docs))
+    assert E.collisions(docs, marks, 256).count() == 0
 
 
 def brute_components(rows, size=N.SIZE):
