@@ -117,23 +117,39 @@ def pnpm_lock(text: Column) -> Column:
     )
 
 
+def _at(token: Column, place: Column) -> Column:
+    """What stands in front of and behind the at-sign at a place; 0 is no place."""
+    return F.struct(
+        F.substring(token, F.lit(1), place - 1).alias("name"),
+        F.substring(token, place + 1, F.length(token)).alias("version"), (place > 1).alias("split"))
+
+
+def _complete(parts: Column) -> Column:
+    return parts["split"] & (parts["name"] != "") & (parts["version"] != "")
+
+
 def bun_lock(text: Column) -> Column:
-    key_parts = r"^(.+)@([^@]+)$"
-    line = r"^(?:npm:)?((?:@[^@\s/]+/)?[^@\s]+)@([^\s,]+)"
+    """JSON locks name a package and version in each key, split at the last at-sign; text locks begin a line with
+    them, split at the first one behind a scope's."""
     packages = F.map_entries(F.from_json(text, "packages map<string,string>")["packages"])
-    bare = lambda e: F.regexp_replace(e["key"], "^npm:", "")
-    from_doc = F.transform(
-        F.filter(packages, lambda e: e["value"].rlike(r"^\s*[\{\[]") & bare(e).rlike(key_parts)),
-        lambda e: entry(
-            group(bare(e), key_parts, 1), group(bare(e), key_parts, 2), group(bare(e), key_parts, 2),
-            F.coalesce(F.get_json_object(e["value"], "$.dev") == "true", F.lit(False)), True,
-        ),
-    )
-    from_lines = matching(
-        text, r"^(?!#)" + line[1:],
-        lambda t: entry(group(t, line, 1), group(t, line, 2), group(t, line, 2), None, True),
-    )
-    return F.when(is_json(text), from_doc).otherwise(from_lines)
+
+    def of_key(e: Column) -> Column:
+        token = F.regexp_replace(e["key"], "^npm:", "")
+        dev = F.coalesce(F.get_json_object(e["value"], "$.dev") == "true", F.lit(False))
+        last = F.length(token) - F.length(F.substring_index(token, "@", -1))
+        return F.struct(_at(token, last).alias("parts"), dev.alias("dev"))
+
+    def of_line(line: Column) -> Column:
+        token = F.regexp_replace(F.regexp_extract(line, r"^[^\s,]*", 0), "^npm:", "")
+        return F.struct(_at(token, F.locate("@", token, 2)).alias("parts"), F.lit(None).cast("boolean").alias("dev"))
+
+    def entries(found: Column) -> Column:
+        return F.transform(F.filter(found, lambda f: _complete(f["parts"])), lambda f: entry(
+            f["parts"]["name"], f["parts"]["version"], f["parts"]["version"], f["dev"], True))
+
+    nested = F.filter(packages, lambda e: F.trim(e["value"]).substr(1, 1).isin("{", "["))
+    lines = F.filter(trimmed_lines(text), lambda line: ~line.startswith("#"))
+    return F.when(is_json(text), entries(F.transform(nested, of_key))).otherwise(entries(F.transform(lines, of_line)))
 
 
 def requirements(text: Column) -> Column:
@@ -157,12 +173,68 @@ def _section_name(part: Column) -> Column:
     return group(part, r"^\[([^\n]*)\][ \t\r]*(?:\n|\z)", 1)
 
 
+# TOML: a bare or quoted key, a string on one line, and an array of strings with comments.
+TOML_KEY = r"""(?:[\w-]++|"[^"\n]++"|'[^'\n]++')"""
+TOML_STRING = r"""(?:"[^"\n]*+"|'[^'\n]*+')"""
+TOML_STRINGS = rf"\[((?:[\s,]|#[^\n]*+|{TOML_STRING})*+)\]"
+
+
+def _unquoted(text: Column) -> Column:
+    return F.regexp_replace(text, r"""^["']|["']$""", "")
+
+
+def _strings_in(body: Column) -> Column:
+    """The strings of a TOML array, without those in comments."""
+    found = F.regexp_extract_all(body, F.lit(rf"#[^\n]*|({TOML_STRING})"), F.lit(1))
+    return F.transform(F.filter(found, lambda t: t != ""), _unquoted)
+
+
+# A distribution's name begins and ends with a letter or digit (PEP 508).
+PEP508_NAME = r"^\s*([A-Za-z0-9](?:[\w.-]*[A-Za-z0-9])?)"
+
+
+def requirement_name(text: Column) -> Column:
+    """Name of a PEP 508 requirement; '' where there is none."""
+    return F.regexp_extract(text, PEP508_NAME, 1)
+
+
+def requirement_specifier(text: Column) -> Column:
+    """Version clauses of a PEP 508 requirement without blanks and brackets; extras, marker and address are left out."""
+    rest = F.regexp_replace(F.substring_index(text, ";", 1), PEP508_NAME + r"\s*(?:\[[^\]]*\])?", "")
+    clauses = F.regexp_replace(rest, r"[\s()]", "")
+    return F.when(clauses.startswith("@"), F.lit("")).otherwise(clauses)
+
+
 def pyproject(text: Column) -> Column:
-    line = r'^([a-zA-Z0-9_-]+)(?:\[[^\]]+\])?\s*=\s*"([^"]+)"'
-    optional = lambda part: _section_name(part).startswith("project.optional-dependencies")
-    wanted = F.filter(_sections(text), lambda p: (_section_name(p) == "project.dependencies") | optional(p))
-    return F.flatten(F.transform(wanted, lambda p: matching(
-        p, line, lambda t: entry(group(t, line, 1), group(t, line, 2), group(t, line, 2), optional(p), None))))
+    """The arrays of requirements under [project] and its optional dependencies, and tables that give a
+    specifier to each name."""
+    pair = rf"^({TOML_KEY})(?:\[[^\]]*\])?\s*=\s*({TOML_STRING})"
+
+    def optional(part: Column) -> Column:
+        return _section_name(part).startswith("project.optional-dependencies")
+
+    def of_table(part: Column) -> Column:
+        def build(line: Column) -> Column:
+            spec = _unquoted(group(line, pair, 2))
+            return entry(_unquoted(group(line, pair, 1)), spec, spec, optional(part), None)
+
+        return matching(part, pair, build)
+
+    def of_arrays(part: Column) -> Column:
+        key = F.when(optional(part), F.lit(TOML_KEY)).otherwise(F.lit("dependencies"))
+        bodies = F.regexp_extract_all(part, F.concat(F.lit(r"(?m)^[ \t]*"), key, F.lit(r"[ \t]*=\s*" + TOML_STRINGS)), F.lit(1))
+        named = F.filter(F.flatten(F.transform(bodies, _strings_in)), lambda t: requirement_name(t) != "")
+
+        def build(t: Column) -> Column:
+            spec = F.coalesce(F.nullif(requirement_specifier(t), F.lit("")), F.lit("*"))
+            return entry(requirement_name(t), spec, spec, optional(part), None)
+
+        return F.transform(named, build)
+
+    name = _section_name
+    tables = F.filter(_sections(text), lambda p: (name(p) == "project.dependencies") | optional(p))
+    arrays = F.filter(_sections(text), lambda p: (name(p) == "project") | optional(p))
+    return joined(F.flatten(F.transform(tables, of_table)), F.flatten(F.transform(arrays, of_arrays)))
 
 
 def pipfile(text: Column) -> Column:
@@ -181,26 +253,45 @@ def pipfile(text: Column) -> Column:
 
 
 def cargo_toml(text: Column, nested_sections: bool = False) -> Column:
-    """Crate requirements; with nested_sections also target-specific tables, and '*' for no version."""
-    simple = r'^([a-zA-Z0-9_-]+)\s*=\s*"([^"]+)"'
-    table = r"^([a-zA-Z0-9_-]+)\s*=\s*\{"
-    inner = r'version\s*=\s*"([^"]+)"'
+    """Crate requirements; with nested_sections also target-specific tables, and '*' for no version.
+
+    A crate is a line of a dependency table (a version, or an inline table that may hold one), a dotted key, or
+    a table of its own.
+    """
+    value = rf"^({TOML_KEY})\s*=\s*({TOML_STRING}|\{{.*)"
+    dotted = rf"^({TOML_KEY})\.version\s*=\s*({TOML_STRING})"
+    version_in = rf"(?m)(?:^|[\s{{,])version\s*=\s*({TOML_STRING})"
+    own_table = rf"^(.*?dependencies)\.({TOML_KEY})$"
     missing = F.lit("*" if nested_sections else "")
 
-    def normal(p: Column) -> Column:
-        exact = _section_name(p) == "dependencies"
-        return exact | _section_name(p).endswith(".dependencies") if nested_sections else exact
+    def is_dev(table: Column) -> Column:
+        return table.isin("dev-dependencies", "build-dependencies")
 
-    dev = lambda p: _section_name(p).isin("dev-dependencies", "build-dependencies")
+    def is_read(table: Column) -> Column:
+        plain = (table == "dependencies") | is_dev(table)
+        return plain | table.endswith(".dependencies") if nested_sections else plain
 
-    def build(line: Column, p: Column) -> Column:
-        version = F.when(line.rlike(simple), group(line, simple, 2)).otherwise(
-            F.when(line.rlike(inner), group(line, inner, 1)).otherwise(missing)
-        )
-        return entry(group(line, r"^([a-zA-Z0-9_-]+)", 1), version, version, dev(p), None)
+    def crate(key: Column, version: Column, table: Column) -> Column:
+        known = F.coalesce(F.nullif(_unquoted(version), F.lit("")), missing)
+        return entry(_unquoted(key), known, known, is_dev(table), None)
 
-    wanted = F.filter(_sections(text), lambda p: normal(p) | dev(p))
-    return F.flatten(F.transform(wanted, lambda p: matching(p, f"{simple}|{table}", lambda t: build(t, p))))
+    def of_table(part: Column) -> Column:
+        def build(line: Column) -> Column:
+            inline = group(line, value, 2)
+            version = F.when(line.rlike(dotted), group(line, dotted, 2)).when(
+                inline.startswith("{"), group(inline, version_in, 1)).otherwise(inline)
+            key = F.when(line.rlike(dotted), group(line, dotted, 1)).otherwise(group(line, value, 1))
+            return crate(key, version, _section_name(part))
+
+        return matching(part, f"{value}|{dotted}", build)
+
+    def of_own(part: Column) -> Column:
+        table = group(_section_name(part), own_table, 1)
+        return crate(group(_section_name(part), own_table, 2), group(part, version_in, 1), table)
+
+    parts = _sections(text)
+    own = F.filter(parts, lambda p: is_read(group(_section_name(p), own_table, 1)))
+    return joined(F.flatten(F.transform(F.filter(parts, lambda p: is_read(_section_name(p))), of_table)), F.transform(own, of_own))
 
 
 def _pairs(items: Column) -> Column:
@@ -244,20 +335,24 @@ def go_sum(text: Column) -> Column:
 
 
 def gemfile(text: Column) -> Column:
-    name = r"""gem\s+['"]([^'"]+)['"]"""
-    plain = r"""gem\s+['"][^'"]+['"],\s*['"]([^'"]+)['"]"""
-    keyed = r"""version:\s*['"]([^'"]+)['"]"""
+    """Calls of gem: a quoted name, then a quoted requirement or one under the key version; those in a
+    development or test group are for development."""
+    call = r"""^gem\b[\s(]*+(["'])(.+?)\1(?:\s*,\s*(["'])(.+?)\3(?!\s*=>))?"""
+    keyed = r"""\bversion:\s*(["'])(.+?)\1"""
     parts = F.split(text, r"(?m)^[ \t]*(?=group|end[ \t\r]*$)")
 
     def dev(part: Column) -> Column:
         head = F.substring_index(part, "\n", 1)
         return head.startswith("group") & (head.contains(":development") | head.contains(":test"))
 
-    def build(line: Column, part: Column) -> Column:
-        version = F.when(line.rlike(plain), group(line, plain, 1)).otherwise(group(line, keyed, 1))
-        return entry(group(line, name, 1), version, version, dev(part), None)
+    def calls(part: Column) -> Column:
+        def build(line: Column) -> Column:
+            version = F.coalesce(F.nullif(group(line, call, 4), F.lit("")), group(line, keyed, 2))
+            return entry(group(line, call, 2), version, version, dev(part), None)
+
+        return matching(part, call, build)
 
-    return F.flatten(F.transform(parts, lambda p: matching(p, r"^gem.*" + name[3:] + "|^" + name, lambda t: build(t, p))))
+    return F.flatten(F.transform(parts, calls))
 
 
 def gemfile_lock(text: Column) -> Column:

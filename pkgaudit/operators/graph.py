@@ -90,9 +90,6 @@ def unresolved_dependencies(reqs: DataFrame, registry_docs: DataFrame) -> DataFr
 
 _CHILD = "struct<version:string,child_name:string,child_spec:string>"
 
-PYPI_REQUIREMENT = r"^([a-zA-Z0-9_.-]+)(?:\s*\(([>=<~!^0-9.]+)\)|([>=<~!^0-9.]+))?"
-
-
 def _children_in(body: Column, version: Column) -> dict[tuple[str, ...], Column]:
     """Requirements a document holds, by ecosystem and document kinds."""
 
@@ -106,8 +103,8 @@ def _children_in(body: Column, version: Column) -> dict[tuple[str, ...], Column]
     gem = F.from_json(
         body, "version string, dependencies struct<runtime:array<struct<name:string,requirements:string>>>"
     )
-    part = lambda r, i: F.regexp_extract(r, PYPI_REQUIREMENT, i)
-    plain = F.filter(pypi["requires_dist"], lambda r: ~r.contains(";") & r.rlike(PYPI_REQUIREMENT))
+    # Requirements under a condition are not followed; of several clauses the first one is asked for.
+    plain = F.filter(pypi["requires_dist"], lambda r: ~r.contains(";") & (manifest_text.requirement_name(r) != ""))
     used = F.filter(
         crate,
         lambda d: ~F.coalesce(d["optional"], F.lit(False)) & (F.coalesce(d["kind"], F.lit("")) != "dev"),
@@ -119,7 +116,9 @@ def _children_in(body: Column, version: Column) -> dict[tuple[str, ...], Column]
             F.map_entries(npm["dependencies"]), lambda e: child(npm["version"], e["key"], e["value"])
         ),
         ("pypi", "version", "latest"): F.transform(
-            plain, lambda r: child(pypi["version"], part(r, 1), F.concat(part(r, 2), part(r, 3)))
+            plain, lambda r: child(
+                pypi["version"], manifest_text.requirement_name(r),
+                F.substring_index(manifest_text.requirement_specifier(r), ",", 1))
         ),
         ("cargo", "dependencies"): F.transform(
             used,
