@@ -180,6 +180,47 @@ def requirement_closure(roots: DataFrame, graph: DataFrame, max_depth: int | Non
     return reduce(DataFrame.unionByName, levels)
 
 
+CLOSURE_KEY = ["ecosystem", *ROOT, "name", "version_spec"]
+
+
+def closure_changes(closure: DataFrame, graph: DataFrame, added: DataFrame) -> DataFrame:
+    """The rows of a stored closure that added edges make new, or bring nearer, or give a lesser path.
+
+    `graph` has the edges the closure was made from; edges that are in both change nothing. What the added edges
+    lead to from what is reached already comes first, then only what has just changed is followed: the work is in
+    proportion to the changes, besides one join of the closure with the added edges. Removed edges need a
+    new closure.
+    """
+    best = F.struct("depth", "path")
+
+    def better(found: DataFrame, *known: DataFrame) -> DataFrame:
+        """Per key the least found, where it is less than all that is known."""
+        least = found.groupBy(*CLOSURE_KEY).agg(F.min(best).alias("_new"))
+        for rows in known:
+            held = rows.groupBy(*CLOSURE_KEY).agg(F.min(best).alias("_old"))
+            least = least.join(held, CLOSURE_KEY, "left").filter(F.col("_old").isNull() | (F.col("_new") < F.col("_old"))).drop("_old")
+        return cut_lineage(least.select(*CLOSURE_KEY, "_new.depth", "_new.path"))
+
+    def followed(rows: DataFrame, edges: DataFrame) -> DataFrame:
+        return rows.join(edges, REQUIREMENT).select(
+            "ecosystem", *ROOT, F.col("child_name").alias("name"), F.col("child_spec").alias("version_spec"),
+            (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("child_name")).alias("path"))
+
+    edges = graph.unionByName(added).distinct()
+    last = better(followed(closure, added), closure)
+    changes = last
+    while not last.isEmpty():
+        last = better(followed(last, edges), closure, changes)
+        changes = cut_lineage(changes.unionByName(last).groupBy(*CLOSURE_KEY).agg(F.min(best).alias("_b")).select(
+            *CLOSURE_KEY, "_b.depth", "_b.path"))
+    return changes
+
+
+def with_changes(closure: DataFrame, changes: DataFrame) -> DataFrame:
+    """A closure after its changes."""
+    return closure.join(changes.select(*CLOSURE_KEY), CLOSURE_KEY, "left_anti").unionByName(changes)
+
+
 def expand_tree(roots: DataFrame, graph: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Everything a manifest's roots lead to, each requirement once per manifest at its least depth.
 
