@@ -62,11 +62,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, input_ids, n_tokens and the digest of the text decoded from the ids."""
-    coded = byte_bpe.encode_documents(docs.select("doc_id", "source", "text")).drop("text")
-    decoded = byte_bpe.decode_documents(coded.withColumn("ids", F.col("input_ids")))
-    return decoded.select(
-        "doc_id", "source", F.col("ids").alias("input_ids"), F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = byte_bpe.round_trip(docs.select("doc_id", "source", "text"), keep=("source",), with_ids=True)
+    return coded.select("doc_id", "source", "input_ids", "n_tokens", "decoded_sha256")
 
 
 STAGES = [

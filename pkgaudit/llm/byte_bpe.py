@@ -25,14 +25,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from pkgaudit.llm.common import claim, collector_off, need, ship, table
+from pkgaudit.llm.common import claim, collector_off, let_go, need, ship, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-# States, pairs and pieces a worker keeps, about 200 MB in all; beyond that it forgets them and goes on.
-KEPT_STATES = 220_000
+# States, pairs and pieces a worker keeps, about 120 MB in all; beyond that it forgets them and goes on.
+KEPT_STATES = 160_000
 NEVER = 1 << 60
-KEPT_PAIRS = 250_000
-KEPT_PIECES = 180_000
+KEPT_PAIRS = 200_000
+KEPT_PIECES = 120_000
 KEPT_PIECE_CHARS = 32
 
 
@@ -316,6 +316,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     encoded = encoded.drop("decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         coder = Decoder(read_ranks(path))
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("input_ids"))
@@ -328,11 +329,14 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: every text encoded and its ids decoded again, in one pass."""
-    need(docs, "doc_id", "text")
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, keep: tuple[str, ...] = (),
+               with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, further columns and input_ids: every text
+    encoded and its ids decoded again, in one pass."""
+    need(docs, "doc_id", "text", *keep)
     ship(docs.sparkSession)
     path, pattern = path or vocabulary_path(), pattern or split_pattern()
+    kept = ["doc_id", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with collector_off():
@@ -340,22 +344,35 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
 
     def tripped(coder: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in batch.column("text"):
-                ids = coder.encode(text.as_py() or "").tolist()
-                decoded = hashlib.sha256()
-                for piece in coder.decode_stream(ids):
-                    decoded.update(piece.encode())
-                named = " ".join(look_up(ids, coder.names))
-                rows.append((len(ids), hashlib.sha256(named.encode()).hexdigest(), decoded.hexdigest()))
-            n, ids_digests, text_digests = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_digests, pa.string()),
-                 pa.array(text_digests, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows, coded = [], []
+                for text in part.column("text"):
+                    packed = coder.encode(text.as_py() or "")
+                    ids = packed.tolist()
+                    decoded = hashlib.sha256()
+                    for piece in coder.decode_stream(ids):
+                        decoded.update(piece.encode())
+                    named = " ".join(look_up(ids, coder.names))
+                    rows.append((len(ids), hashlib.sha256(named.encode()).hexdigest(), decoded.hexdigest()))
+                    if with_ids:
+                        coded.append(packed)
+                n, ids_digests, text_digests = zip(*rows, strict=True)
+                columns = [*(part.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(ids_digests, pa.string()),
+                           pa.array(text_digests, pa.string())]
+                names = [*kept, "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    ends = np.cumsum([0, *map(len, coded)], dtype=np.int32)
+                    columns.append(pa.ListArray.from_arrays(ends, np.concatenate(coded)))
+                    names.append("input_ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    fields = [docs.schema[c] for c in kept] + [
+        T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
+        T.StructField("decoded_sha256", T.StringType())]
+    if with_ids:
+        fields.append(T.StructField("input_ids", T.ArrayType(T.IntegerType())))
+    return docs.select(*kept, "text").mapInArrow(run, T.StructType(fields))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -10,6 +11,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,10 +66,20 @@ def claim(owner: str, release_memory: Callable[[], None]) -> None:
     for name in others:
         _HELD.pop(name)()
     if others:
-        gc.collect()
+        give_back()
     _HELD[owner] = release_memory
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on, and allocators keep what they once had."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def let_go() -> None:
     """Called in a worker by an operator that keeps nothing."""
     claim("", lambda: None)
