@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.common import view, with_views
 from pkgaudit.operators import graph
+from pkgaudit.session import cut_lineage
 
 
 def _reqs(spark, sf_dir):
@@ -180,3 +181,20 @@ select name || '@' || version as source, next1 || '@9.9.9' as target from fx_lib
 where name || '@' || version in (select id from ids) and next1 || '@9.9.9' in (select id from ids)""",
     "dependencies_per_file": with_views("fx_deps") + "select file, count(*) as dependency_count from fx_deps group by file",
 }
+
+
+def extended_closure(spark, sf_dir):
+    """The closure of the edges that lead to a later name, brought up to date with all others."""
+    edges, roots = _graph(spark, sf_dir), view(spark, sf_dir, "fx_roots")
+    later = F.col("name") < F.col("child_name")
+    closure = cut_lineage(graph.requirement_closure(roots, edges.filter(later)))
+    changes = graph.closure_changes(closure, edges.filter(later), edges.filter(~later))
+    return graph.with_changes(closure, changes).select(
+        "root_name", "name", "depth", F.array_join("path", ">").alias("path"))
+
+
+QUERIES["extended_closure"] = extended_closure
+ORACLES["extended_closure"] = EXPANDED.replace(
+    "select repo, file, name, bool_and(is_dev) as is_dev, 0 as depth, [name] as path from fx_roots group by repo, file, name",
+    "select distinct '' as repo, name as file, name, false as is_dev, 0 as depth, [name] as path from fx_roots",
+) + "select file as root_name, name, depth, array_to_string(path, '>') as path from expanded"
