@@ -28,11 +28,11 @@ from pyspark.sql import types as T
 from pkgaudit.llm.common import claim, collector_off, let_go, need, ship, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-# States, pairs and pieces a worker keeps, about 120 MB in all; beyond that it forgets them and goes on.
-KEPT_STATES = 160_000
+# States, pairs and pieces a worker keeps, about 200 MB in all; beyond that it forgets them and goes on.
+KEPT_STATES = 240_000
 NEVER = 1 << 60
-KEPT_PAIRS = 200_000
-KEPT_PIECES = 120_000
+KEPT_PAIRS = 300_000
+KEPT_PIECES = 180_000
 KEPT_PIECE_CHARS = 32
 
 
@@ -72,11 +72,11 @@ class State(dict):
 class Transducer:
     """Merges compiled to a transducer from bytes to token ids."""
 
-    def __init__(self, ranks: dict[bytes, int], kept_states: int = KEPT_STATES):
+    def __init__(self, ranks: dict[bytes, int], kept_states: int = KEPT_STATES, kept_pairs: int = KEPT_PAIRS):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.lengths = {rank: len(token) for token, rank in ranks.items()}
-        self.kept_states = kept_states
+        self.kept_states, self.kept_pairs = kept_states, kept_pairs
         self.longest = max(map(len, ranks))
         self.fits: dict[int, bool] = {}
         self.spines: tuple[dict, dict] = ({}, {})
@@ -107,7 +107,7 @@ class Transducer:
         key = left << 32 | right
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) >= KEPT_PAIRS:
+            if len(self.fits) >= self.kept_pairs:
                 self.fits.clear()
             known = self.fits[key] = self._stay_apart(left, right)
         return known
@@ -252,31 +252,32 @@ class Pieces(dict):
 class Codec(Decoder):
     """Whole texts to ids and back."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, kept: float = 1.0):
         ranks = read_ranks(path)
         super().__init__(ranks)
-        self.transducer = Transducer(ranks)
+        self.transducer = Transducer(ranks, int(kept * KEPT_STATES), int(kept * KEPT_PAIRS))
+        self.kept_pieces = int(kept * KEPT_PIECES)
         self.pieces = regex.compile(pattern).findall
         self.known = Pieces(self.transducer, {})
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text, as 32-bit integers."""
         packed = b"".join(look_up(self.pieces(text), self.known))
-        if len(self.known) >= KEPT_PIECES:
+        if len(self.known) >= self.kept_pieces:
             older, self.known.older = self.known, {}
             self.known = Pieces(self.transducer, older)
         return np.frombuffer(packed, np.int32)
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS: dict[tuple[str, str, float], Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, kept: float = 1.0) -> Codec:
     """One codec a worker, with what it has learnt."""
     claim("byte_bpe", _CODECS.clear)
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+    if (path, pattern, kept) not in _CODECS:
+        _CODECS[path, pattern, kept] = Codec(path, pattern, kept)
+    return _CODECS[path, pattern, kept]
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -330,9 +331,9 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, keep: tuple[str, ...] = (),
-               with_ids: bool = False) -> DataFrame:
+               with_ids: bool = False, kept_tables: float = 1.0) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, further columns and input_ids: every text
-    encoded and its ids decoded again, in one pass."""
+    encoded and its ids decoded again, in one pass. Smaller `kept_tables` take less memory and more time."""
     need(docs, "doc_id", "text", *keep)
     ship(docs.sparkSession)
     path, pattern = path or vocabulary_path(), pattern or split_pattern()
@@ -340,7 +341,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with collector_off():
-            yield from tripped(codec(path, pattern), batches)
+            yield from tripped(codec(path, pattern, kept_tables), batches)
 
     def tripped(coder: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
