@@ -62,7 +62,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, input_ids, n_tokens and the digest of the text decoded from the ids."""
-    coded = byte_bpe.round_trip(docs.select("doc_id", "source", "text"), keep=("source",), with_ids=True, kept_tables=2 / 3)
+    coded = byte_bpe.round_trip(docs.select("doc_id", "source", "text"), keep=("source",), with_ids=True, kept_tables=0.4)
     return coded.select("doc_id", "source", "input_ids", "n_tokens", "decoded_sha256")
 
 

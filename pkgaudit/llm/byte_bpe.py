@@ -28,11 +28,11 @@ from pyspark.sql import types as T
 from pkgaudit.llm.common import claim, collector_off, let_go, need, ship, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-# States, pairs and pieces a worker keeps, about 200 MB in all; beyond that it forgets them and goes on.
-KEPT_STATES = 240_000
+# States, pairs and pieces a worker keeps, about 350 MB in all; beyond that it forgets them and goes on.
+KEPT_STATES = 400_000
 NEVER = 1 << 60
-KEPT_PAIRS = 300_000
-KEPT_PIECES = 180_000
+KEPT_PAIRS = 500_000
+KEPT_PIECES = 300_000
 KEPT_PIECE_CHARS = 32
 
 
