@@ -59,10 +59,11 @@ def local_name(name: Column) -> Column:
     return F.lower(F.when(name.startswith("@"), F.coalesce(F.get(F.split(name, "/"), F.lit(1)), name)).otherwise(name))
 
 
-def with_deletions(text: Column) -> Column:
+def with_deletions(text: Column, edits: int = 2) -> Column:
     """Hashes of a text and of all that is left of it without one or two of its characters, each once.
 
-    Two texts within two edits of each other have one of these in common.
+    Two texts within two edits of each other have one of these in common. With `edits` of 1 one character at most is
+    left out: enough for texts within one edit.
     """
     def shorter(t: Column) -> Column:
         places = F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1)))
@@ -70,8 +71,8 @@ def with_deletions(text: Column) -> Column:
             F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t)))))
 
     def both(once: Column) -> Column:
-        twice = F.flatten(F.transform(once, shorter))
-        return F.transform(F.array_distinct(F.concat(F.array(text), once, twice)), lambda t: F.xxhash64(t))
+        twice = [F.flatten(F.transform(once, shorter))] if edits > 1 else []
+        return F.transform(F.array_distinct(F.concat(F.array(text), once, *twice)), lambda t: F.xxhash64(t))
 
     return bind(shorter(text), both)
 

@@ -12,6 +12,7 @@ from pkgaudit.functions import signals
 from pkgaudit.functions.versions import is_dependency_confusion, natural_key
 from pkgaudit.operators.enrich import age_days, answered
 from pkgaudit.operators.keys import compute_once, explode_entries, first_per_key, package_label
+from pkgaudit.session import cut_lineage
 
 # Registry names in fetch messages.
 REGISTRY_LABELS = {"npm": "npm", "pypi": "PyPI", "cargo": "crates.io", "go": "Go proxy", "ruby": "RubyGems"}
@@ -226,7 +227,8 @@ def typosquat_candidates(pkgs: DataFrame, known: DataFrame | None = None) -> Dat
     `known` has (ecosystem, known, place); the nearest within two edits wins, of equally near ones the
     first by place. A name that is itself known has no candidate. Without a table, the fixed lists serve.
     A table may be of any size: names and known names meet on what is left of either without up to two
-    characters, so each meets its few neighbours and not the whole list.
+    characters, so each meets its few neighbours and not the whole list. Names within one edit are looked for
+    first, on what is left without one character; only the names that have none go on to two.
     """
     if known is None:
         names = pkgs.select("ecosystem", "name").filter(F.col("ecosystem").isin(*signals.KNOWN_NAMES)).distinct()
@@ -234,17 +236,26 @@ def typosquat_candidates(pkgs: DataFrame, known: DataFrame | None = None) -> Dat
         candidate = signals.typosquat_candidate(F.col("ecosystem"), F.col("name"))
         return compute_once(names, "candidate", candidate).filter(F.col("candidate").isNotNull())
     known = known.groupBy("ecosystem", "known").agg(F.min("place").alias("place"))
+    # Numbers in the order of places, so that the least is found by a number and not by texts that must be sorted.
+    listed = cut_lineage(known.orderBy("place", "known").select(
+        "ecosystem", "known", F.monotonically_increasing_id().alias("_order")))
     names = pkgs.select("ecosystem", "name").distinct().withColumn("local", signals.local_name(F.col("name")))
-    exact = known.select("ecosystem", F.col("known").alias("local"))
-    probes = names.join(exact, ["ecosystem", "local"], "left_anti").withColumn(
-        "left_over", F.explode(signals.with_deletions(F.col("local"))))
-    listed = known.withColumn("left_over", F.explode(signals.with_deletions(F.col("known"))))
-    distance = F.levenshtein("local", "known", 2)
-    near = probes.join(listed, ["ecosystem", "left_over"]).select(
-        "ecosystem", "name", "known", F.struct(distance.alias("distance"), "place", "known").alias("rank"))
-    # What the limit of two edits rejects has distance -1.
-    return (near.filter(F.col("rank.distance") > 0).groupBy("ecosystem", "name")
-            .agg(F.min("rank").alias("rank")).select("ecosystem", "name", F.col("rank.known").alias("candidate")))
+    exact = listed.select("ecosystem", F.col("known").alias("local"))
+    probes = names.select("ecosystem", "local").distinct().join(exact, ["ecosystem", "local"], "left_anti")
+
+    def nearest(wanted: DataFrame, edits: int) -> DataFrame:
+        """The first by place of the known names within so many edits; nearer ones than that have been looked for."""
+        left = wanted.withColumn("_left", F.explode(signals.with_deletions(F.col("local"), edits)))
+        right = listed.withColumn("_left", F.explode(signals.with_deletions(F.col("known"), edits)))
+        # Exploded rows are up to hundreds of times as many as Spark takes them for: never a table to broadcast.
+        # What the limit of edits rejects has distance -1.
+        near = left.join(right.hint("merge"), ["ecosystem", "_left"]).filter(F.levenshtein("local", "known", edits) > 0)
+        return near.groupBy("ecosystem", "local").agg(F.min("_order").alias("_order"))
+
+    once = cut_lineage(nearest(probes, 1))
+    twice = nearest(probes.join(once, ["ecosystem", "local"], "left_anti"), 2)
+    found = once.unionByName(twice).join(listed.select("_order", F.col("known").alias("candidate")), "_order")
+    return names.join(found, ["ecosystem", "local"]).select("ecosystem", "name", "candidate")
 
 
 def previous_version(versions: DataFrame) -> DataFrame:

@@ -46,3 +46,20 @@ def test_work_follows_the_neighbours(spark):
     found = registry.typosquat_candidates(names, known)
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() >= 19_000
+
+
+def test_one_edit_first(spark, monkeypatch):
+    """Names with a neighbour within one edit are not looked for within two, and the least is found without sorting."""
+    edits = []
+    real = registry.signals.with_deletions
+    monkeypatch.setattr(registry.signals, "with_deletions", lambda text, n=2: edits.append(n) or real(text, n))
+    known = spark.createDataFrame(
+        [("npm", "lodash", 2), ("npm", "lodasx", 1), ("npm", "abcdef", None), ("npm", "abcdeg", 9)],
+        "ecosystem string, known string, place int")
+    names = spark.createDataFrame([("npm", "lodas"), ("npm", "lodaxy"), ("npm", "@s/abcxyf"), ("npm", "abcd")], "ecosystem string, name string")
+    found = registry.typosquat_candidates(names, known)
+    assert edits == [1, 1, 2, 2]
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r)[1:] for r in found.collect()} == {
+        ("lodas", "lodasx"), ("lodaxy", "lodasx"), ("@s/abcxyf", "abcdef"), ("abcd", "abcdef")}
+    assert spark.range(1).select(real(registry.F.lit("abcdefgh"), 1)).first()[0].__len__() == 9
