@@ -20,6 +20,7 @@ from pkgaudit.functions.severity import (
 from pkgaudit.functions.versions import pep503_name, version_key
 from pkgaudit.operators.intervals import points_in_intervals
 from pkgaudit.operators.keys import PACKAGE, compute_once, explode_rows, first_per_key
+from pkgaudit.session import cut_lineage
 
 # Ecosystem names in the advisory database.
 OSV_ECOSYSTEMS = {"npm": "npm", "pypi": "PyPI", "cargo": "crates.io", "go": "Go", "ruby": "RubyGems"}
@@ -120,22 +121,33 @@ def match_advisories(deps: DataFrame, advisories: DataFrame) -> DataFrame:
     number of published versions in use and not with how often they are used. Versions meet version
     intervals by rank blocks (`points_in_intervals`), so a package with many versions and many advisories costs
     its hits and not all pairs; listed versions meet by their text, and a version that is not known meets
-    every advisory of its name. All are equi joins on ids and keys.
+    every advisory of its name. All are equi joins on ids and keys. The three kinds of hits are made to be
+    disjoint and without repeats, so that the hits, many more than the advisories, are never shuffled.
     """
     named = ["osv_ecosystem", "match_name"]
-    wanted = advisory_queries(deps).select(
+    # Both sides are read several times: parsed and reduced once.
+    wanted = cut_lineage(advisory_queries(deps).select(
         *PACKAGE, "osv_ecosystem", "query_version",
         _match_name(F.col("osv_ecosystem"), F.col("name")).alias("match_name"),
         version_key(F.col("query_version")).alias("at_key"),
-    )
-    packages = compute_once(advisory_packages(advisories), "_p", F.struct("id", *named, "spans")).select("_p.*")
+    ))
+    packages = cut_lineage(advisory_packages(advisories).select("id", *named, "spans"))
     spans = packages.select("id", *named, F.explode("spans").alias("s")).select("id", *named, "s.*")
-    any_version = wanted.filter(F.col("query_version").isNull()).join(packages.select("id", *named), named)
-    listed = spans.filter(F.col("listed").isNotNull()).select("id", *named, F.col("listed").alias("query_version"))
-    inside = points_in_intervals(
-        wanted.select(*PACKAGE, *named, "at_key"), spans.filter(F.col("listed").isNull()).drop("listed"), named)
-    hits = [any_version, wanted.join(listed, [*named, "query_version"]), inside]
-    return reduce(DataFrame.unionByName, [h.select(*PACKAGE, "id") for h in hits]).distinct()
+    any_version = wanted.filter(F.col("query_version").isNull()).join(packages.select("id", *named).distinct(), named)
+    ranges = spans.filter(F.col("listed").isNull()).drop("listed")
+    inside = points_in_intervals(wanted.select(*PACKAGE, *named, "at_key"), ranges, named, merge_by=["id"])
+    listed = spans.filter(F.col("listed").isNotNull()).select("id", *named, F.col("listed").alias("query_version")).distinct()
+    # A listed version that a range of the advisory holds as well is a hit of the range already.
+    texts = wanted.join(listed, [*named, "query_version"]).alias("w")
+    again = F.col("w.id").eqNullSafe(F.col("r.id"))
+    for name in named:
+        again = again & (F.col(f"w.{name}") == F.col(f"r.{name}"))
+    key = F.col("w.at_key")
+    again = again & (F.col("r.from_key") <= key) & F.when(
+        F.col("r.to_key").isNotNull(), key < F.col("r.to_key")).otherwise(
+        F.col("r.last_key").isNull() | (key <= F.col("r.last_key")))
+    hits = [any_version, texts.join(ranges.alias("r"), again, "left_anti"), inside]
+    return reduce(DataFrame.unionByName, [h.select(*PACKAGE, "id") for h in hits])
 
 
 def backfill_advisory_details(stubs: DataFrame, details: DataFrame) -> DataFrame:
@@ -248,7 +260,8 @@ def advisory_facts(advisories: DataFrame) -> DataFrame:
 
 def to_vulnerability(hits: DataFrame, advisories: DataFrame) -> DataFrame:
     """Vulnerability rows of the matched package versions."""
-    return hits.join(advisory_facts(advisories), "id").select(
+    # The facts are texts, many times what Spark takes them for: dealt out by id and not broadcast.
+    return hits.join(advisory_facts(advisories).hint("shuffle_hash"), "id").select(
         "id",
         F.col("name").alias("package_name"),
         F.col("version").alias("package_version"),

@@ -43,12 +43,27 @@ def _blocks(low: Column, high: Column) -> Column:
     return F.filter(F.flatten(F.transform(_levels(end), of_level)), lambda b: b.isNotNull())
 
 
-def points_in_intervals(points: DataFrame, intervals: DataFrame, group: list[str]) -> DataFrame:
+def _merged(located: DataFrame, key: list[str]) -> DataFrame:
+    """Rank intervals of a key that overlap or touch put together: disjoint ones that cover the same ranks."""
+    of_key = Window.partitionBy(*key).orderBy("_low", "_high")
+    reach = F.max("_high").over(of_key.rowsBetween(Window.unboundedPreceding, -1))
+    opened = located.withColumn("_new", F.when(F.col("_low") > reach + 1, 1).otherwise(0))
+    numbered = opened.withColumn("_run", F.sum("_new").over(of_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return numbered.groupBy(*key, "_run").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high")).drop("_run")
+
+
+def points_in_intervals(
+    points: DataFrame, intervals: DataFrame, group: list[str], merge_by: list[str] | None = None
+) -> DataFrame:
     """The columns of `points` and of `intervals` for every point inside an interval of its group, once each.
 
     Points have the columns of `group` and `at_key`; intervals those of `group`, `from_key`, and `to_key` (not
     inside) or `last_key` (inside); without either they are open. Keys compare as texts; rows with a null group
     column, `at_key` or `from_key` meet nothing. Further columns may not share a name.
+
+    With `merge_by`, intervals of a group with equal values there (nulls are equal) count as one set: a point meets
+    it once, however many of its intervals hold the point, and of the intervals only these columns are returned.
+    The rows of the result need no distinct then.
     """
     keys = points.filter(F.col("at_key").isNotNull()).select(*group, "at_key").distinct()
     spans = intervals.filter(F.col("from_key").isNotNull())
@@ -72,8 +87,11 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, group: list[str
     located = located.withColumn("_stop", stop).withColumn("_open", F.col("to_key").isNotNull()).join(
         ends, [*group, "_stop", "_open"], "left")
     low, high = F.col("_before") + 1, F.when(F.col("_stop").isNull(), F.col("size")).otherwise(F.col("_rank"))
-    kept = [c for c in intervals.columns if c not in group]
-    cut = located.filter(low <= high).select(*group, *kept, F.explode(_blocks(low, high)).alias("_b")).select(
+    kept = [c for c in intervals.columns if c not in group] if merge_by is None else merge_by
+    located = located.select(*group, *kept, low.alias("_low"), high.alias("_high")).filter("_low <= _high")
+    if merge_by is not None:
+        located = _merged(located, [*group, *kept])
+    cut = located.select(*group, *kept, F.explode(_blocks(F.col("_low"), F.col("_high"))).alias("_b")).select(
         *group, *kept, "_b.level", "_b.block")
     placed = points.join(at(1, "at_key", "_rank"), [*group, "at_key"])
     spread = placed.withColumn("level", F.explode(_levels(F.col("size") + 1))).withColumn(

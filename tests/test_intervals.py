@@ -65,3 +65,19 @@ def test_many_of_both_cost_their_hits(spark):
     # Blocks of an interval: two of a size at most.
     wide = spark.createDataFrame([("hot", "000001", None, "004998")], "g string, from_key string, to_key string, last_key string")
     assert points_in_intervals(points, wide, ["g"]).count() == 4998
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_merged_intervals_are_met_once(spark, seed):
+    rng = random.Random(seed)
+    key = lambda: rng.choice([None, *(f"{i:02d}" for i in range(25))])
+    group = lambda: rng.choice(["a", "b", None])
+    points = [(group(), key(), f"p{i}") for i in range(60)]
+    spans = []
+    for i in range(120):
+        to, last = rng.choice([(key(), None), (None, key()), (None, None)])
+        spans.append((group(), rng.choice(["", key(), key()]), to, last, rng.choice([None, "s0", "s1", "s2", "s3", "s4"])))
+    p = spark.createDataFrame(points, "g string, at_key string, name string")
+    s = spark.createDataFrame(spans, "g string, from_key string, to_key string, last_key string, ident string")
+    rows = points_in_intervals(p, s, ["g"], merge_by=["ident"]).select("g", "at_key", "name", "ident").collect()
+    assert sorted(map(tuple, rows), key=repr) == sorted(set(brute(points, spans)), key=repr)
