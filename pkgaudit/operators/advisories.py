@@ -153,14 +153,15 @@ def match_advisories(deps: DataFrame, advisories: DataFrame) -> DataFrame:
 def backfill_advisory_details(stubs: DataFrame, details: DataFrame) -> DataFrame:
     """Stub advisories without severity replaced by their detail record where there is one."""
     columns = stubs.columns
-    detail = details.select(F.col("id").alias("_id"), F.struct(*columns).alias("_detail"))
+    detail = details.select(F.col("id").alias("_id"), *[F.col(c).alias(f"_detail_{c}") for c in columns])
     bare = F.coalesce(F.size("severity"), F.lit(0)) <= 0
     complete = stubs.filter(~bare)
+    # Parsed texts are many times what Spark takes them for: never a table to broadcast. Column by column, so that
+    # only those in use are moved.
     filled = (
         stubs.filter(bare)
-        .join(detail, F.col("id") == F.col("_id"), "left")
-        .select(F.coalesce(F.col("_detail"), F.struct(*columns)).alias("_a"))
-        .select("_a.*")
+        .join(detail.hint("merge"), F.col("id") == F.col("_id"), "left")
+        .select(*[F.when(F.col("_id").isNotNull(), F.col(f"_detail_{c}")).otherwise(F.col(c)).alias(c) for c in columns])
     )
     return complete.unionByName(filled)
 

@@ -28,3 +28,13 @@ def test_every_hit_once(spark):
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Aggregate [ecosystem" in line and "id#" in line.split("]")[0] for line in plan.splitlines())
 
+
+def test_details_are_not_broadcast(spark):
+    stubs = adv.parse_advisories(spark.createDataFrame([document(i, "a", []) for i in ("A", "B", None)], "body string"))
+    details = adv.parse_advisories(spark.createDataFrame([document(i, "b", []) for i in ("A", "C", None)], "body string"))
+    filled = adv.backfill_advisory_details(stubs, details)
+    assert "Broadcast" not in filled._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, r.affected[0].package.name) for r in filled.collect()} == {("A", "b"), ("B", "a"), (None, "a")}
+    hits = spark.createDataFrame([("npm", "a", "1", "A")], "ecosystem string, name string, version string, id string")
+    rows = adv.to_vulnerability(hits, stubs)
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString() and rows.count() == 1
