@@ -46,7 +46,8 @@ def _resolved(spark, sf_dir):
 
 
 def _expanded(spark, sf_dir):
-    return graph.expand_tree(view(spark, sf_dir, "fx_roots"), _graph(spark, sf_dir))
+    # Every level reads the edges: written once, as `scan.dependency_trees` does.
+    return graph.expand_tree(view(spark, sf_dir, "fx_roots"), cut_lineage(_graph(spark, sf_dir)))
 
 
 def _tree(spark, sf_dir):
@@ -185,7 +186,7 @@ where name || '@' || version in (select id from ids) and next1 || '@9.9.9' in (s
 
 def extended_closure(spark, sf_dir):
     """The closure of the edges that lead to a later name, brought up to date with all others."""
-    edges, roots = _graph(spark, sf_dir), view(spark, sf_dir, "fx_roots")
+    edges, roots = cut_lineage(_graph(spark, sf_dir)), view(spark, sf_dir, "fx_roots")
     later = F.col("name") < F.col("child_name")
     closure = cut_lineage(graph.requirement_closure(roots, edges.filter(later)))
     changes = graph.closure_changes(closure, edges.filter(later), edges.filter(~later))
