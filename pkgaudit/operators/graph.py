@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -187,33 +188,53 @@ def closure_changes(closure: DataFrame, graph: DataFrame, added: DataFrame) -> D
     """The rows of a stored closure that added edges make new, or bring nearer, or give a lesser path.
 
     `graph` has the edges the closure was made from; edges that are in both change nothing. What the added edges
-    lead to from what is reached already comes first, then only what has just changed is followed: the work is in
-    proportion to the changes, besides one join of the closure with the added edges. Removed edges need a
-    new closure.
+    lead to from what is reached already comes first, then only what has just changed is followed, depth by depth: a
+    row changes once, and what has changed before is met by its key alone and never written again. The work is in
+    proportion to the changes, besides the joins of what is found with the closure's keys and, of one depth, paths.
+    Removed edges need a new closure.
     """
-    best = F.struct("depth", "path")
-
-    def better(found: DataFrame, *known: DataFrame) -> DataFrame:
-        """Per key the least found, where it is less than all that is known."""
-        least = found.groupBy(*CLOSURE_KEY).agg(F.min(best).alias("_new"))
-        for rows in known:
-            held = rows.groupBy(*CLOSURE_KEY).agg(F.min(best).alias("_old"))
-            least = least.join(held, CLOSURE_KEY, "left").filter(F.col("_old").isNull() | (F.col("_new") < F.col("_old"))).drop("_old")
-        return cut_lineage(least.select(*CLOSURE_KEY, "_new.depth", "_new.path"))
-
     def followed(rows: DataFrame, edges: DataFrame) -> DataFrame:
         return rows.join(edges, REQUIREMENT).select(
             "ecosystem", *ROOT, F.col("child_name").alias("name"), F.col("child_spec").alias("version_spec"),
             (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("child_name")).alias("path"))
 
-    edges = graph.unionByName(added).distinct()
-    last = better(followed(closure, added), closure)
-    changes = last
-    while not last.isEmpty():
-        last = better(followed(last, edges), closure, changes)
-        changes = cut_lineage(changes.unionByName(last).groupBy(*CLOSURE_KEY).agg(F.min(best).alias("_b")).select(
-            *CLOSURE_KEY, "_b.depth", "_b.path"))
-    return changes
+    def same_key(known: str, equal: Callable[[Column, Column], Column]) -> Column:
+        return reduce(lambda a, b: a & b, [equal(F.col(f"n.{c}"), F.col(f"{known}.{c}")) for c in CLOSURE_KEY])
+
+    def better(found: DataFrame, depth: int, changed: list[DataFrame]) -> DataFrame:
+        """Of what is found at a depth, the least path per key, where the key is not reached before or by a path as good."""
+        least = found.groupBy(*CLOSURE_KEY).agg(F.min("path").alias("path")).alias("n")
+        here = same_key("c", lambda a, b: a == b)
+        nearer = closure.filter(F.col("depth") < depth).select(*CLOSURE_KEY).alias("c")
+        level = closure.filter(F.col("depth") == depth).select(*CLOSURE_KEY, F.col("path").alias("_path")).alias("c")
+        least = least.join(nearer, here, "left_anti").join(level, here & (F.col("_path") <= F.col("n.path")), "left_anti")
+        if changed:
+            before = reduce(DataFrame.unionByName, changed).select(*CLOSURE_KEY).alias("b")
+            least = least.join(before, same_key("b", Column.eqNullSafe), "left_anti")
+        return cut_lineage(least.select(*CLOSURE_KEY, F.lit(depth).alias("depth"), "path"))
+
+    # An edge that is in both is followed twice and reduced to one with all else that leads to a requirement.
+    edges = graph.unionByName(added)
+    first = followed(closure, added).groupBy(*CLOSURE_KEY).agg(F.min(F.struct("depth", "path")).alias("_new"))
+    held = closure.groupBy(*CLOSURE_KEY).agg(F.min(F.struct("depth", "path")).alias("_old"))
+    first = cut_lineage(first.join(held, CLOSURE_KEY, "left").filter(F.col("_old").isNull() | (F.col("_new") < F.col("_old")))
+                        .select(*CLOSURE_KEY, "_new.depth", "_new.path"))
+    # As many numbers as there are depths.
+    waiting = sorted(r.depth for r in first.select("depth").distinct().collect())
+    changed: list[DataFrame] = []
+    last, depth = first.limit(0), 0
+    while waiting or depth:
+        depth = depth + 1 if depth else waiting[0]
+        found = followed(last, edges)
+        if waiting and waiting[0] == depth:
+            waiting.pop(0)
+            found = found.unionByName(first.filter(F.col("depth") == depth))
+        last = better(found, depth, changed)
+        if last.isEmpty():
+            depth = 0
+        else:
+            changed.append(last)
+    return reduce(DataFrame.unionByName, changed) if changed else first
 
 
 def with_changes(closure: DataFrame, changes: DataFrame) -> DataFrame:

@@ -54,3 +54,14 @@ def test_work_follows_the_change(spark, monkeypatch):
     changes = graph.closure_changes(closure, frames(spark, chain), frames(spark, [("c12", "d"), ("d", "e")]))
     assert {r.name for r in changes.collect()} == {"d", "e"} and max(sizes) <= 2
     assert changes.filter(F.col("depth") == 14).first().path[-2:] == ["d", "e"]
+
+
+def test_changes_are_written_once(spark, monkeypatch):
+    """A chain that is added to one edge: each new row is written in its own round and not again in later ones."""
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(6)]
+    closure = graph.requirement_closure(roots(spark, ["a"]), frames(spark, [("x", "y")]))
+    sizes = []
+    real = graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: sizes.append((cut := real(df)).count()) or cut)
+    changes = graph.closure_changes(closure, frames(spark, chain), frames(spark, [("a", "c0")]))
+    assert len(rows(changes)) == 7 and changes.count() == 7 and sum(sizes) == 8
