@@ -13,8 +13,11 @@ from pkgaudit.session import cut_lineage, spread
 
 
 def _files(spark, sf_dir):
-    """The file view with the texts spread over the task slots: the test tables are one task each."""
-    spread(table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism, "doc_id").createOrReplaceTempView("spread_documents")
+    """The file view with the texts spread over the task slots: the test tables are one task each, larger ones stay."""
+    documents, slots = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    if documents.rdd.getNumPartitions() < slots:
+        documents = spread(documents, slots, "doc_id")
+    documents.createOrReplaceTempView("spread_documents")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     from checks.fixtures import FIXTURES
     return spark.sql(FIXTURES["fx_files"].replace("from documents", "from spread_documents"))

@@ -268,7 +268,8 @@ def literal_pattern(literals: list[str]) -> str:
     """An expression that, at every position of a text, captures the longest literal starting there.
 
     Shared beginnings are factored out and long lists of branches are grouped by their first character,
-    so a position that starts no literal fails after a few tests.
+    so a position that starts no literal fails after a few tests. The first three characters are tested against
+    those that literals have there before any branch is tried.
     """
     tree: dict = {}
     for word in literals:
@@ -290,7 +291,10 @@ def literal_pattern(literals: list[str]) -> str:
         body = parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
         return f"(?:{body})?" if "" in node else body
 
-    return f"(?=[{re.escape(''.join(sorted(tree)))}])(?=({text(tree)}))"
+    long = [word for word in literals if len(word) >= 3]
+    leads = ["".join(f"[{re.escape(''.join(sorted({word[i] for word in long})))}]" for i in range(3))] if long else []
+    leads += [re.escape(word) for word in literals if len(word) < 3]
+    return f"(?={'|'.join(leads)})(?=({text(tree)}))"
 
 
 def literals_in(lowered: Column) -> Column:
