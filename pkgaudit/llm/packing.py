@@ -264,10 +264,18 @@ def lay(lengths: np.ndarray, ranks: np.ndarray, runs: np.ndarray) -> np.ndarray:
 SEGMENT_BYTES = 1 << 22
 KNOWN_WORDS = 600_000
 LONGEST_KNOWN = 64
-ENDINGS = b".,;:!?$#*"
+# Words that are encoded together as one line.
+LINE = 512
+ENDINGS = b".,;:!?$#*%"
 LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 
 
+def _letters(word: bytes) -> bool:
+    """Whether a word is nothing but Latin letters: the tokenizer takes such a one as a single part."""
+    text = word.decode() if len(word) <= LONGEST_KNOWN else ""
+    return text.isalpha() and max(text) < "\u0130"
+
+
 class WordIds:
     """Ids of texts by the given tokenizer, word by word.
 
@@ -283,11 +291,34 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_file(path)
+        vocabulary = self.coder.get_vocab()
+        # The last token of a part, and no other one, carries the suffix that tells its end.
+        self.closing = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.closing[[at for token, at in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
+    def _coded(self, words: list[bytes]) -> Iterator[bytes]:
+        """Ids of each word encoded for itself."""
+        texts = b" ".join(words).decode().split(" ")
+        return (array("I", c.ids).tobytes() for c in self.coder.encode_batch_fast(texts, add_special_tokens=False))
+
+    def _coded_lines(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Words of letters with their ids: many of them in a line, taken apart behind the tokens that end a word."""
+        for at in range(0, len(words), LINE):
+            line = words[at:at + LINE]
+            # A line at a time, so that the tokenizer's own records do not pile up.
+            coded = self.coder.encode_batch_fast([b" ".join(line).decode()], add_special_tokens=False)
+            ids = np.array(coded[0].ids, np.uint32)
+            ends = (4 * (np.flatnonzero(self.closing[ids]) + 1)).tolist()
+            if len(ends) == len(line) and ends[-1] == 4 * len(ids):
+                raw = ids.astype("<u4").tobytes()
+                yield from zip(line, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True)
+            else:
+                yield from zip(line, self._coded(line), strict=True)
+
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words not known: endings of punctuation behind an ASCII letter are encoded apart."""
+        """Ids of words not known: endings of punctuation behind an ASCII letter, or a word of letters, are encoded apart."""
         known, older = self.known, self.older
         made = {w: older[w] for w in words.intersection(older)}
         words = words.difference(made)
@@ -296,9 +327,11 @@ class WordIds:
         parts = set()
         for word in words.difference(asked):
             stem = word.rstrip(ENDINGS)
-            if stem and stem[-1] in LETTERS:
-                ends.append((word, stem, word[len(stem):]))
-                parts.update(ends[-1][1:])
+            if stem and (stem[-1] in LETTERS or stem[-1] > 127 and _letters(stem)):
+                ending = word[len(stem):]
+                ends.append((word, stem, ending))
+                parts.add(stem)
+                parts.add(ending)
             else:
                 asked.append(word)
         for part in parts.difference(asked, made):
@@ -307,9 +340,13 @@ class WordIds:
                 asked.append(part)
             else:
                 made[part] = ids
-        if asked:
-            coded = self.coder.encode_batch_fast(b" ".join(asked).decode().split(" "), add_special_tokens=False)
-            made.update(zip(asked, [array("I", c.ids).tobytes() for c in coded], strict=True))
+        letters, others = [], []
+        for word in asked:
+            (letters if word.isalpha() and len(word) <= LONGEST_KNOWN or not word.isascii() and _letters(word) else others).append(word)
+        if letters:
+            made.update(self._coded_lines(letters))
+        if others:
+            made.update(zip(others, self._coded(others), strict=True))
         for word, stem, ending in ends:
             made[word] = made[stem] + made[ending]
         return made
@@ -334,7 +371,7 @@ class WordIds:
         fresh = self._learn(asked.difference(self.known))
         self.known.update(fresh)
         find = self.known.__getitem__
-        made = [b"".join(map(find, chain.from_iterable(parts))) for parts in split]
+        made = [b"".join(map(find, parts[0] if len(parts) == 1 else chain.from_iterable(parts))) for parts in split]
         for word in fresh:
             if len(word) > LONGEST_KNOWN:
                 del self.known[word]

@@ -122,3 +122,25 @@ def test_sequences(odd, tokenizer):
     got = sorted(n for r in whole for n in np.frombuffer(bytes(r.input_ids), "<u4").tolist())
     assert got == sorted(n for _, t, _ in odd_rows() for n in ids_of(tokenizer, t))
     assert all(sum(r.lengths) * 4 == len(r.input_ids) for r in whole)
+
+
+def test_words_in_lines_have_the_ids_of_words_alone(monkeypatch):
+    """Words of letters are encoded by the line: few calls' worth of texts, and each word's own ids."""
+    coder = P.WordIds(P.tokenizer_path())
+    words = [f"{a}{b}{c}".encode() for a in ("the", "Ünd", "ción", "x") for b in "abcdefghijklmnopé" for c in ("", "ß", "re", "ª", "İ", "é", "日本", "s", "'s", "1")]
+    words.append(b"a" * 70)
+    sizes = []
+    real = coder.coder
+
+    class Counting:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            sizes.append(len(texts))
+            return real.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    coder.coder = Counting()
+    made = coder._learn(set(words))
+    alone = {w: np.array(real.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w in words}
+    assert made == alone and sum(sizes) < len(set(words)) * 0.7
+    # A line that does not come apart as expected is encoded word by word.
+    coder.closing[:] = False
+    assert coder._learn({b"abc", b"abd"}) == {w: np.array(real.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w in (b"abc", b"abd")}
