@@ -131,7 +131,8 @@ def match_advisories(deps: DataFrame, advisories: DataFrame) -> DataFrame:
         _match_name(F.col("osv_ecosystem"), F.col("name")).alias("match_name"),
         version_key(F.col("query_version")).alias("at_key"),
     ))
-    packages = cut_lineage(advisory_packages(advisories).select("id", *named, "spans"))
+    # Parsed texts again: written rows keep the small size that Spark takes them for, so no join may broadcast them.
+    packages = cut_lineage(advisory_packages(advisories).select("id", *named, "spans")).hint("merge")
     spans = packages.select("id", *named, F.explode("spans").alias("s")).select("id", *named, "s.*")
     any_version = wanted.filter(F.col("query_version").isNull()).join(packages.select("id", *named).distinct(), named)
     ranges = spans.filter(F.col("listed").isNull()).drop("listed")

@@ -1,4 +1,4 @@
-"""Hits of advisories: once each without a distinct over them, and no parsed text is broadcast."""
+"""Hits of advisories: once each without a distinct over them, and nothing parsed is broadcast."""
 
 import json
 
@@ -38,3 +38,14 @@ def test_details_are_not_broadcast(spark):
     hits = spark.createDataFrame([("npm", "a", "1", "A")], "ecosystem string, name string, version string, id string")
     rows = adv.to_vulnerability(hits, stubs)
     assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString() and rows.count() == 1
+
+
+def test_affected_packages_of_a_small_file_are_not_broadcast(spark, tmp_path):
+    docs = [document(f"A{i}", "a", [{"introduced": "0"}, {"fixed": f"{i}.0.0"}], ["9.9.9"] if i == 3 else None) for i in range(4)]
+    # A file that Spark takes for far less than what is parsed from it.
+    spark.createDataFrame(docs, "body string").write.parquet(f"{tmp_path}/docs")
+    deps = spark.createDataFrame([("npm", "a", v) for v in ("1.0.0", "9.9.9", "*")], "ecosystem string, name string, version string")
+    hits = adv.match_advisories(deps, adv.parse_advisories(spark.read.parquet(f"{tmp_path}/docs")))
+    assert "Broadcast" not in hits._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.version, r.id) for r in hits.collect()) == [
+        ("*", "A0"), ("*", "A1"), ("*", "A2"), ("*", "A3"), ("1.0.0", "A2"), ("1.0.0", "A3"), ("9.9.9", "A3")]
